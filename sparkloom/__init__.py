@@ -2,7 +2,6 @@
 
 from sparkloom.operators.bayes import BeliefNetwork
 from sparkloom.operators.chowliu import chow_liu
-from sparkloom.operators.kmeans import KMeansJob
 from sparkloom.session import build_session
 
-__all__ = ["BeliefNetwork", "KMeansJob", "build_session", "chow_liu"]
+__all__ = ["BeliefNetwork", "build_session", "chow_liu"]

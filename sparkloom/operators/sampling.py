@@ -34,15 +34,13 @@ def forward(
         else:
             table = net.cdf(node)
             keys = [c for c in table.columns if c not in (node, "lo", "hi", "total")]
-            out = out.withColumn("__u", uniform(seed, F.col(id_col), node))
-            if keys == ["__all"]:
-                out = out.withColumn("__all", F.lit(0))
-            same = [out[k] == table[k] for k in keys]
-            pick = F.floor(out["__u"] * table["total"])
-            hit = reduce(lambda a, b: a & b, same) & (table["lo"] <= pick) & (pick < table["hi"])
-            out = out.join(table, hit).select(
-                *[out[c] for c in out.columns if c not in ("__u", "__all")], table[node]
-            )
+            table = table.toDF(*[f"__{c}" for c in table.columns])
+            known = [F.lit(0) if k == "__all" else F.col(k) for k in keys]
+            same = [k == F.col(f"__{name}") for k, name in zip(known, keys)]
+            pick = F.floor(F.col("__u") * F.col("__total"))
+            hit = reduce(lambda a, b: a & b, same) & (F.col("__lo") <= pick) & (pick < F.col("__hi"))
+            drawn = out.withColumn("__u", uniform(seed, F.col(id_col), node))
+            out = drawn.join(table, hit).select(*out.columns, F.col(f"__{node}").alias(node))
     return out
 
 
@@ -105,16 +103,14 @@ def gibbs_chains(net, event, rows, id_col, seed, sweeps: int = 2) -> DataFrame:
             step = sweep * len(free) + i + 1
             table = tables[var]
             keys = [c for c in table.columns if c not in ("__new", "__lo", "__hi")]
-            moved = state.withColumn("__u", uniform(seed, F.col(id_col), var, F.lit(step)))
-            if keys == ["____all"]:
-                hit = F.lit(0) == table["____all"]
-            else:
-                hit = reduce(lambda a, b: a & b, [moved[k[2:]] == table[k] for k in keys])
-            hit = hit & (table["__lo"] <= moved["__u"]) & (moved["__u"] < table["__hi"])
+            known = [F.lit(0) if k == "____all" else F.col(k[2:]) for k in keys]
+            same = reduce(lambda a, b: a & b, [k == F.col(n) for k, n in zip(known, keys)])
+            hit = same & (F.col("__lo") <= F.col("__u")) & (F.col("__u") < F.col("__hi"))
             # a boundary that no table row covers keeps its label
-            new = F.coalesce(table["__new"], moved[var]).alias(var)
+            new = F.coalesce(F.col("__new"), F.col(var)).alias(var)
+            moved = state.withColumn("__u", uniform(seed, F.col(id_col), var, F.lit(step)))
             state = moved.join(table, hit, "left").select(
-                id_col, *[new if n == var else moved[n] for n in names], *[moved[t] for t in trace]
+                *[new if c == var else F.col(c) for c in state.columns]
             )
             trace.append(f"__s{i}")
             snapshot = F.struct(F.lit(step).cast("bigint").alias("step"), *names)

@@ -20,6 +20,7 @@ def build_session(master: str = "local[*]", app: str = "sparkloom", **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     }
     settings.update(conf)
