@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -54,3 +55,9 @@ def mean_vector(x: Column, width: int) -> Column:
 
 def sum_vector(x: Column, width: int) -> Column:
     return F.array(*[F.sum(x[i]) for i in range(width)])
+
+
+def json_matrix(rows: Sequence[Sequence[float]]) -> Column:
+    """Constant ``array<array<double>>``; folded to one literal by the optimizer."""
+    text = json.dumps([[float(v) for v in row] for row in rows])
+    return F.from_json(F.lit(text), "array<array<double>>")
