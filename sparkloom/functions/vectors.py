@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,3 +63,9 @@ def json_matrix(rows: Sequence[Sequence[float]]) -> Column:
     """Constant ``array<array<double>>``; folded to one literal by the optimizer."""
     text = json.dumps([[float(v) for v in row] for row in rows])
     return F.from_json(F.lit(text), "array<array<double>>")
+
+
+def sum_of_squares(x: Column, width: int) -> Column:
+    """Aggregate: sum of squared norms."""
+    parts = [F.sum(x[i] * x[i]) for i in range(width)]
+    return reduce(lambda a, b: a + b, parts)

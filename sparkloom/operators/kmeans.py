@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors as vx
+from sparkloom.functions.distance import nearest, spread
 from sparkloom.functions.uniform import draw_key
 
-MAX_MODEL_CELLS = 2_000_000
-
 Centroids = list[list[float]]
 
 
@@ -24,23 +23,6 @@ def width_of(points: DataFrame) -> int:
     return points.select(F.size("x")).first()[0]
 
 
-def _model(centroids: Sequence[Sequence[float]]) -> Column:
-    cells = sum(len(c) for c in centroids)
-    if cells > MAX_MODEL_CELLS:
-        raise ValueError(f"{cells} centroid values exceed {MAX_MODEL_CELLS}")
-    return vx.json_matrix(centroids)
-
-
-def nearest(x: Column, centroids: Centroids) -> Column:
-    """Struct ``(dist, cid)`` of the closest centroid, the lowest index on ties."""
-    return F.array_min(
-        F.transform(
-            _model(centroids),
-            lambda c, i: F.struct(vx.euclidean(x, c).alias("dist"), i.cast("int").alias("cid")),
-        )
-    )
-
-
 def far_point_seeds(points: DataFrame, k: int, seed: int = 42) -> Centroids:
     """First seed: the id with the smallest draw. Then, k − 1 times, the point with the
     largest sum of distances to the seeds so far; points equal to a seed are skipped
@@ -49,14 +31,10 @@ def far_point_seeds(points: DataFrame, k: int, seed: int = 42) -> Centroids:
     first = points.agg(F.min_by("x", F.struct(draw_key(seed, F.col("id")), F.col("id"))).alias("x"))
     seeds = [list(first.first()["x"])]
     while len(seeds) < k:
-        to_seeds = F.transform(_model(seeds), lambda c: vx.euclidean(F.col("x"), c))
-        scored = points.select("x", "id", to_seeds.alias("d")).select(
-            "x", "id", F.aggregate("d", F.lit(0.0), lambda s, v: s + v).alias("total"),
-            F.array_min("d").alias("near"),
-        )
-        pick = scored.where(F.col("near") > 0).agg(
-            F.min_by("x", F.struct((-F.col("total")).alias("t"), F.col("id"))).alias("x")
-        ).first()["x"]
+        scored = points.select("x", "id", spread(F.col("x"), seeds).alias("d"))
+        # a condition inside the aggregate, so that the distances are computed once
+        place = F.struct((-F.col("d.total")).alias("t"), F.col("id"))
+        pick = scored.agg(F.min_by("x", F.when(F.col("d.near") > 0, place)).alias("x")).first()["x"]
         if pick is None:
             raise ValueError(f"fewer than {k} distinct points")
         seeds.append(list(pick))

@@ -14,10 +14,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors as vx
+from sparkloom.functions.distance import as_matrix
 from sparkloom.operators.kmeans import Centroids, assign_runs
 from sparkloom.session import materialise
 
@@ -36,45 +38,48 @@ def cluster_statistics(assigned: DataFrame, width: int) -> DataFrame:
     x = F.col("x")
     return assigned.groupBy("run", "cid").agg(
         F.count("*").cast("double").alias("n"), vx.sum_vector(x, width).alias("s"),
-        F.sum(vx.dot(x, x)).alias("q"),
+        vx.sum_of_squares(x, width).alias("q"),
     )
 
 
+def _mean_gaps(models: dict[int, np.ndarray]):
+    """UDF (x, run, cid) → mean squared distance to the own and the nearest other cluster.
+
+    ``models`` holds one row ``cid, n, q, s…`` per centroid.
+    """
+    @F.arrow_udf("own double, other double, size double")
+    def gaps(x: pa.Array, run: pa.Array, cid: pa.Array) -> pa.Array:
+        points, runs, cids = as_matrix(x), run.to_numpy(), cid.to_numpy()
+        norms = (points**2).sum(axis=1)
+        own, other, size = (np.full(len(points), np.nan) for _ in range(3))
+        for r in np.unique(runs):
+            at = np.flatnonzero(runs == r)
+            ids, n, q, s = models[r][:, 0], models[r][:, 1], models[r][:, 2], models[r][:, 3:]
+            total = np.maximum(n * norms[at, None] - 2 * points[at] @ s.T + q, 0)
+            mine = np.searchsorted(ids, cids[at])
+            line = np.arange(len(at))
+            size[at] = n[mine]
+            own[at] = total[line, mine] / np.maximum(n[mine] - 1, 1)
+            if len(ids) > 1:
+                mean = total / n
+                mean[line, mine] = np.inf
+                other[at] = mean.min(axis=1)
+        return pa.StructArray.from_arrays(
+            [pa.array(c, from_pandas=True) for c in (own, other, size)], ["own", "other", "size"])
+
+    return gaps
+
+
 def squared_silhouette(assigned: DataFrame) -> DataFrame:
     """Add ``sil`` to rows ``(run, id, x, cid)``."""
     width = assigned.select(F.size("x")).first()[0]
-    by_run: dict[int, list] = {}
-    for row in cluster_statistics(assigned, width).collect():  # one row per centroid
-        by_run.setdefault(row["run"], []).append([float(row["cid"]), row["n"], row["q"], *row["s"]])
-    if not by_run:
-        return assigned.withColumn("sil", F.lit(0.0))
-    x, norm = F.col("x"), F.col("norm")
-
-    def mean_to(stat: Column) -> Column:
-        """Sum of squared distances from x to all members of one cluster."""
-        total = stat[1] * norm - 2 * vx.dot(x, F.slice(stat, 4, width)) + stat[2]
-        return F.greatest(total, F.lit(0.0))
-
-    def per_cluster(run: int) -> Column:
-        return F.transform(
-            vx.json_matrix(by_run[run]),
-            lambda st: F.struct(st[0].cast("int").alias("cid"), st[1].alias("n"), mean_to(st).alias("t")),
-        )
-
-    cases = None
-    for run in sorted(by_run):
-        hit = F.col("run") == run
-        cases = F.when(hit, per_cluster(run)) if cases is None else cases.when(hit, per_cluster(run))
-    rows = assigned.withColumn("norm", vx.dot(x, x)).withColumn("sums", cases)
-    mine = F.filter("sums", lambda c: c["cid"] == F.col("cid"))[0]
-    rows = rows.withColumn("mine", mine).withColumn(
-        "other",
-        F.array_min(F.transform(F.filter("sums", lambda c: c["cid"] != F.col("cid")),
-                                lambda c: c["t"] / c["n"])),
-    )
-    size = F.col("mine.n")
-    own = F.col("mine.t") / F.greatest(size - 1, F.lit(1.0))
-    return rows.select(*assigned.columns, score(own, F.col("other"), size).alias("sil"))
+    rows: dict[int, list] = {}
+    for r in cluster_statistics(assigned, width).orderBy("cid").collect():  # one per centroid
+        rows.setdefault(r["run"], []).append([r["cid"], r["n"], r["q"], *r["s"]])
+    models = {run: np.array(stats, dtype=float) for run, stats in rows.items()}
+    gaps = _mean_gaps(models)(F.col("x"), F.col("run"), F.col("cid")).alias("g")
+    return assigned.select("*", gaps).select(
+        *assigned.columns, score(F.col("g.own"), F.col("g.other"), F.col("g.size")).alias("sil"))
 
 
 def _tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

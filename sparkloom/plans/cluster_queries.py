@@ -8,7 +8,7 @@ from sparkloom.operators import anomalies as an
 from sparkloom.operators import kmeans as km
 from sparkloom.operators import silhouette as si
 from sparkloom.plans.inputs import (
-    EMBEDDING_SQL, LINE_POINTS_SQL, LINE_WIDTH, embedding_points, line_points,
+    EMBEDDING_SQL, EVENT_POINTS_SQL, LINE_POINTS_SQL, LINE_WIDTH, embedding_points, event_points, line_points,
 )
 from sparkloom.sources.points import bad_cells
 from sparkloom.sources.tables import table
@@ -95,6 +95,13 @@ def line_anomalies(spark, root):
     return _long(rows.withColumn("cid", F.col("cid").cast("bigint")), "x", "id", "cid", "reason")
 
 
+def value_anomalies(spark, root):
+    """Event values as one cluster of one-dimensional points, strict rule."""
+    points = event_points(spark, root)
+    rows = an.anomalies(km.assign(points, km.fit(points, 1, 1, SEED)), "reference")
+    return _long(rows.withColumn("cid", F.col("cid").cast("bigint")), "x", "id", "cid", "reason")
+
+
 def sizes(spark, root):
     return km.cluster_sizes(_fitted(spark, root)).select(F.col("cid").cast("bigint").alias("cid"), "n")
 
@@ -124,7 +131,7 @@ QUERIES = {
     "km_best_k": best_k,
     "km_bands": bands,
     "km_anomalies": _anomalies("any"),
-    "km_anomalies_all_above": _anomalies("reference"),
+    "km_anomalies_all_above": value_anomalies,
     "km_line_anomalies": line_anomalies,
 }
 
@@ -191,6 +198,7 @@ def _posed(relation: str, keys: str, vector: str) -> str:
 _ONE = f"one AS (SELECT {K} AS k)"
 _EMB = f"WITH RECURSIVE {_seed_walk(EMBEDDING_SQL, K)}, {_ONE}, {_rounds('r', 'one', ROUNDS)}"
 _LINE = f"WITH RECURSIVE {_seed_walk(LINE_POINTS_SQL, K)}, {_ONE}, {_rounds('r', 'one', ROUNDS)}"
+_EVENT = f"WITH RECURSIVE {_seed_walk(EVENT_POINTS_SQL, 2)}, one AS (SELECT 1 AS k), {_rounds('r', 'one', 1)}"
 _LINE0 = f"WITH RECURSIVE {_seed_walk(LINE_POINTS_SQL, K)}, {_ONE}, {_rounds('r', 'one', 0)}"
 
 _BANDS = """feats AS (SELECT cid, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM r_fit),
@@ -242,6 +250,6 @@ SQL = {
     "km_best_k": f"{_SELECT} SELECT k, round(sil, 6) AS sil FROM fine ORDER BY fine.sil DESC, k LIMIT 1",
     "km_bands": f"{_EMB}, {_BANDS.format(rule='out > 0')} SELECT cid, pos - 1 AS pos, round(lo, 6) AS lo, round(hi, 6) AS hi FROM bands",
     "km_anomalies": _anomaly_sql(_EMB, "out > 0"),
-    "km_anomalies_all_above": _anomaly_sql(_EMB, "above = d"),
+    "km_anomalies_all_above": _anomaly_sql(_EVENT, "above = d"),
     "km_line_anomalies": _anomaly_sql(_LINE, "out > 0"),
 }

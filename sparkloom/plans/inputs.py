@@ -96,6 +96,14 @@ def line_points(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def event_points(spark: SparkSession, root: str) -> DataFrame:
+    """Event values as 1-dimensional points."""
+    return table(spark, root, "events").select(
+        F.col("event_id").alias("id"), F.array("value").alias("x"))
+
+
+EVENT_POINTS_SQL = "pts AS MATERIALIZED (SELECT event_id AS id, [value] AS x FROM events)"
+
 EMBEDDING_SQL = """pts AS MATERIALIZED (
   SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"""
 

@@ -49,9 +49,11 @@ def rows_of(names, rows):
     return sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-def differences(spark_df, con, sql: str) -> str | None:
+def differences(spark_df, con, sql: str, clock: list) -> str | None:
     """None if equal, else a short description."""
-    left = rows_of(spark_df.columns, [tuple(r) for r in spark_df.collect()])
+    rows = [tuple(r) for r in spark_df.collect()]
+    clock.append(time.time())
+    left = rows_of(spark_df.columns, rows)
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     right = rows_of(names, cur.fetchall())
@@ -79,17 +81,17 @@ def main() -> int:
     for key, run in entry.queries().items():
         if wanted and not any(key == w or (w.endswith("*") and key.startswith(w[:-1])) for w in wanted):
             continue
-        start = time.time()
+        start, clock = time.time(), []
         try:
             df = run(spark, sf_dir)
             if key in sql:
-                problem = differences(df, con, sql[key])
+                problem = differences(df, con, sql[key], clock)
             else:
                 problem = None if df.count() else "no rows"
         except Exception as error:  # report and go on
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None
-        print(f"{'ok ' if problem is None else 'BAD'} {key} {time.time() - start:.1f}s {problem or ''}", flush=True)
+        print(f"{'ok ' if problem is None else 'BAD'} {key} spark {(clock or [time.time()])[0] - start:.1f}s total {time.time() - start:.1f}s {problem or ''}", flush=True)
     return bad
 
 
