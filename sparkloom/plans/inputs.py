@@ -133,32 +133,8 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     ).select("e.src", "e.dst", "w")
 
 
-def part_edges(spark: SparkSession, root: str) -> DataFrame:
-    """Directed part → supplier edges of the same graph."""
-    return (
-        table(spark, root, "lineitem").select("l_partkey", "l_suppkey").distinct()
-        .select((F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"))
-    )
-
-
-def part_features(spark: SparkSession, root: str) -> DataFrame:
-    """(node, x, label) of every part."""
-    return table(spark, root, "part").select(
-        (F.col("p_partkey") * 2).alias("node"),
-        F.array(F.col("p_size") / 50.0, F.col("p_retailprice") / 2000.0).alias("x"),
-        F.col("p_type").alias("label"),
-    )
-
-
 TRADE_SQL = """pairs AS MATERIALIZED (
   SELECT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b, CAST(count(*) AS DOUBLE) AS w
   FROM lineitem GROUP BY 1, 2),
 edges AS MATERIALIZED (
   SELECT a AS src, b AS dst, w FROM pairs UNION ALL SELECT b, a, w FROM pairs)"""
-
-PART_EDGES_SQL = """part_edges AS MATERIALIZED (
-  SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst FROM lineitem)"""
-
-FEATURES_SQL = """features AS MATERIALIZED (
-  SELECT p_partkey * 2 AS node, [p_size / 50.0::DOUBLE, p_retailprice / 2000.0::DOUBLE] AS x,
-         p_type AS label FROM part)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("bayes_queries", "structure_queries", "cluster_queries", "log_queries")
+FAMILIES = ("bayes_queries", "structure_queries", "cluster_queries", "graph_queries", "log_queries")
 
 
 def _collect(attribute: str) -> dict:
