@@ -18,7 +18,9 @@ def draw_key(seed: int, *parts: Column | str) -> Column:
 def uniform(seed: int, *parts: Column | str) -> Column:
     """Double in [0, 1) from the first 52 bits of :func:`draw_key`."""
     head = F.substring(draw_key(seed, *parts), 1, DRAW_HEX_DIGITS)
-    return F.conv(head, 16, 10).cast("double") / F.lit(float(2 ** (4 * DRAW_HEX_DIGITS)))
+    # never null; saying so stops the optimizer from testing the whole expression for it
+    number = F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(0.0))
+    return number / F.lit(float(2 ** (4 * DRAW_HEX_DIGITS)))
 
 
 def uniform_sql(seed: int, *parts: str) -> str:

@@ -103,18 +103,12 @@ def conditional(counts: DataFrame, net: Network, node: str) -> DataFrame:
 
 
 def cumulative(counts: DataFrame, net: Network, node: str) -> DataFrame:
-    """Half-open integer intervals ``[lo, hi)`` of each conditional distribution.
-
-    A root gets a constant key, so that drawing from it is an equi-join too.
-    """
+    """Half-open integer intervals ``[lo, hi)`` of each conditional distribution."""
     rows = node_counts(counts, net, node)
     given = net.parents[node]
-    if not given:
-        rows, given = rows.withColumn("__all", F.lit(0)), ["__all"]
     upto = Window.partitionBy(*given).orderBy(node).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*given)
     hi = F.sum("n").over(upto)
     return rows.select(
         *given, node, (hi - F.col("n")).alias("lo"), hi.alias("hi"),
-        F.sum("n").over(whole).alias("total"),
+        F.sum("n").over(Window.partitionBy(*given)).alias("total"),
     )

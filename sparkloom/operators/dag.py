@@ -37,8 +37,8 @@ def roots(edges: DataFrame) -> DataFrame:
 def ancestors(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """``(node, ancestor)`` pairs for the nodes in ``of`` (all nodes by default).
 
-    Every round extends the newest pairs by one link and keeps the pairs not seen
-    before; the number of rounds is the depth of the graph.
+    Round k holds the distinct pairs that are k links apart, so a round is never
+    larger than the result and the number of rounds is the depth of the graph.
     """
     links = edges.select(F.col("child").alias("at"), F.col("parent").alias("ancestor")).distinct()
     links = materialise(links, "links")
@@ -48,18 +48,15 @@ def ancestors(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     fresh = materialise(first, "pairs")
     found = []
     for _ in range(MAX_DEPTH):
-        if fresh.isEmpty():
+        loops, pairs = fresh.agg(F.count_if(F.col("node") == F.col("ancestor")), F.count("*")).first()
+        if loops:
+            raise ValueError("the graph has a cycle")
+        if not pairs:
             break
         found.append(fresh)
-        step = (
-            fresh.select("node", F.col("ancestor").alias("at")).join(links, "at")
-            .select("node", "ancestor").distinct()
-        )
-        seen = reduce(lambda a, b: a.unionByName(b), found)
-        fresh = materialise(step.join(seen, ["node", "ancestor"], "left_anti"), "pairs")
-    else:
-        raise ValueError("the graph has a cycle or is deeper than the limit")
-    return reduce(lambda a, b: a.unionByName(b), found) if found else fresh
+        step = fresh.select("node", F.col("ancestor").alias("at")).join(links, "at")
+        fresh = materialise(step.select("node", "ancestor").distinct(), "pairs")
+    return reduce(lambda a, b: a.unionByName(b), found).distinct() if found else fresh
 
 
 def relevant(edges: DataFrame, targets: DataFrame) -> DataFrame:

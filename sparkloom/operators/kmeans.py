@@ -15,12 +15,21 @@ from pyspark.sql import functions as F
 from sparkloom.functions import vectors as vx
 from sparkloom.functions.distance import nearest, spread
 from sparkloom.functions.uniform import draw_key
+from sparkloom.session import materialise
 
 Centroids = list[list[float]]
 
 
-def width_of(points: DataFrame) -> int:
-    return points.select(F.size("x")).first()[0]
+def stored_points(points: DataFrame) -> DataFrame:
+    """``(id, x)`` written once for the many passes that follow.
+
+    Inputs with fewer splits than the session has cores are spread out first.
+    """
+    points = points.select("id", "x")
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    if points.rdd.getNumPartitions() < cores:
+        points = points.repartition(cores)
+    return materialise(points, "points")
 
 
 def far_point_seeds(points: DataFrame, k: int, seed: int = 42) -> Centroids:
@@ -90,6 +99,7 @@ def lloyd_runs(
 
 
 def fit(points: DataFrame, k: int, rounds: int = 20, seed: int = 42, tol: float = 0.0) -> Centroids:
+    points = stored_points(points)
     return lloyd_runs(points, {k: far_point_seeds(points, k, seed)}, rounds, tol)[k]
 
 
@@ -103,12 +113,11 @@ SWEEP = (1, 2, 4, 8, 16, 32)
 
 
 def sweep(
-    points: DataFrame, ks: Sequence[int], rounds: int, seed: int = 42, metric: str = "squared"
+    points: DataFrame, seeds: Centroids, ks: Sequence[int], rounds: int, metric: str = "squared"
 ) -> DataFrame:
-    """``(k, sil)``: mean silhouette of the model for each k."""
+    """``(k, sil)``: mean silhouette of the model for each k, all k in the same scans."""
     from sparkloom.operators.silhouette import mean_silhouette
 
-    seeds = far_point_seeds(points, max(ks), seed)
     models = lloyd_runs(points, {k: seeds[:k] for k in ks}, rounds)
     return mean_silhouette(points, models, metric)
 
@@ -137,9 +146,11 @@ def select_k(
     points: DataFrame, rounds: int, ks: Sequence[int] = SWEEP, seed: int = 42, metric: str = "squared"
 ) -> DataFrame:
     """``(phase, k, sil)`` of the coarse sweep and of the refinement below its elbow."""
-    coarse = sweep(points, ks, rounds, seed, metric)
+    points = stored_points(points)
+    seeds = far_point_seeds(points, max(ks), seed)
+    coarse = sweep(points, seeds, ks, rounds, metric)
     top = elbow(coarse).first()["k"]
-    fine = sweep(points, range(max(top // 4, 1), top + 1), rounds, seed, metric)
+    fine = sweep(points, seeds, range(max(top // 4, 1), top + 1), rounds, metric)
     return coarse.select(F.lit("sweep").alias("phase"), "k", "sil").union(
         fine.select(F.lit("refine").alias("phase"), "k", "sil")
     )

@@ -17,10 +17,9 @@ def global_rank(df: DataFrame, order_by: list[Column | str], name: str = "rank")
     position inside the partition. Only one row count per partition goes through
     the window that turns counts into offsets. ``order_by`` should be unique.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slot = F.monotonically_increasing_id()
     ordered = materialise(
-        df.repartitionByRange(parts, *order_by)
+        df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("__slot", slot)
         .withColumn("__part", F.shiftright("__slot", _LOCAL_BITS).cast("int")),

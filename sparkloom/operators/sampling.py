@@ -9,10 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.uniform import uniform
-from sparkloom.operators import counts as C
 from sparkloom.operators import factors as fx
 from sparkloom.session import materialise
 
+CELLS = 16  # equal parts of [0, 1) that turn interval lookups into equi-joins
+_PAD = 1e-9  # wider than any rounding of a bound
+
+
+def _with_cells(table: DataFrame, lo: Column, hi: Column) -> DataFrame:
+    """Repeat each interval row for every cell that ``[lo, hi)`` touches, column ``__cell``."""
+    first = F.greatest(F.floor((lo - _PAD) * CELLS), F.lit(0)).cast("int")
+    last = F.least(F.floor((hi + _PAD) * CELLS), F.lit(CELLS - 1)).cast("int")
+    return table.withColumn("__cell", F.explode(F.sequence(first, last)))
+
+
+def _cell(u: Column) -> Column:
+    return F.floor(u * CELLS).cast("int")
+
 
 def forward(
     net, rows: DataFrame, id_col: str, seed: int, event: Mapping[str, str] | None = None
@@ -33,12 +46,13 @@ def forward(
             ).drop("__p")
         else:
             table = net.cdf(node)
-            keys = [c for c in table.columns if c not in (node, "lo", "hi", "total")]
             table = table.toDF(*[f"__{c}" for c in table.columns])
-            known = [F.lit(0) if k == "__all" else F.col(k) for k in keys]
-            same = [k == F.col(f"__{name}") for k, name in zip(known, keys)]
-            pick = F.floor(F.col("__u") * F.col("__total"))
-            hit = reduce(lambda a, b: a & b, same) & (F.col("__lo") <= pick) & (pick < F.col("__hi"))
+            total = F.col("__total")
+            table = _with_cells(table, F.col("__lo") / total, F.col("__hi") / total)
+            pick = F.floor(F.col("__u") * total)
+            hit = (F.col("__cell") == _cell(F.col("__u"))) & (F.col("__lo") <= pick) & (pick < F.col("__hi"))
+            for parent in net.parents[node]:
+                hit = hit & (F.col(parent) == F.col(f"__{parent}"))
             drawn = out.withColumn("__u", uniform(seed, F.col(id_col), node))
             out = drawn.join(table, hit).select(*out.columns, F.col(f"__{node}").alias(node))
     return out
@@ -71,19 +85,17 @@ def full_conditional(net, node: str) -> DataFrame:
 def _intervals(net, node: str) -> DataFrame:
     """Full conditional with cumulative bounds; the last interval is open above."""
     boundary = net.markov_boundary(node)
-    table = full_conditional(net, node)
-    if not boundary:
-        table, boundary = table.withColumn("__all", F.lit(0)), ["__all"]
     w = Window.partitionBy(*boundary).orderBy(node)
     hi = F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0))
     lo = F.coalesce(F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     last = F.lead(node).over(w).isNull()
-    return table.select(
+    table = full_conditional(net, node).select(
         *[F.col(b).alias(f"__{b}") for b in boundary],
         F.col(node).alias("__new"),
         lo.alias("__lo"),
         F.when(last, F.lit(2.0)).otherwise(hi).alias("__hi"),
     )
+    return _with_cells(table, F.col("__lo"), F.col("__hi"))
 
 
 def gibbs_chains(net, event, rows, id_col, seed, sweeps: int = 2) -> DataFrame:
@@ -101,11 +113,10 @@ def gibbs_chains(net, event, rows, id_col, seed, sweeps: int = 2) -> DataFrame:
         trace = []
         for i, var in enumerate(free):
             step = sweep * len(free) + i + 1
-            table = tables[var]
-            keys = [c for c in table.columns if c not in ("__new", "__lo", "__hi")]
-            known = [F.lit(0) if k == "____all" else F.col(k[2:]) for k in keys]
-            same = reduce(lambda a, b: a & b, [k == F.col(n) for k, n in zip(known, keys)])
-            hit = same & (F.col("__lo") <= F.col("__u")) & (F.col("__u") < F.col("__hi"))
+            table, u = tables[var], F.col("__u")
+            hit = (F.col("__cell") == _cell(u)) & (F.col("__lo") <= u) & (u < F.col("__hi"))
+            for member in net.markov_boundary(var):
+                hit = hit & (F.col(member) == F.col(f"__{member}"))
             # a boundary that no table row covers keeps its label
             new = F.coalesce(F.col("__new"), F.col(var)).alias(var)
             moved = state.withColumn("__u", uniform(seed, F.col(id_col), var, F.lit(step)))

@@ -28,24 +28,24 @@ def validate(spark, root):
 
 
 def seeds(spark, root):
-    rows = km.far_point_seeds(embedding_points(spark, root), K, SEED)
+    rows = km.far_point_seeds(km.stored_points(embedding_points(spark, root)), K, SEED)
     frame = spark.createDataFrame(list(enumerate(rows)), "seed bigint, x array<double>")
     return _long(frame, "x", "seed")
 
 
-def _line_model(spark, root):
-    return km.far_point_seeds(line_points(spark, root), K, SEED)
+def _seeded_lines(spark, root):
+    """Line points assigned to their far-point seeds."""
+    points = km.stored_points(line_points(spark, root))
+    return km.assign(points, km.far_point_seeds(points, K, SEED))
 
 
 def assign_lines(spark, root):
-    points = line_points(spark, root)
-    assigned = km.assign(points, _line_model(spark, root))
+    assigned = _seeded_lines(spark, root)
     return assigned.select("id", F.col("cid").cast("bigint").alias("cid"), F.round("dist", 6).alias("dist"))
 
 
 def update_lines(spark, root):
-    points = line_points(spark, root)
-    assigned = km.assign(points, _line_model(spark, root))
+    assigned = _seeded_lines(spark, root)
     return _long(km.cluster_means(assigned, LINE_WIDTH).withColumn("cid", F.col("cid").cast("bigint")), "c", "cid")
 
 

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_app_dirs: set[str] = set()
 
 
 def build_session(master: str = "local[*]", app: str = "sparkloom", **conf: str) -> SparkSession:
@@ -49,7 +50,15 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/sparkloom/{label}-{uuid.uuid4().hex}"
+    """Fresh path in the application's own folder, which goes when the application ends."""
+    app = f"{work_dir(spark)}/sparkloom-{spark.sparkContext.applicationId}"
+    if app not in _app_dirs:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(app)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _app_dirs.add(app)
+    return f"{app}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
