@@ -41,7 +41,7 @@ def _seeded_lines(spark, root):
 
 def assign_lines(spark, root):
     assigned = _seeded_lines(spark, root)
-    return assigned.select("id", F.col("cid").cast("bigint").alias("cid"), F.round("dist", 6).alias("dist"))
+    return assigned.select("id", F.col("cid").cast("bigint").alias("cid"), F.round("dist", 9).alias("dist"))
 
 
 def update_lines(spark, root):
@@ -238,7 +238,7 @@ SQL = {
         f"count(*) FILTER ({c} IS NOT NULL AND TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) IS NULL) AS {c}_text"
         for c in _NUMBERS) + " FROM lineitem",
     "km_seed": f"WITH RECURSIVE {_seed_walk(EMBEDDING_SQL, K)} {_posed('seeds', 'seed', 'x')}",
-    "km_assign": f"{_LINE0} SELECT id, cid, round(dist, 6) AS dist FROM r_fit",
+    "km_assign": f"{_LINE0} SELECT id, cid, round(dist, 9) AS dist FROM r_fit",
     "km_update": f"WITH RECURSIVE {_seed_walk(LINE_POINTS_SQL, K)}, {_ONE}, {_rounds('r', 'one', 1)} {_posed('r_m0', 'cid', 'c')}",
     "km_lloyd": f"{_EMB} {_posed(f'r_c{ROUNDS}', 'cid', 'c')}",
     "km_lloyd_lines": f"{_LINE} {_posed(f'r_c{ROUNDS}', 'cid', 'c')}",

@@ -90,7 +90,8 @@ def embedding_points(spark: SparkSession, root: str) -> DataFrame:
 def line_points(spark: SparkSession, root: str) -> DataFrame:
     """Line items as 4-dimensional points with comparable ranges."""
     return table(spark, root, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("id"),
         F.array(F.col("l_quantity") / 50, F.col("l_extendedprice") / 100000,
                 F.col("l_discount") * 10, F.col("l_tax") * 10).alias("x"),
     )
@@ -108,7 +109,8 @@ EMBEDDING_SQL = """pts AS MATERIALIZED (
   SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"""
 
 LINE_POINTS_SQL = """pts AS MATERIALIZED (
-  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id,
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey
+           || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS id,
          [l_quantity / 50, l_extendedprice / 100000, l_discount * 10, l_tax * 10] AS x
   FROM lineitem)"""
 

@@ -73,7 +73,12 @@ def main() -> int:
     args = sys.argv[1:]
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
     wanted = args[1:]
-    spark = build_session("local[8]")
+    if os.environ.get("PLAIN_SESSION"):  # Spark's defaults and another time zone
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config(
+            "spark.sql.session.timeZone", "America/New_York").config("spark.driver.memory", "8g").getOrCreate()
+    else:
+        spark = build_session("local[8]")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     sql = entry.oracle_sql()
