@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.counts import JOINT_FIRST_VARIABLES, as_labels
@@ -42,18 +42,22 @@ def pair_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def mutual_information(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(u, v, mi)`` in nats for every pair of columns ``u < v``.
 
-    Marginals are window sums over the pair cells, so no second scan is needed.
+    ``MI = H(u) + H(v) − H(u, v)``, and each entropy is a sum of ``n ln n`` over counts.
+    Cells and both marginals come from one grouping-sets pass over the pair cells, so
+    no pair is ever gathered in one task.
     """
     cells = pair_counts(df, columns or df.columns)
-    total = F.sum("n").over(Window.partitionBy("u", "v"))
-    left = F.sum("n").over(Window.partitionBy("u", "v", "a"))
-    right = F.sum("n").over(Window.partitionBy("u", "v", "b"))
-    p = F.col("n") / F.col("total")
-    term = p * F.ln(F.col("n") * F.col("total") / (F.col("na") * F.col("nb")))
-    return (
-        cells.select("u", "v", "n", total.alias("total"), left.alias("na"), right.alias("nb"))
-        .groupBy("u", "v")
-        .agg(F.sum(term).alias("mi"))
+    keys = ["u", "v", "a", "b"]
+    sets = [keys, ["u", "v", "a"], ["u", "v", "b"]]
+    counted = cells.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(
+        F.sum("n").alias("n"), F.grouping_id().alias("gid")
+    )
+    joint = F.col("gid") == 0
+    n_ln_n = F.col("n") * F.ln(F.col("n").cast("double"))
+    total = F.sum(F.when(joint, F.col("n")))
+    signed = F.sum(F.when(joint, n_ln_n).otherwise(-n_ln_n))
+    return counted.groupBy("u", "v").agg(
+        (signed / total + F.ln(total.cast("double"))).alias("mi")
     )
 
 

@@ -15,19 +15,21 @@ from pyspark.sql import functions as F
 from sparkloom.functions import vectors as vx
 from sparkloom.functions.distance import nearest, spread
 from sparkloom.functions.uniform import draw_key
-from sparkloom.session import materialise
+from sparkloom.session import estimated_bytes, materialise
 
 Centroids = list[list[float]]
 
+SPLIT_BYTES = 128 << 20
+
 
 def stored_points(points: DataFrame) -> DataFrame:
     """``(id, x)`` written once for the many passes that follow.
 
-    Inputs with fewer splits than the session has cores are spread out first.
+    Inputs too small to have a split per core are spread out first.
     """
     points = points.select("id", "x")
     cores = points.sparkSession.sparkContext.defaultParallelism
-    if points.rdd.getNumPartitions() < cores:
+    if estimated_bytes(points) < cores * SPLIT_BYTES:
         points = points.repartition(cores)
     return materialise(points, "points")
 

@@ -4,6 +4,9 @@ A node whose edges exceed one partition's fair share is hot. There can be no mor
 hot nodes than partitions, so their names fit in the plan. Edges of a hot node are
 spread over ``SPREAD`` salts and the node's row is repeated once per salt; all other
 rows join unsalted. No row is dropped.
+
+Large edge tables are stored in buckets of the join key, so that the rounds of an
+iterative job shuffle only the node side.
 """
 
 from __future__ import annotations
@@ -11,16 +14,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import materialise
+from sparkloom.session import estimated_bytes, materialise, materialise_bucketed
 
 SPREAD = 32
 MIN_HOT_ROWS = 1_000_000
+BUCKET_BYTES = 1 << 30
 
 
 class SaltedEdges:
     """Stored edge table, ready to be joined on ``key`` many times."""
 
-    def __init__(self, edges: DataFrame, key: str, other: str, min_hot_rows: int = MIN_HOT_ROWS):
+    def __init__(
+        self, edges: DataFrame, key: str, other: str,
+        min_hot_rows: int = MIN_HOT_ROWS, bucket_bytes: int = BUCKET_BYTES,
+    ):
         self.key = key
         edges = materialise(edges, "edges")
         parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -28,10 +35,11 @@ class SaltedEdges:
         # more than count/parts rows each: at most ``parts`` nodes
         degrees = edges.groupBy(key).agg(F.count("*").alias("n"))
         self.hot = [r[key] for r in degrees.where(F.col("n") > limit).collect()]
-        self.columns = edges.columns
         if self.hot:
             salt = F.pmod(F.xxhash64(other), F.lit(SPREAD)).cast("int")
             edges = edges.withColumn("__salt", F.when(F.col(key).isin(self.hot), salt).otherwise(0))
+        if estimated_bytes(edges) > bucket_bytes:
+            edges = materialise_bucketed(edges, [key, "__salt"] if self.hot else [key], parts)
         self.edges = edges
 
     def join(self, rows: DataFrame, node: str = "node") -> DataFrame:

@@ -72,3 +72,21 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate, without running anything."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def materialise_bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Like :func:`materialise`, hashed into buckets: joins on ``keys`` need no shuffle of it."""
+    spark = df.sparkSession
+    name = f"sparkloom_{uuid.uuid4().hex}"
+    (
+        df.repartition(buckets, *keys)  # one file per bucket
+        .write.bucketBy(buckets, *keys).sortBy(*keys)
+        .option("path", new_path(spark, "buckets"))
+        .saveAsTable(name)
+    )
+    return spark.table(name)

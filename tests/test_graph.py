@@ -101,6 +101,26 @@ def test_hot_node_joins_salted_and_whole(spark):
     assert joined.count() == 798 and joined.where("value <> src * 2").count() == 0
 
 
+@pytest.mark.parametrize("min_hot_rows", [10**6, 50])
+def test_bucketed_edges_are_not_shuffled_again(spark, min_hot_rows):
+    from sparkloom.operators.skew import SaltedEdges
+
+    star = spark.createDataFrame([(i % 5 * (i % 3), i) for i in range(400)], "src bigint, dst bigint")
+    side = SaltedEdges(star, "src", "dst", min_hot_rows=min_hot_rows, bucket_bytes=0)
+    assert bool(side.hot) == (min_hot_rows == 50)
+    nodes = spark.range(10).withColumnRenamed("id", "node").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = side.join(nodes)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 400
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the node side is shuffled (twice, with the repartition above), the edges are not
+    edge_side = plan.split("SortMergeJoin")[1].split(":- ")[1].split("+- Sort")[0]
+    assert "Bucketed: true" in plan and "Exchange" not in edge_side
+
+
 def test_mean_neighbours(spark, a, edges):
     x = np.arange(2.0 * (N + 1)).reshape(-1, 2)
     features = spark.createDataFrame([(i, x[i].tolist()) for i in range(N + 1)], "node bigint, x array<double>")
