@@ -17,11 +17,19 @@ from sparkloom.operators.ranking import global_rank
 from sparkloom.operators.skew import SaltedEdges
 from sparkloom.session import materialise
 
+ROUNDS_PER_WRITE = 3
+RESCALE_ROUNDS = 20
+
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def _shorten(df: DataFrame, done: int, rounds: int) -> DataFrame:
+    """Cut the plan of an iterative job every few rounds and after the last one."""
+    return materialise(df, "rounds") if done % ROUNDS_PER_WRITE == 0 or done == rounds else df
+
+
 # shape ---------------------------------------------------------------------
 
 
@@ -72,7 +80,7 @@ def minibatches(nodes: DataFrame, size: int, seed: int = 42) -> DataFrame:
 
 
 def sample_neighbours(
-    edges: DataFrame, seeds: DataFrame, fanouts: Sequence[int], seed: int = 42, **salting
+    edges: DataFrame | SaltedEdges, seeds: DataFrame, fanouts: Sequence[int], seed: int = 42, **salting
 ) -> DataFrame:
     """``(layer, dst, src)``: at most ``fanouts[layer]`` in-neighbours per frontier node.
 
@@ -80,7 +88,7 @@ def sample_neighbours(
     sources. The rank limit is applied before the shuffle as well, so a node with
     very many in-edges sends only a few rows per task.
     """
-    by_dst = SaltedEdges(edges.select("src", "dst"), "dst", "src", **salting)
+    by_dst = SaltedEdges.of(edges, ["src", "dst"], "dst", "src", **salting)
     frontier = materialise(seeds.select("node").distinct(), "frontier")
     layers = []
     for layer, fanout in enumerate(fanouts):
@@ -99,9 +107,9 @@ def sample_neighbours(
     return _union(layers)
 
 
-def mean_neighbours(edges: DataFrame, features: DataFrame, width: int, **salting) -> DataFrame:
+def mean_neighbours(edges: DataFrame | SaltedEdges, features: DataFrame, width: int, **salting) -> DataFrame:
     """``(node, x, m)``: own features and mean of the in-neighbours' (zeros without any)."""
-    by_src = SaltedEdges(edges.select("src", "dst"), "src", "dst", **salting)
+    by_src = SaltedEdges.of(edges, ["src", "dst"], "src", "dst", **salting)
     means = by_src.join(features.select("node", "x")).groupBy(F.col("dst").alias("node")).agg(
         vx.mean_vector(F.col("x"), width).alias("m")
     )
@@ -126,7 +134,7 @@ def affine_relu(terms: list[tuple[Column, Sequence[Sequence[float]]]], bias: Seq
 
 
 def sage_layer(
-    edges: DataFrame, features: DataFrame, w_self, w_neigh, bias, **salting
+    edges: DataFrame | SaltedEdges, features: DataFrame, w_self, w_neigh, bias, **salting
 ) -> DataFrame:
     """One mean-aggregator layer with given weights: ``(node, x)``."""
     joined = mean_neighbours(edges, features, len(w_self[0]), **salting)
@@ -135,12 +143,13 @@ def sage_layer(
     )
 
 
-def smoothed_features(edges: DataFrame, features: DataFrame, width: int, rounds: int) -> DataFrame:
+def smoothed_features(edges: DataFrame | SaltedEdges, features: DataFrame, width: int, rounds: int) -> DataFrame:
     """Features averaged over neighbours ``rounds`` times: ``(node, x)``."""
+    by_src = SaltedEdges.of(edges, ["src", "dst"], "src", "dst")
     at = features.select("node", "x")
-    for _ in range(rounds):
-        mixed = mean_neighbours(edges, at, width)
-        at = materialise(mixed.select("node", F.col("m").alias("x")), "features")
+    for k in range(1, rounds + 1):
+        mixed = mean_neighbours(by_src, at, width)
+        at = _shorten(mixed.select("node", F.col("m").alias("x")), k, rounds)
     return at
 
 
@@ -153,12 +162,12 @@ def _step(by_src: SaltedEdges, signal: DataFrame) -> DataFrame:
     )
 
 
-def diffuse(edges: DataFrame, signal: DataFrame, steps: int, **salting) -> DataFrame:
+def diffuse(edges: DataFrame | SaltedEdges, signal: DataFrame, steps: int, **salting) -> DataFrame:
     """``(sample, t, node, value)`` for t = 0 … steps − 1, value at t is ``S^t x``.
 
     The edges are stored once; each step sums map-side before it shuffles.
     """
-    by_src = SaltedEdges(edges, "src", "dst", **salting)
+    by_src = SaltedEdges.of(edges, ["src", "dst", "w"], "src", "dst", **salting)
     at = materialise(signal.select("sample", "node", "value"), "signal")
     frames = [at]
     for _ in range(steps - 1):
@@ -181,53 +190,59 @@ def filtered(diffused: DataFrame, taps: Sequence[float]) -> DataFrame:
     return kept.groupBy("sample", "node").agg(F.sum(F.col("value") * weight).alias("value"))
 
 
-def local_max(edges: DataFrame, signal: DataFrame, hops: int, **salting) -> DataFrame:
+def local_max(edges: DataFrame | SaltedEdges, signal: DataFrame, hops: int, **salting) -> DataFrame:
     """``(node, value)``: maximum over all nodes within ``hops`` links.
 
     A maximum of maxima needs one step per hop and never lists the reachable pairs.
     """
-    by_src = SaltedEdges(edges.select("src", "dst"), "src", "dst", **salting)
-    at = materialise(signal.select("node", "value"), "signal")
-    for _ in range(hops):
+    by_src = SaltedEdges.of(edges, ["src", "dst"], "src", "dst", **salting)
+    at = signal.select("node", "value")
+    for k in range(1, hops + 1):
         seen = by_src.join(at).groupBy(F.col("dst").alias("node")).agg(F.max("value").alias("value"))
-        at = materialise(
-            at.union(seen).groupBy("node").agg(F.max("value").alias("value")), "signal"
-        )
+        grown = at.union(seen).groupBy("node").agg(F.max("value").alias("value"))
+        at = _shorten(grown, k, hops)
     return at
 
 
 # spectrum ------------------------------------------------------------------
 
 
-def spectral_radius(edges: DataFrame, rounds: int, seed: int = 42, **salting) -> float:
+def spectral_radius(edges: DataFrame | SaltedEdges, rounds: int, seed: int = 42, **salting) -> float:
     """Largest absolute eigenvalue of a symmetric table by power iteration.
 
-    The ratio of norms is used, which is right for the ±λ pairs of bipartite graphs too.
+    The ratio of the last two norms is used, which is right for the ±λ pairs of
+    bipartite graphs too. The vector is rescaled before its numbers leave the range
+    of doubles.
     """
-    by_src = SaltedEdges(edges, "src", "dst", **salting)
+    by_src = SaltedEdges.of(edges, ["src", "dst", "w"], "src", "dst", **salting)
     start = (uniform(seed, F.col("node"), "power") - 0.5).alias("value")
-    nodes = edges.select(F.col("src").alias("node")).distinct()
-    at, norm, ratio = materialise(nodes.select("node", start), "power"), 1.0, 0.0
+    at = by_src.frame.select(F.col("src").alias("node")).distinct().select("node", start)
 
     def length(frame: DataFrame) -> float:
         return frame.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0]
 
-    norm = length(at)
-    for _ in range(rounds):
-        scaled = at.withColumn("value", F.col("value") / norm)
-        at = materialise(
-            by_src.join(scaled).groupBy(F.col("dst").alias("node"))
-            .agg(F.sum(F.col("value") * F.col("w")).alias("value")), "power"
+    before = at
+    for k in range(1, rounds + 1):
+        before = at
+        at = by_src.join(at).groupBy(F.col("dst").alias("node")).agg(
+            F.sum(F.col("value") * F.col("w")).alias("value")
         )
-        norm = ratio = length(at)
-    return ratio
+        at = materialise(at, "power") if k == rounds - 1 else _shorten(at, k, rounds)
+        if k % RESCALE_ROUNDS == 0 and k < rounds:
+            at = materialise(at, "power")
+            at = materialise(at.withColumn("value", F.col("value") / length(at)), "power")
+    return length(at) / length(before)
+
+
+def scaled_edges(edges: DataFrame | SaltedEdges, rounds: int, seed: int = 42) -> SaltedEdges:
+    """Edges divided by their spectral radius, stored and ready for diffusion."""
+    by_src = SaltedEdges.of(edges, ["src", "dst", "w"], "src", "dst")
+    return by_src.with_weight(F.col("w") / spectral_radius(by_src, rounds, seed))
 
 
 def spectral_scale(edges: DataFrame, rounds: int, seed: int = 42) -> DataFrame:
-    """Edges divided by their spectral radius."""
-    edges = materialise(edges, "edges")
-    radius = spectral_radius(edges, rounds, seed)
-    return edges.select("src", "dst", (F.col("w") / radius).alias("w"))
+    """``(src, dst, w)`` divided by the spectral radius."""
+    return scaled_edges(edges, rounds, seed).frame.select("src", "dst", "w")
 
 
 def laplacian(edges: DataFrame) -> DataFrame:
@@ -244,17 +259,17 @@ def laplacian(edges: DataFrame) -> DataFrame:
 
 def rescaled_laplacian(edges: DataFrame, rounds: int, seed: int = 42) -> DataFrame:
     """``2 L / λmax − I``."""
-    table = materialise(laplacian(edges), "laplacian")
+    table = SaltedEdges(laplacian(edges), "src", "dst")
     top = spectral_radius(table, rounds, seed)
     one = F.when(F.col("src") == F.col("dst"), 1.0).otherwise(0.0)
-    return table.select("src", "dst", (F.col("w") * 2 / top - one).alias("w"))
+    return table.frame.select("src", "dst", (F.col("w") * 2 / top - one).alias("w"))
 
 
 # labelled data sets --------------------------------------------------------
 
 
 def source_data_set(
-    edges: DataFrame, sources: DataFrame, steps: int, train: float, valid: float, seed: int = 42
+    edges: DataFrame | SaltedEdges, sources: DataFrame, steps: int, train: float, valid: float, seed: int = 42
 ) -> DataFrame:
     """``(label, t, split, node, value)``: diffusion of a unit impulse at each source.
 

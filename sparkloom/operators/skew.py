@@ -11,7 +11,9 @@ iterative job shuffle only the node side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import copy
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.session import estimated_bytes, materialise, materialise_bucketed
@@ -29,12 +31,15 @@ class SaltedEdges:
         min_hot_rows: int = MIN_HOT_ROWS, bucket_bytes: int = BUCKET_BYTES,
     ):
         self.key = key
+        self.hot = []
         edges = materialise(edges, "edges")
         parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        limit = max(min_hot_rows, edges.count() // parts)
-        # more than count/parts rows each: at most ``parts`` nodes
-        degrees = edges.groupBy(key).agg(F.count("*").alias("n"))
-        self.hot = [r[key] for r in degrees.where(F.col("n") > limit).collect()]
+        rows = edges.count()
+        if rows > min_hot_rows:
+            # more than rows/parts each: at most ``parts`` nodes
+            degrees = edges.groupBy(key).agg(F.count("*").alias("n"))
+            limit = max(min_hot_rows, rows // parts)
+            self.hot = [r[key] for r in degrees.where(F.col("n") > limit).collect()]
         if self.hot:
             salt = F.pmod(F.xxhash64(other), F.lit(SPREAD)).cast("int")
             edges = edges.withColumn("__salt", F.when(F.col(key).isin(self.hot), salt).otherwise(0))
@@ -42,6 +47,21 @@ class SaltedEdges:
             edges = materialise_bucketed(edges, [key, "__salt"] if self.hot else [key], parts)
         self.edges = edges
 
+    @classmethod
+    def of(cls, edges: DataFrame | SaltedEdges, columns: list[str], key: str, other: str, **options):
+        """``edges`` itself if it is prepared already."""
+        return edges if isinstance(edges, cls) else cls(edges.select(*columns), key, other, **options)
+
+    @property
+    def frame(self) -> DataFrame:
+        return self.edges.drop("__salt")
+
+    def with_weight(self, weight: Column) -> SaltedEdges:
+        """The same stored edges with column ``w`` replaced."""
+        other = copy.copy(self)
+        other.edges = self.edges.withColumn("w", weight)
+        return other
+
     def join(self, rows: DataFrame, node: str = "node") -> DataFrame:
         """Inner join of the edges with ``rows`` on ``key = node``; ``node`` is dropped."""
         rows = rows.withColumnRenamed(node, self.key)

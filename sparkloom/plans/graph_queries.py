@@ -98,7 +98,7 @@ def fuse(spark, root):
 
 
 def _scaled(spark, root):
-    return gr.spectral_scale(trade_edges(spark, root), POWER_ROUNDS, SEED)
+    return gr.scaled_edges(trade_edges(spark, root), POWER_ROUNDS, SEED)
 
 
 def _rounded(df, column="w", digits=6):
@@ -182,7 +182,7 @@ QUERIES = {
     "gr_top_degree": lambda s, d: gr.top_nodes(_degree(s, d), 10),
     "gr_source_nodes": sources,
     "gr_fuse_edges": lambda s, d: _rounded(fuse(s, d)),
-    "gr_spectral_scale": lambda s, d: _rounded(_scaled(s, d), digits=9),
+    "gr_spectral_scale": lambda s, d: _rounded(gr.spectral_scale(trade_edges(s, d), POWER_ROUNDS, SEED), digits=9),
     "gr_laplacian": lambda s, d: _rounded(gr.rescaled_laplacian(trade_edges(s, d), POWER_ROUNDS, SEED), digits=9),
     "gr_diffuse": lambda s, d: _rounded(_diffused(s, d).drop("sample"), "value"),
     "gr_shift_features": shift,
