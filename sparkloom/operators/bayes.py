@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.numeric import log_probability
@@ -55,6 +55,19 @@ class BeliefNetwork(Network):
         self.counts = counts
         return self
 
+    def save(self, path: str) -> None:
+        """Store the counts and the structure under ``path``."""
+        spark = self.counts.sparkSession
+        self.counts.write.parquet(f"{path}/counts")
+        rows = [(n, self.parents[n]) for n in sorted(self.nodes)]
+        spark.createDataFrame(rows, "node string, parents array<string>").write.parquet(f"{path}/structure")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "BeliefNetwork":
+        rows = spark.read.parquet(f"{path}/structure").collect()  # one per variable
+        structure = [(r["parents"], r["node"]) if r["parents"] else r["node"] for r in rows]
+        return cls(*structure).with_counts(spark.read.parquet(f"{path}/counts"))
+
     def cpt(self, node: str) -> DataFrame:
         return C.conditional(self.counts, self, node)
 

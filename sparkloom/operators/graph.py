@@ -17,7 +17,6 @@ from sparkloom.operators.ranking import global_rank
 from sparkloom.operators.skew import SaltedEdges
 from sparkloom.session import materialise
 
-ROUNDS_PER_WRITE = 3
 RESCALE_ROUNDS = 20
 
 
@@ -25,11 +24,6 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _shorten(df: DataFrame, done: int, rounds: int) -> DataFrame:
-    """Cut the plan of an iterative job every few rounds and after the last one."""
-    return materialise(df, "rounds") if done % ROUNDS_PER_WRITE == 0 or done == rounds else df
-
-
 # shape ---------------------------------------------------------------------
 
 
@@ -76,6 +70,17 @@ def minibatches(nodes: DataFrame, size: int, seed: int = 42) -> DataFrame:
     return ranked.withColumn("batch", batch).drop("__key", "__rank")
 
 
+def dataset_stats(edges: DataFrame, features: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: sizes of the graph, its classes, its feature vectors and its splits."""
+    sizes = labels.agg(
+        F.count("*").alias("n_nodes"), F.countDistinct("label").alias("n_classes"),
+        *[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "valid", "test")],
+    )
+    width = features.agg(F.max(F.size("x")).cast("bigint").alias("n")).scalar()
+    links = edges.agg(F.count("*").alias("n")).scalar()
+    return sizes.select("*", width.alias("n_features"), links.alias("n_edges"))
+
+
 # neighbours ----------------------------------------------------------------
 
 
@@ -147,9 +152,9 @@ def smoothed_features(edges: DataFrame | SaltedEdges, features: DataFrame, width
     """Features averaged over neighbours ``rounds`` times: ``(node, x)``."""
     by_src = SaltedEdges.of(edges, ["src", "dst"], "src", "dst")
     at = features.select("node", "x")
-    for k in range(1, rounds + 1):
+    for _ in range(rounds):
         mixed = mean_neighbours(by_src, at, width)
-        at = _shorten(mixed.select("node", F.col("m").alias("x")), k, rounds)
+        at = materialise(mixed.select("node", F.col("m").alias("x")), "features")
     return at
 
 
@@ -197,10 +202,10 @@ def local_max(edges: DataFrame | SaltedEdges, signal: DataFrame, hops: int, **sa
     """
     by_src = SaltedEdges.of(edges, ["src", "dst"], "src", "dst", **salting)
     at = signal.select("node", "value")
-    for k in range(1, hops + 1):
+    for _ in range(hops):
         seen = by_src.join(at).groupBy(F.col("dst").alias("node")).agg(F.max("value").alias("value"))
         grown = at.union(seen).groupBy("node").agg(F.max("value").alias("value"))
-        at = _shorten(grown, k, hops)
+        at = materialise(grown, "maximum")
     return at
 
 
@@ -224,12 +229,11 @@ def spectral_radius(edges: DataFrame | SaltedEdges, rounds: int, seed: int = 42,
     before = at
     for k in range(1, rounds + 1):
         before = at
-        at = by_src.join(at).groupBy(F.col("dst").alias("node")).agg(
-            F.sum(F.col("value") * F.col("w")).alias("value")
+        at = materialise(
+            by_src.join(at).groupBy(F.col("dst").alias("node"))
+            .agg(F.sum(F.col("value") * F.col("w")).alias("value")), "power"
         )
-        at = materialise(at, "power") if k == rounds - 1 else _shorten(at, k, rounds)
         if k % RESCALE_ROUNDS == 0 and k < rounds:
-            at = materialise(at, "power")
             at = materialise(at.withColumn("value", F.col("value") / length(at)), "power")
     return length(at) / length(before)
 

@@ -30,7 +30,7 @@ def stored_points(points: DataFrame) -> DataFrame:
     points = points.select("id", "x")
     cores = points.sparkSession.sparkContext.defaultParallelism
     if estimated_bytes(points) < cores * SPLIT_BYTES:
-        points = points.repartition(cores)
+        points = points.repartition(cores, "id")
     return materialise(points, "points")
 
 

@@ -45,12 +45,7 @@ def part_labels(spark, root):
 
 
 def dataset_stats(spark, root):
-    labels = part_labels(spark, root).agg(
-        F.count("*").alias("n_nodes"), F.countDistinct("label").alias("n_classes"),
-        *[F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "valid", "test")])
-    features = node_features(spark, root).agg(F.max(F.size("x")).cast("bigint").alias("n_features"))
-    edges = trade_edges(spark, root).agg(F.count("*").alias("n_edges"))
-    return labels.join(features).join(edges)  # three single rows
+    return gr.dataset_stats(trade_edges(spark, root), node_features(spark, root), part_labels(spark, root))
 
 
 def minibatch(spark, root):

@@ -25,17 +25,19 @@ def _suppliers(spark, root):
 
 
 def _edge_lists(spark, root):
-    """One row per order: its customer and suppliers as parents, the order as child."""
+    """Rows of parents and children: each order below its customer, and for each line item
+    below its customer and supplier together."""
     orders = table(spark, root, "orders")
-    lines = table(spark, root, "lineitem")
-    suppliers = lines.groupBy("l_orderkey").agg(
-        F.collect_set(F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))).alias("s"))
-    joined = orders.join(suppliers, orders.o_orderkey == suppliers.l_orderkey, "left")
-    return joined.select(
-        F.concat(F.array(F.concat(F.lit("C"), F.col("o_custkey").cast("string"))),
-                 F.coalesce("s", F.array().cast("array<string>"))).alias("parents"),
-        F.array(F.concat(F.lit("O"), F.col("o_orderkey").cast("string"))).alias("children"),
-    )
+    lines = table(spark, root, "lineitem").select("l_orderkey", "l_suppkey")
+
+    def name(kind, col):
+        return F.concat(F.lit(kind), F.col(col).cast("string"))
+
+    child = F.array(name("O", "o_orderkey")).alias("children")
+    customer, supplier = name("C", "o_custkey"), name("S", "l_suppkey")
+    pairs = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return orders.select(F.array(customer).alias("parents"), child).union(
+        pairs.select(F.array(customer, supplier).alias("parents"), child))
 
 
 def _rounded_mi(df):

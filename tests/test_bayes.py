@@ -206,6 +206,12 @@ def test_predict_proba(spark, net):
     assert logs["?"] == float("-inf") and logs["p"] == pytest.approx(math.log(full[("x", "u", "m", "p")]))
 
 
+def test_save_and_load(spark, net, rows, tmp_path):
+    net.save(str(tmp_path / "net"))
+    again = BeliefNetwork.load(spark, str(tmp_path / "net"))
+    assert again.parents == net.parents and rows(again.tables()) == rows(net.tables())
+
+
 def test_unseen_parents_renormalise(spark):
     df = spark.createDataFrame([("x", "u", "m"), ("y", "v", "n")], "a string, b string, c string")
     net = BeliefNetwork(("a", "c"), ("b", "c")).fit(df)
