@@ -204,9 +204,9 @@ def test_classification(spark):
 
 
 def test_experiments(spark):
-    runs = spark.createDataFrame([("SelGNNdegG00R03",), ("SelGNNG01R00",), ("other",)], "run string")
-    models = spark.createDataFrame([("SelGNN",), ("SelGNNdeg",), ("Agg",)], "model string")
-    assert {tuple(r) for r in ex.run_models(runs, models).collect()} == {("SelGNNdegG00R03", "SelGNNdeg"), ("SelGNNG01R00", "SelGNN")}
+    runs = spark.createDataFrame([("pickdegG00R03",), ("pickG01R00",), ("other",)], "run string")
+    models = spark.createDataFrame([("pick",), ("pickdeg",), ("Agg",)], "model string")
+    assert {tuple(r) for r in ex.run_models(runs, models).collect()} == {("pickdegG00R03", "pickdeg"), ("pickG01R00", "pick")}
     rng = random.Random(2)
     data = [("m", g, r, s, rng.random()) for g in range(3) for r in range(g + 1) for s in range(5)]
     results = spark.createDataFrame(data, "model string, graph int, realization int, step int, value double")
