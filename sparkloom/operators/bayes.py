@@ -16,6 +16,9 @@ from sparkloom.operators.network import Network
 from sparkloom.session import materialise
 
 
+RESERVED = {"n", "p", "node", "gid", "weight"}
+
+
 class BeliefNetwork(Network):
     """A network with fitted conditional tables.
 
@@ -30,6 +33,9 @@ class BeliefNetwork(Network):
 
     def __init__(self, *structure, prior_count: int | None = None):
         super().__init__(*structure)
+        taken = sorted(RESERVED & set(self.nodes))
+        if taken:
+            raise ValueError(f"rename these variables, the tables use the names: {taken}")
         self.prior_count = prior_count
         self.counts: DataFrame | None = None
 

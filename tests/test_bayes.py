@@ -70,6 +70,11 @@ def test_structure():
         Network(("a", "b"), ("b", "a"))
 
 
+def test_reserved_names():
+    with pytest.raises(ValueError, match="rename"):
+        BeliefNetwork(("a", "p"))
+
+
 def test_tables_sum_to_one(net):
     for node in net.nodes:
         sums = {}
