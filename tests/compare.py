@@ -76,7 +76,8 @@ def main() -> int:
     if os.environ.get("PLAIN_SESSION"):  # Spark's defaults and another time zone
         from pyspark.sql import SparkSession
         spark = SparkSession.builder.master("local[8]").config(
-            "spark.sql.session.timeZone", "America/New_York").config("spark.driver.memory", "8g").getOrCreate()
+            "spark.sql.session.timeZone", "America/New_York").config("spark.driver.memory", "8g").config(
+            "spark.ui.showConsoleProgress", "false").getOrCreate()
     else:
         spark = build_session("local[8]")
     spark.sparkContext.setLogLevel("ERROR")
