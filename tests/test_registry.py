@@ -2,9 +2,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import differences, duck
+from sparkloom.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+SQL = registry.oracle_sql()
 ROWS_ONLY = {"gr_sgc_predict"}
 
 
@@ -14,8 +15,8 @@ def con():
 
 
 def test_every_query_has_sql_but_the_trained_one():
-    assert set(entry.queries()) - set(SQL) == ROWS_ONLY
-    assert set(SQL) <= set(entry.queries())
+    assert set(registry.queries()) - set(SQL) == ROWS_ONLY
+    assert set(SQL) <= set(registry.queries()) <= set(entry.queries())
 
 
 def test_entry(spark):
@@ -23,7 +24,7 @@ def test_entry(spark):
     assert answer.columns == ["st", "p"] and answer.count() == 3
 
 
-@pytest.mark.parametrize("key", sorted(entry.queries()))
+@pytest.mark.parametrize("key", sorted(registry.queries()))
 def test_query(spark, con, key):
     df = entry.queries()[key](spark, SF)
     if key in SQL:
