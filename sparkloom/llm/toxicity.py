@@ -13,6 +13,7 @@ per subsequence, and scoring a text is a handful of table look-ups per letter in
 
 from __future__ import annotations
 
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import combinations
@@ -29,7 +30,7 @@ DECAY = 0.7
 SPAN = 6
 BASE = 28  # 1..26 letters, 27 any byte of a non-ASCII character
 LANDMARKS = 96
-SAMPLE_ROWS = 4000  # labelled documents the machine learns from, at most
+SAMPLE_ROWS = 3000  # labelled documents the machine learns from, at most
 SAMPLE_BYTES = 20_000  # longer texts are left out of the sample
 ROUNDS = 5
 STEM = 5  # letters of a stem
@@ -114,7 +115,7 @@ class ToxicityModel:
 
 def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, subsequence number, normalised weight) triples."""
-    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    data = np.frombuffer(" ".join(words).encode().replace(b"~", b"\xff"), np.uint8)
     letters, first, _ = letters_of(data, np.array([0, len(data)]))
     lengths = np.diff(np.r_[first, len(letters)])
     word = np.repeat(np.arange(len(first)), lengths)
@@ -126,12 +127,12 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _words(text: str) -> set[str]:
-    """Distinct normalised words of four letters or more."""
+    """Distinct normalised words of 4 to 40 letters; ~ stands for a byte of a non-ASCII letter."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     letters, first, _ = letters_of(data, np.array([0, len(data)]))
     keys = np.array([0, *range(97, 123), 126], np.uint8)[letters].tobytes().decode()
     ends = [*first[1:].tolist(), len(keys)]
-    return {keys[a:b] for a, b in zip(first.tolist(), ends) if 4 <= b - a <= 40}
+    return {sys.intern(keys[a:b]) for a, b in zip(first.tolist(), ends) if 4 <= b - a <= 40}
 
 
 def _landmarks(bags: list[tuple[set[str], int]], y: np.ndarray) -> tuple[list[str], dict[str, float]]:
@@ -194,19 +195,14 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> ToxicityModel:
 
     vocabulary = sorted(set().union(*(w for w, _ in bags)))
     number_of = {w: i for i, w in enumerate(vocabulary)}
-    owner, number, weight = _features(vocabulary)
-    place = np.searchsorted(columns, number)
-    place[place == len(columns)] = 0
-    hit = columns[place] == number
     to_landmarks = np.zeros((len(vocabulary), len(landmarks)), np.float32)
-    step = 20_000  # words at a time
-    owner, place, weight = owner[hit], place[hit], weight[hit]
-    by_owner = np.argsort(owner, kind="stable")
-    owner, place, weight = owner[by_owner], place[by_owner], weight[by_owner]
+    step = 4000  # words at a time
     for a in range(0, len(vocabulary), step):
-        lo, hi = np.searchsorted(owner, [a, a + step])
+        owner, number, weight = _features(vocabulary[a:a + step])
+        place = np.minimum(np.searchsorted(columns, number), len(columns) - 1)
+        hit = columns[place] == number
         block = np.zeros((min(step, len(vocabulary) - a), len(columns)), np.float32)
-        np.add.at(block, (owner[lo:hi] - a, place[lo:hi]), weight[lo:hi])
+        np.add.at(block, (owner[hit], place[hit]), weight[hit])
         to_landmarks[a:a + step] = block @ phi.T.astype(np.float32)
     z = to_landmarks @ half.astype(np.float32)
 
