@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, mixing, sharding, simhash, toxicity
+from sparkloom.llm import ann, decontaminate, langid, mixing, sharding, simhash, substring, tokencounts, tokenfile, toxicity
 from sparkloom.llm.common import held_out, table
+from sparkloom.llm.tokens import tokenizer_path
+from sparkloom.session import materialise, new_path
 
 
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,11 +16,43 @@ def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(langid.learning_sample(docs))
+    return langid.identify(docs.select("doc_id", "text"), net).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang.language").alias("lang_pred"), "__lang.score"
+    )
+
+
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load all documents, delete those labelled as poor, commit the load again without effect."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    counts = materialise(tokencounts.count_tokens(docs, tokenizer_path()), "token-counts")
+    load = counts.withColumns({"op": F.lit("insert"), "version": F.lit("byte_bpe_50k")})
+    poor = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id")
+    drop = load.join(poor, "doc_id", "left_semi").withColumn("op", F.lit("delete"))
+    rollup = tokencounts.TokenRollup(spark, new_path(spark, "token-rollup"))
+    for batch, changes in ((1, load), (2, drop), (1, load)):
+        rollup.commit(batch, changes)
+    return rollup.totals()
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "__mix.*")
 
 
+def op6_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-file")
+    tokenfile.write(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return tokenfile.read_documents(spark, path)
+
+
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sharding.shard(docs, 8).withColumn("grown_shard", F.lit(None).cast("int"))
@@ -37,12 +71,21 @@ def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES = {
     "op1_simhash_groups": op1_simhash_groups,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_language": op3_language,
+    "op4_token_rollup": op4_token_rollup,
     "op5_source_mix": op5_source_mix,
+    "op6_token_file": op6_token_file,
     "op7_hilbert_shards": op7_hilbert_shards,
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_leaks": op9_benchmark_leaks,
+    "op10_kmeans_tree_neighbours": op10_kmeans_tree_neighbours,
 }
 
 SQL = {

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20  # numpy works on so many bytes at once
+PIECE_BYTES = 1 << 20  # numpy works on so many bytes at once
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 SPACE = _SPACE
