@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,6 +165,7 @@ def repeated_starts(docs: DataFrame, sketch: np.ndarray, cells: int, buckets: in
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bits = WindowHashes(), shared.value
         ids, marks, held, words = [], [], [], 0
+        chunk = TaskContext.get().partitionId() << 33
 
         def emit():
             window = np.concatenate([h for _, h, _ in held])
@@ -172,35 +174,23 @@ def repeated_starts(docs: DataFrame, sketch: np.ndarray, cells: int, buckets: in
             order = np.argsort(window, kind="stable")
             window, row, start = window[order], row[order], start[order]
             first = np.r_[True, window[1:] != window[:-1]]
-            several = np.zeros(len(window), bool)
-            several[:-1] |= ~first[1:]
-            several |= ~first
+            several = ~first | np.r_[~first[1:], False]
             # met twice here: known to be repeated, and one entry tells the other tasks
-            yield from _rows(np.flatnonzero(several), row, start)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([-1], pa.int32()), pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([marks], pa.list_(pa.int64())),
+                pa.nulls(1, pa.binary()), pa.array([row[several].astype("<u4").tobytes()], pa.binary()), pa.array([start[several].astype("<u4").tobytes()], pa.binary()),
+            ], names)
             keep = np.flatnonzero(first)
             bucket = (window[keep] % np.uint64(buckets)).astype(np.int64)
             by_bucket = np.argsort(bucket, kind="stable")
             keep, bucket = keep[by_bucket], bucket[by_bucket]
             at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            for a, b in zip(at, [*at[1:].tolist(), len(bucket)]):
-                k = keep[a:b]
-                rows, place = np.unique(row[k], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([int(bucket[a])], pa.int32()), pa.array([[ids[r] for r in rows]], pa.list_(id_type)), pa.array([[marks[r] for r in rows]], pa.list_(pa.int64())),
-                    pa.array([window[k].tobytes()], pa.binary()), pa.array([place.astype("<u4").tobytes()], pa.binary()),
-                    pa.array([(start[k] | (several[k].astype(np.int64) << 31)).astype("<u4").tobytes()], pa.binary()),
-                ], names)
-
-        def _rows(at, row, start):
-            if not len(at):
-                return
-            at = at[np.argsort(row[at], kind="stable")]
-            cut = np.flatnonzero(np.r_[True, row[at][1:] != row[at][:-1]])
-            groups = list(zip(cut, [*cut[1:].tolist(), len(at)]))
+            parts = [keep[a:b] for a, b in zip(at, [*at[1:].tolist(), len(bucket)])]
+            packed = (start | (several.astype(np.int64) << 31)).astype("<u4")
             yield pa.RecordBatch.from_arrays([
-                pa.array([-1] * len(groups), pa.int32()), pa.array([[ids[row[at[a]]]] for a, _ in groups], pa.list_(id_type)),
-                pa.array([[marks[row[at[a]]]] for a, _ in groups], pa.list_(pa.int64())), pa.nulls(len(groups), pa.binary()), pa.nulls(len(groups), pa.binary()),
-                pa.array([start[at[a:b]].astype("<u4").tobytes() for a, b in groups], pa.binary()),
+                pa.array(bucket[at].astype(np.int32)), pa.array(np.full(len(at), chunk)), pa.nulls(len(at), pa.list_(id_type)), pa.nulls(len(at), pa.list_(pa.int64())),
+                pa.array([window[k].tobytes() for k in parts], pa.binary()), pa.array([row[k].astype("<u4").tobytes() for k in parts], pa.binary()),
+                pa.array([packed[k].tobytes() for k in parts], pa.binary()),
             ], names)
 
         for batch in batches:
@@ -221,43 +211,58 @@ def repeated_starts(docs: DataFrame, sketch: np.ndarray, cells: int, buckets: in
                     words += len(start)
                 if words >= CHUNK_WORDS:
                     yield from emit()
-                    ids, marks, held, words = [], [], [], 0
+                    ids, marks, held, words, chunk = [], [], [], 0, chunk + 1
         if held:
             yield from emit()
 
-    names = ["bucket", "ids", "ths", "windows", "place", "starts"]
+    names = ["bucket", "chunk", "ids", "ths", "windows", "rows", "starts"]
     id_sql = docs.schema["doc_id"].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_sql]
 
+    def numbers(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """(all numbers of a binary column, their counts by row)."""
+        parts = [np.frombuffer(v.as_py(), kind) for v in column]
+        return np.concatenate(parts), np.array([len(p) for p in parts])
+
     def group(table: pa.Table) -> pa.Table:
-        windows, owner, starts, ids, marks = [], [], [], [], []
-        for part in table.to_batches():
-            for row_ids, ths, w, place, s in zip(*(part.column(c) for c in ("ids", "ths", "windows", "place", "starts"))):
-                windows.append(np.frombuffer(w.as_py(), np.uint64))
-                owner.append(np.frombuffer(place.as_py(), "<u4").astype(np.int64) + len(ids))
-                starts.append(np.frombuffer(s.as_py(), "<u4"))
-                ids += row_ids.as_py()
-                marks += ths.as_py()
-        window, owner, starts = np.concatenate(windows), np.concatenate(owner), np.concatenate(starts)
+        """Answer every chunk's entries of a bucket: those whose window is met again."""
+        window, counts = numbers(table.column("windows"), "<u8")
+        row, start = numbers(table.column("rows"), "<u4")[0], numbers(table.column("starts"), "<u4")[0]
+        chunk = np.repeat(table.column("chunk").to_numpy(), counts)
         order = np.argsort(window, kind="stable")
-        window, owner, starts = window[order], owner[order], starts[order]
-        same = window[1:] == window[:-1]
-        again = np.r_[False, same] | np.r_[same, False]
-        hit = np.flatnonzero(again & (starts >> 31 == 0))  # marked ones are known already
-        hit = hit[np.argsort(owner[hit], kind="stable")]
-        cut = np.flatnonzero(np.r_[True, owner[hit][1:] != owner[hit][:-1]]) if len(hit) else []
-        groups = list(zip(cut, [*cut[1:].tolist(), len(hit)])) if len(hit) else []
+        same = window[order][1:] == window[order][:-1]
+        again = np.zeros(len(window), bool)
+        again[order] = np.r_[False, same] | np.r_[same, False]
+        hit = np.flatnonzero(again & (start >> 31 == 0))  # marked ones are known already
+        hit = hit[np.argsort(chunk[hit], kind="stable")]
+        at = np.flatnonzero(np.r_[True, chunk[hit][1:] != chunk[hit][:-1]]) if len(hit) else hit
+        parts = [hit[a:b] for a, b in zip(at, [*at[1:].tolist(), len(hit)])]
+        return pa.table({
+            "chunk": pa.array(chunk[hit[at]], pa.int64()), "ids": pa.nulls(len(at), pa.list_(id_type)), "ths": pa.nulls(len(at), pa.list_(pa.int64())),
+            "rows": pa.array([row[k].tobytes() for k in parts], pa.binary()), "starts": pa.array([start[k].tobytes() for k in parts], pa.binary()),
+        })
+
+    def per_document(table: pa.Table) -> pa.Table:
+        """Bring the answers of a chunk together by its documents."""
+        known = np.flatnonzero(table.column("ids").is_valid().to_numpy())[0]
+        ids, marks = table.column("ids")[known].as_py(), table.column("ths")[known].as_py()
+        row, start = numbers(table.column("rows"), "<u4")[0], numbers(table.column("starts"), "<u4")[0]
+        order = np.argsort(row, kind="stable")
+        row, start = row[order], start[order]
+        at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else order
+        ends = [*at[1:].tolist(), len(row)]
         return pa.table({
-            "doc_id": pa.array([ids[owner[hit[a]]] for a, _ in groups], id_type), "th": pa.array([marks[owner[hit[a]]] for a, _ in groups], pa.int64()),
-            "starts": pa.array([starts[hit[a:b]].tobytes() for a, b in groups], pa.binary()),
+            "doc_id": pa.array([ids[r] for r in row[at]], id_type), "th": pa.array([marks[r] for r in row[at]], pa.int64()),
+            "starts": pa.array([start[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
         })
 
-    sent = docs.select("doc_id", "th", "text").mapInArrow(
-        candidates, f"bucket int, ids array<{id_sql}>, ths array<bigint>, windows binary, place binary, starts binary")
-    sent = materialise(sent, "candidates")
-    local = sent.filter("bucket < 0").select(F.col("ids")[0].alias("doc_id"), F.col("ths")[0].alias("th"), "starts")
-    across = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(group, f"doc_id {id_sql}, th bigint, starts binary")
-    return local.unionByName(across)
+    answer = f"chunk bigint, ids array<{id_sql}>, ths array<bigint>, rows binary, starts binary"
+    # chunk numbers name rows of this table, so it is stored before they are used
+    sent = materialise(docs.select("doc_id", "th", "text").mapInArrow(
+        candidates, f"bucket int, chunk bigint, ids array<{id_sql}>, ths array<bigint>, windows binary, rows binary, starts binary"), "candidates")
+    across = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(group, answer)
+    local = sent.filter("bucket < 0").select("chunk", "ids", "ths", "rows", "starts")
+    return local.unionByName(across).groupBy("chunk").applyInArrow(per_document, f"doc_id {id_sql}, th bigint, starts binary")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
