@@ -63,6 +63,8 @@ class ByteNetwork:
     training = False
 
     def probabilities(self, windows: np.ndarray) -> np.ndarray:
+        if not self.languages:
+            return np.zeros((len(windows), 0))
         _, _, best = self.pooled(windows)
         z = np.maximum(best + self.bias, 0) @ self.out + self.shift
         z = np.exp(z - z.max(axis=1, keepdims=True))

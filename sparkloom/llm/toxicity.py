@@ -3,7 +3,8 @@
 The kernel of two words sums over their common subsequences of three and four letters within
 six places, each weighing DECAY per place it spans, so a gap or an inserted character weakens
 a match and does not end it. Characters that are no letters are dropped inside words, and
-single letters in a row count as one word, so spelled-out insults meet the kernel too.
+single letters in a row count as one word, so spelled-out insults meet the kernel too. The
+start of a word counts as a letter of its own.
 
 A document is toxic if one of its words is: training alternates between choosing each
 labelled document's most toxic words and fitting a linear machine on their Nystroem features
@@ -28,7 +29,7 @@ from sparkloom.llm.textbatch import SPACE, pieces
 
 DECAY = 0.7
 SPAN = 6
-BASE = 28  # 1..26 letters, 27 any byte of a non-ASCII character
+BASE = 29  # 1..26 letters, 27 any byte of a non-ASCII character, 28 the start of a word
 LANDMARKS = 96
 SAMPLE_ROWS = 3000  # labelled documents the machine learns from, at most
 SAMPLE_BYTES = 20_000  # longer texts are left out of the sample
@@ -36,11 +37,15 @@ ROUNDS = 5
 STEM = 5  # letters of a stem
 WITNESSES = 4  # words that speak for a document in training
 THRESHOLD = 0.7
+FIRST_SHARE = 0.4  # least shrunk share of toxic documents for a first witness
+FLOOR = -1.0  # least word score that counts
 
 _CLASS = np.zeros(256, np.int32)
 _CLASS[ord("a"):ord("z") + 1] = np.arange(1, 27)
 _CLASS[ord("A"):ord("Z") + 1] = np.arange(1, 27)
 _CLASS[128:] = 27
+_LETTERS = _CLASS.copy()  # of strings with ~ for 27 and ^ for 28
+_LETTERS[ord("~")], _LETTERS[ord("^")] = 27, 28
 _PATTERNS = [(0, *rest) for n in (2, 3) for rest in combinations(range(1, SPAN), n)]
 _SIZE = BASE**3 + BASE**4
 
@@ -54,7 +59,7 @@ def _norms(longest: int) -> np.ndarray:
 
 
 def letters_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(letters, index of each word's first letter, row of each word)."""
+    """(letters, index of each word's start mark, row of each word)."""
     starts_row = np.zeros(len(data) + 1, bool)
     starts_row[offsets[:-1]] = True
     word = np.cumsum(SPACE[data] | starts_row[:-1], dtype=np.int32)
@@ -66,7 +71,8 @@ def letters_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     row = np.searchsorted(offsets, at[first], "right") - 1
     single = np.diff(np.r_[first, len(at)]) == 1
     joined = np.r_[False, single[1:] & single[:-1] & (row[1:] == row[:-1])]
-    return letters, first[~joined], row[~joined]
+    first, row = first[~joined], row[~joined]
+    return np.insert(letters, first, 28), first + np.arange(len(first)), row
 
 
 def _terms(letters: np.ndarray, word: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -98,26 +104,39 @@ def word_scores(letters: np.ndarray, first: np.ndarray, weights: np.ndarray) ->
 
 
 class ToxicityModel:
-    """weights: one per subsequence; offset; slope and shift of the probability."""
+    """weights: one per subsequence; offset of the machine; curve: slopes for the two document features, shift."""
 
-    def __init__(self, weights, offset, slope, shift):
-        self.weights, self.offset, self.slope, self.shift = weights, offset, slope, shift
+    def __init__(self, weights: np.ndarray, offset: float, curve: tuple[float, float, float]):
+        self.weights, self.offset, self.curve = weights, offset, curve
 
-    def scores(self, column: pa.Array) -> np.ndarray:
-        """Probability per row; a row without words gets the lowest."""
-        best = np.full(len(column), -1.0)
+    def features(self, column: pa.Array) -> np.ndarray:
+        """Largest word score per row, and the mean of the three largest; scores of less than -1 count as -1."""
+        rows_of, scores_of = [np.zeros(0, np.int64)], [np.zeros(0)]
         for data, offsets, rows in pieces(column):
             letters, first, row = letters_of(data, offsets)
-            if len(first):
-                np.maximum.at(best, rows[row], word_scores(letters, first, self.weights) + self.offset)
-        return 1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -50, 50)))
+            found = word_scores(letters, first, self.weights) + self.offset
+            high = found > FLOOR
+            rows_of.append(rows[row[high]])
+            scores_of.append(found[high])
+        row, score = np.concatenate(rows_of), np.concatenate(scores_of)
+        order = np.lexsort((-score, row))
+        row, score = row[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        top = np.full((len(column), 3), FLOOR)
+        top[row[place < 3], place[place < 3]] = score[place < 3]
+        return np.c_[top[:, 0], top.mean(axis=1)]
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        """Probability per row; a row without words gets the lowest."""
+        z = self.features(column) @ np.array(self.curve[:2]) + self.curve[2]
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, subsequence number, normalised weight) triples."""
-    data = np.frombuffer(" ".join(words).encode().replace(b"~", b"\xff"), np.uint8)
-    letters, first, _ = letters_of(data, np.array([0, len(data)]))
-    lengths = np.diff(np.r_[first, len(letters)])
+    letters = _LETTERS[np.frombuffer("".join(words).encode(), np.uint8)]
+    lengths = np.array([len(w) for w in words])
+    first = np.cumsum(lengths) - lengths
     word = np.repeat(np.arange(len(first)), lengths)
     found = [(word[i], n, np.full(len(i), w)) for i, n, w in _terms(letters, word)]
     if not found:
@@ -127,16 +146,18 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _words(text: str) -> set[str]:
-    """Distinct normalised words of 4 to 40 letters; ~ stands for a byte of a non-ASCII letter."""
+    """Distinct normalised words of 4 to 40 letters behind ^; ~ stands for a byte of a non-ASCII letter."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     letters, first, _ = letters_of(data, np.array([0, len(data)]))
-    keys = np.array([0, *range(97, 123), 126], np.uint8)[letters].tobytes().decode()
+    keys = np.array([0, *range(97, 123), 126, 94], np.uint8)[letters].tobytes().decode()
     ends = [*first[1:].tolist(), len(keys)]
-    return {sys.intern(keys[a:b]) for a, b in zip(first.tolist(), ends) if 4 <= b - a <= 40}
+    return {sys.intern(keys[a:b]) for a, b in zip(first.tolist(), ends) if 5 <= b - a <= 41}
 
 
 def _landmarks(bags: list[tuple[set[str], int]], y: np.ndarray) -> tuple[list[str], dict[str, float]]:
-    """Landmark strings, and the lift of strings: (p - q)^2 / (p + q) for the shares p of toxic and q of clean documents that hold it.
+    """Landmark strings, and for each string that toxic documents hold the shrunk share of toxic among its documents.
+
+    The lift of a string is (p - q)^2 / (p + q) for the shares p of toxic and q of clean documents that hold it.
 
     Candidates are words and stems (runs of STEM letters within words), as insults are inflected. Each turn takes
     the one with the most lift, where a toxic document counts half as much each time a
@@ -167,7 +188,8 @@ def _landmarks(bags: list[tuple[set[str], int]], y: np.ndarray) -> tuple[list[st
         best = max(candidates, key=lambda s: worth[candidates[s]].sum() * lift[s] / len(candidates[s]))
         worth[candidates.pop(best)] /= 2
         chosen.append(best)
-    return list(dict.fromkeys(chosen + common)), lift
+    worst = {s: len(at) / (len(at) + clean[s] + 5) for s, at in holders.items()}
+    return list(dict.fromkeys(chosen + common)), worst
 
 
 def _stems(word: str) -> set[str]:
@@ -182,8 +204,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> ToxicityModel:
     y = np.array([y for _, y in bags])
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
-        return ToxicityModel(np.zeros(_SIZE, np.float32), 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    landmarks, lift = _landmarks(bags, y)
+        return ToxicityModel(np.zeros(_SIZE, np.float32), 0.0, (0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3)))))
+    landmarks, worst = _landmarks(bags, y)
 
     owner, number, weight = _features(landmarks)
     columns, place = np.unique(number, return_inverse=True)
@@ -207,12 +229,12 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> ToxicityModel:
     z = to_landmarks @ half.astype(np.float32)
 
     members = [np.array([number_of[w] for w in words]) for words, _ in bags]
-    # first witnesses: words that hold the stem of most lift
-    score = np.array([max([lift.get(w, 0.0), *(lift.get(s, 0.0) for s in _stems(w))]) for w in vocabulary])
+    # first witnesses: words that hold a string mostly met in toxic documents
+    score = np.array([max([worst.get(w, 0.0), *(worst.get(s, 0.0) for s in _stems(w))]) for w in vocabulary])
     beta, b = np.zeros(z.shape[1]), 0.0
     for turn in range(ROUNDS):
         rows, target, mass = [], [], []
-        cut = np.quantile([score[m].max() for m, t in zip(members, y) if t == 0], 0.95)
+        cut = np.quantile([score[m].max() for m, t in zip(members, y) if t == 0], 0.85) if turn else FIRST_SHARE
         for m, t in zip(members, y):
             top = m[np.argsort(-score[m], kind="stable")[:WITNESSES]]
             # words like the worst of clean documents are no witnesses; a document labelled toxic may have none
@@ -229,9 +251,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> ToxicityModel:
     alpha = half @ beta
     weights = np.zeros(_SIZE, np.float32)
     weights[columns] = (phi.T @ alpha).astype(np.float32)
-    model = ToxicityModel(weights, float(b), 0.0, 0.0)
-    best = np.array([max(-1.0, score[m].max()) for m in members])
-    model.slope, model.shift = _probability(best, y)
+    model = ToxicityModel(weights, float(b), (0.0, 0.0, 0.0))
+    model.curve = _curve(model.features(pa.array([t for t, _ in seen])), np.array([y for _, y in seen]))
     return model
 
 
@@ -251,15 +272,15 @@ def _svm(x: np.ndarray, y: np.ndarray, mass: np.ndarray, ridge: float = 1e-4) ->
     return w[:-1], float(w[-1])
 
 
-def _probability(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through (f, y)."""
-    w = np.array([1.0, 0.0])
-    a = np.c_[f, np.ones(len(f))]
+def _curve(f: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Slopes and shift of a logistic curve through (f, y)."""
+    a, w = np.c_[f, np.ones(len(f))], np.zeros(f.shape[1] + 1)
+    penalty = np.array([1e-2] * f.shape[1] + [1e-6])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([1e-2, 1e-6])
-        w = w + np.linalg.solve(h, a.T @ (y - p) - np.array([1e-2, 1e-6]) * w)
-    return max(float(w[0]), 0.0), float(w[1])
+        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty)
+        w = w + np.linalg.solve(h, a.T @ (y - p) - penalty * w)
+    return tuple(w.tolist())
 
 
 def learning_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
