@@ -28,7 +28,14 @@ def _model(rows: Matrix) -> np.ndarray:
 
 
 def as_matrix(x: pa.Array) -> np.ndarray:
-    """Rows of an Arrow list column of equal lengths."""
+    """Rows of an Arrow list column; null rows, null or NaN components and unequal lengths are errors."""
+    lengths = np.diff(x.offsets.to_numpy()) if len(x) else np.zeros(0, int)
+    flat = x.flatten()
+    bad = max(x.null_count, int((lengths != lengths[:1]).sum()))
+    if not bad and (flat.null_count or np.isnan(flat.to_numpy(zero_copy_only=False).astype(float)).any()):
+        bad = sum(v is None or None in v or any(c != c for c in v) for v in x.to_pylist())
+    if bad:
+        raise ValueError(f"{bad} of {len(x)} vectors of a batch are null, of another length or hold nulls or NaN")
     return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
 
 

@@ -107,11 +107,14 @@ class BeliefNetwork(Network):
         id_col: str = "id",
         seed: int = 42,
         n_iterations: int = 100,
+        sweeps: int = 2,
+        burn_in: int = 0,
     ) -> DataFrame:
         """Posterior of ``query`` given ``event``, columns in name order plus ``p``.
 
         The sampling algorithms draw one sample (one chain for ``gibbs``) per row of
-        ``rows``; without ``rows`` they draw ``n_iterations`` of them.
+        ``rows``; without ``rows`` they draw ``n_iterations`` of them. A ``gibbs`` chain
+        makes ``sweeps`` passes over the free variables and records those after ``burn_in``.
         """
         if not query:
             raise ValueError("name at least one query variable")
@@ -129,7 +132,8 @@ class BeliefNetwork(Network):
                 "likelihood": sampling.likelihood_weighting,
                 "gibbs": sampling.gibbs,
             }[algorithm]
-            answer = draw(self, list(query), event, rows, id_col, seed)
+            more = {"sweeps": sweeps, "burn_in": burn_in} if algorithm == "gibbs" else {}
+            answer = draw(self, list(query), event, rows, id_col, seed, **more)
         names = sorted(query)
         return answer.select(*names, "p").orderBy(*names)
 

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from sparkloom.operators.ranking import global_rank
 from sparkloom.session import materialise
 
-MAX_DEPTH = 1000
-
 
 def edges_from_lists(spec: DataFrame, parents: str = "parents", children: str = "children") -> DataFrame:
     """Rows of (list of parents, list of children) → distinct ``(parent, child)`` pairs."""
@@ -38,7 +36,9 @@ def ancestors(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """``(node, ancestor)`` pairs for the nodes in ``of`` (all nodes by default).
 
     Round k holds the distinct pairs that are k links apart, so a round is never
-    larger than the result and the number of rounds is the depth of the graph.
+    larger than the result and the number of rounds is the depth of the graph. With
+    all nodes a cycle shows as a node above itself. With ``of`` a round leaves out the
+    pairs already known, so a cycle above the chosen nodes ends as well.
     """
     links = edges.select(F.col("child").alias("at"), F.col("parent").alias("ancestor")).distinct()
     links = materialise(links, "links")
@@ -47,7 +47,7 @@ def ancestors(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
         first = first.join(of.select("node").distinct(), "node", "left_semi")
     fresh = materialise(first, "pairs")
     found = []
-    for _ in range(MAX_DEPTH):
+    while True:
         loops, pairs = fresh.agg(F.count_if(F.col("node") == F.col("ancestor")), F.count("*")).first()
         if loops:
             raise ValueError("the graph has a cycle")
@@ -55,7 +55,11 @@ def ancestors(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
             break
         found.append(fresh)
         step = fresh.select("node", F.col("ancestor").alias("at")).join(links, "at")
-        fresh = materialise(step.select("node", "ancestor").distinct(), "pairs")
+        step = step.select("node", "ancestor").distinct()
+        if of is not None:
+            known = reduce(lambda a, b: a.unionByName(b), found)
+            step = step.join(known, ["node", "ancestor"], "left_anti")
+        fresh = materialise(step, "pairs")
     return reduce(lambda a, b: a.unionByName(b), found).distinct() if found else fresh
 
 
@@ -84,25 +88,25 @@ def markov_boundary(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
 def topological_level(edges: DataFrame) -> DataFrame:
     """``(node, level)``: length of the longest path from a root.
 
-    Round k holds the distinct nodes that some path of k links reaches.
+    Peels the graph: a node is free once all its parents are, and every link is followed
+    once. Nodes that never become free lie on a cycle or below one.
     """
     links = materialise(edges.select("parent", "child").distinct(), "links")
-    at = materialise(roots(links), "level")
+    free = materialise(roots(links), "level")
+    waiting = materialise(links.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("parents")), "waiting")
     levels = []
-    for k in range(MAX_DEPTH):
-        if at.isEmpty():
-            break
-        levels.append(at.withColumn("level", F.lit(k).cast("bigint")))
-        at = materialise(
-            links.join(at.select(F.col("node").alias("parent")), "parent", "left_semi")
-            .select(F.col("child").alias("node")).distinct(), "level",
+    while not free.isEmpty():
+        levels.append(free.withColumn("level", F.lit(len(levels)).cast("bigint")))
+        met = (
+            links.join(free.select(F.col("node").alias("parent")), "parent")
+            .groupBy(F.col("child").alias("node")).agg(F.count("*").alias("met"))
         )
-    else:
-        raise ValueError("the graph has a cycle or is deeper than the limit")
-    if not levels:
-        raise ValueError("the graph has no root")
-    stacked = reduce(lambda a, b: a.unionByName(b), levels)
-    return stacked.groupBy("node").agg(F.max("level").alias("level"))
+        left = waiting.join(met, "node", "left").select("node", (F.col("parents") - F.coalesce("met", F.lit(0))).alias("parents"))
+        left = materialise(left, "waiting")
+        free, waiting = left.where("parents = 0").select("node"), left.where("parents > 0")
+    if not waiting.isEmpty():
+        raise ValueError("the graph has a cycle")
+    return reduce(lambda a, b: a.unionByName(b), levels) if levels else free.withColumn("level", F.lit(0).cast("bigint"))
 
 
 def topological_order(edges: DataFrame) -> DataFrame:
@@ -124,9 +128,10 @@ def depth_first_order(edges: DataFrame) -> DataFrame:
     extended: everything below the node then inherits the smaller prefix.
     """
     links = materialise(edges.select("parent", "child").distinct(), "links")
+    topological_level(links)  # raises on a cycle, on which paths would grow for ever
     best = materialise(roots(links).withColumn("path", F.array("node")), "paths")
     changed = best
-    for _ in range(MAX_DEPTH):
+    while True:
         reached = (
             changed.withColumnRenamed("node", "parent").join(links, "parent")
             .select(F.col("child").alias("node"), F.concat("path", F.array("child")).alias("path"))
@@ -141,4 +146,3 @@ def depth_first_order(edges: DataFrame) -> DataFrame:
         if changed.isEmpty():
             return global_rank(best, ["path"], "position").select("node", "position")
         best = materialise(best.union(changed).groupBy("node").agg(F.min("path").alias("path")), "paths")
-    raise ValueError("the graph has a cycle or is deeper than the limit")

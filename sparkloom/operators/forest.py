@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.session import materialise
 
-MAX_ROUNDS = 64
-
 
 def _jump(hooks: DataFrame) -> DataFrame:
     """Follow ``(comp, target)`` pointers to their roots; roots point at themselves."""
-    for _ in range(MAX_ROUNDS):
+    while True:
         up = hooks.select(F.col("comp").alias("target"), F.col("target").alias("next"))
         step = hooks.join(up, "target", "left").select(
             "comp", F.coalesce("next", "target").alias("new"), "target"
@@ -30,7 +28,6 @@ def _jump(hooks: DataFrame) -> DataFrame:
         hooks = step.select("comp", F.col("new").alias("target"))
         if not moved:
             return hooks
-    raise RuntimeError("pointer jumping did not settle")
 
 
 def _relabel(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -59,7 +56,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         pairs.select(F.least("cu", "cv").alias("cu"), F.greatest("cu", "cv").alias("cv"))
         .where(F.col("cu") != F.col("cv")).distinct(), "contracted"
     )
-    for _ in range(MAX_ROUNDS):
+    while True:
         if active.isEmpty():
             return labels
         # the larger end hooks to its smallest neighbour; local minima stay roots
@@ -71,7 +68,6 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
             moved.select(F.least("cu", "cv").alias("cu"), F.greatest("cu", "cv").alias("cv"))
             .distinct(), "contracted"
         )
-    raise RuntimeError("components did not settle")
 
 
 def largest_component(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -96,7 +92,7 @@ def spanning_tree(edges: DataFrame, weight: str, u: str = "u", v: str = "v") ->
     ).where(F.col("cu") != F.col("cv"))
     active = materialise(active, "active")
     chosen = []
-    for _ in range(MAX_ROUNDS):
+    while True:
         if active.isEmpty():
             break
         ends = active.select(
@@ -130,18 +126,22 @@ def spanning_tree(edges: DataFrame, weight: str, u: str = "u", v: str = "v") ->
 
 
 def orient(tree: DataFrame, root: str, u: str = "u", v: str = "v") -> DataFrame:
-    """Direct tree edges away from ``root``: ``(parent, child)``."""
+    """Direct tree edges away from ``root``: ``(parent, child)``. Raises if the edges hold a cycle."""
     both = materialise(
         tree.select(F.explode(F.array(F.struct(F.col(u).alias("parent"), F.col(v).alias("child")),
                                       F.struct(F.col(v).alias("parent"), F.col(u).alias("child"))))
                     .alias("e")).select("e.*"), "both"
     )
     frontier = both.where(F.col("parent") == F.lit(root))
-    layers = []
+    layers, directed, edges = [], 0, tree.count()
     while True:
         frontier = materialise(frontier, "layer")
-        if frontier.isEmpty():
+        found = frontier.count()
+        if not found:
             break
+        directed += found
+        if directed > edges:  # each edge of a tree is directed once
+            raise ValueError("the edges hold a cycle")
         layers.append(frontier)
         reached = frontier.select(F.col("child").alias("parent"), F.col("parent").alias("came"))
         frontier = both.join(reached, "parent").where(F.col("child") != F.col("came")).select(

@@ -250,12 +250,17 @@ def spectral_scale(edges: DataFrame, rounds: int, seed: int = 42) -> DataFrame:
 
 
 def laplacian(edges: DataFrame) -> DataFrame:
-    """Normalised Laplacian ``I − D^-1/2 S D^-1/2`` as an edge table with its diagonal."""
+    """Normalised Laplacian ``I − D^-1/2 S D^-1/2`` as an edge table with its diagonal.
+
+    The table holds both directions of every edge; a one-way edge to a node without edges of
+    its own has no degree to divide by and is an error.
+    """
     degrees = materialise(degree(edges).select("node", "degree"), "degree")
     src = degrees.select(F.col("node").alias("src"), F.col("degree").alias("ds"))
     dst = degrees.select(F.col("node").alias("dst"), F.col("degree").alias("dd"))
-    off = edges.join(src, "src").join(dst, "dst").select(
-        "src", "dst", (-F.col("w") / F.sqrt(F.col("ds") * F.col("dd"))).alias("w")
+    known = F.coalesce(F.col("dd"), F.raise_error(F.lit("the edge table lacks the other direction of an edge")).cast("double"))
+    off = edges.join(src, "src").join(dst, "dst", "left").select(
+        "src", "dst", (-F.col("w") / F.sqrt(F.col("ds") * known)).alias("w")
     )
     diagonal = degrees.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("w"))
     return off.union(diagonal).groupBy("src", "dst").agg(F.sum("w").alias("w"))

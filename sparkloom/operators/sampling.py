@@ -99,15 +99,17 @@ def _intervals(net, node: str) -> DataFrame:
 
 
 def gibbs_chains(net, event, rows, id_col, seed, sweeps: int = 2) -> DataFrame:
-    """One short chain per row: columns id, ``step`` and the state after each step.
+    """One short chain per row: columns id, ``weight``, ``step`` and the state after each step.
 
-    A chain is sequential, so the parallelism is across chains. A step is an
+    A chain starts at a draw with the event clamped and keeps that draw's likelihood weight.
+    Weighted starts follow the posterior and a step leaves the posterior as it is, so weighted
+    states are right after any number of sweeps. A chain is sequential, so the parallelism is across chains. A step is an
     equi-join of the states with the full-conditional table of one variable.
     """
     free = sorted(set(net.nodes) - set(event))
     tables = {v: materialise(_intervals(net, v), "conditional") for v in free}
     names = sorted(net.nodes)
-    state = forward(net, rows, id_col, seed, event).select(id_col, *names)
+    state = forward(net, rows, id_col, seed, event).select(id_col, "weight", *names)
     history = []
     for sweep in range(sweeps):
         trace = []
@@ -128,11 +130,15 @@ def gibbs_chains(net, event, rows, id_col, seed, sweeps: int = 2) -> DataFrame:
             state = state.withColumn(trace[-1], snapshot)
         # one write per sweep keeps the plan short
         state = materialise(state.withColumn("__trace", F.array(*trace)).drop(*trace), "chains")
-        history.append(state.select(id_col, F.inline("__trace")))
+        history.append(state.select(id_col, "weight", F.inline("__trace")))
         state = state.drop("__trace")
     return reduce(lambda a, b: a.unionByName(b), history)
 
 
-def gibbs(net, query, event, rows, id_col, seed, sweeps: int = 2) -> DataFrame:
-    """Shares over all recorded steps of all chains, no burn-in."""
-    return _shares(gibbs_chains(net, event, rows, id_col, seed, sweeps), query, F.lit(1.0))
+def gibbs(net, query, event, rows, id_col, seed, sweeps: int = 2, burn_in: int = 0) -> DataFrame:
+    """Weighted shares over the steps of all chains after the first ``burn_in`` sweeps."""
+    if not 0 <= burn_in < sweeps:
+        raise ValueError("burn_in leaves no sweep to record")
+    chains = gibbs_chains(net, event, rows, id_col, seed, sweeps)
+    free = len(set(net.nodes) - set(event))
+    return _shares(chains.where(F.col("step") > burn_in * free), query, F.col("weight"))

@@ -234,7 +234,7 @@ _CLAMPED = f"{_OBS},\n{_intervals(_OBS_NET)},\n{_forward(_OBS_NET, {'st': 'F'})}
 
 
 def _gibbs_sql(sweeps: int = 2) -> str:
-    ctes, last, step, states = [], f"(SELECT id, pri, seg, st FROM {_LAST})", 0, []
+    ctes, last, step, states = [], f"(SELECT id, weight, pri, seg, st FROM {_LAST})", 0, []
     for var, other in (("pri", "seg"), ("seg", "pri")):
         ctes.append(
             f"full_{var} AS (SELECT {other}, st, {var}, q / sum(q) OVER (PARTITION BY {other}, st) AS p "
@@ -252,10 +252,10 @@ def _gibbs_sql(sweeps: int = 2) -> str:
                 f"g{step} AS MATERIALIZED (SELECT s.* REPLACE (coalesce(t.{var}, s.{var}) AS {var}) FROM {last} s "
                 f"LEFT JOIN iv_{var} t ON s.{other} = t.{other} AND s.st = t.st AND t.lo <= {u} AND {u} < t.hi)")
             last = f"g{step}"
-            states.append(f"SELECT seg FROM {last}")
+            states.append(f"SELECT seg, weight FROM {last}")
     shares = " UNION ALL ".join(states)
     return (f"{_CLAMPED},\n" + ",\n".join(ctes) +
-            f" SELECT seg, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS p FROM ({shares}) GROUP BY seg")
+            f" SELECT seg, round(sum(weight) / sum(sum(weight)) OVER (), 6) AS p FROM ({shares}) GROUP BY seg")
 
 
 _JOINT_OBS = "(SELECT pri, seg, st, a.p * b.p * c.p AS p FROM cpt_st c JOIN cpt_pri a USING (pri) JOIN cpt_seg b USING (seg))"
