@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import WORD, word_count
+from sparkloom.session import materialise
 
 KEY_BINS = 4096
 _SYMBOLS = "%&*#$|!=<>{}[]~^"
@@ -110,6 +111,8 @@ def mix(
         )
         .select(F.col("source").alias("__source"), "__cross", "__plan")
     )
+    # one row per source; stored, so its real size decides whether it is broadcast and the texts stay in place
+    crossing = materialise(crossing, "mix-plan")
     planned = keyed.join(crossing, F.col("source").eqNullSafe(F.col("__source")))
     size = word_count(F.col("text"))
 
