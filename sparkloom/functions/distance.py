@@ -8,23 +8,20 @@ Arrow batches keep the cost per row flat in both.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_MODEL_CELLS = 2_000_000
+BLOCK_CELLS = 4_000_000  # distances of a batch that are held at a time
 
 Matrix = Sequence[Sequence[float]]
 
 
 def _model(rows: Matrix) -> np.ndarray:
-    model = np.asarray(rows, dtype=float)
-    if model.size > MAX_MODEL_CELLS:
-        raise ValueError(f"{model.size} model values exceed {MAX_MODEL_CELLS}")
-    return model
+    return np.asarray(rows, dtype=float)
 
 
 def as_matrix(x: pa.Array) -> np.ndarray:
@@ -39,19 +36,46 @@ def as_matrix(x: pa.Array) -> np.ndarray:
     return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
 
 
-def _batch_distances(x: pa.Array, model: np.ndarray) -> np.ndarray:
-    points = as_matrix(x)
+def _distances(points: np.ndarray, model: np.ndarray) -> np.ndarray:
     squares = np.zeros((len(points), len(model)))
     for j in range(model.shape[1]):  # squares are added in feature order
         squares += (points[:, j : j + 1] - model[:, j]) ** 2
     return np.sqrt(squares)
 
 
-def _struct_udf(fields: str, names: list[str], compute: Callable[[np.ndarray], list]) -> Callable:
+def _blocks(points: np.ndarray, model: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Distances to a block of centroids at a time, with the index of the block's first."""
+    step = max(1, BLOCK_CELLS // max(1, len(points)))
+    for start in range(0, len(model), step):
+        yield start, _distances(points, model[start : start + step])
+
+
+def closest(points: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance to and index of the closest centroid, the lowest index on ties."""
+    best, at = np.full(len(points), np.inf), np.zeros(len(points), "int32")
+    for start, gaps in _blocks(points, model):
+        low = gaps.min(axis=1)
+        nearer = low < best
+        at[nearer] = start + gaps.argmin(axis=1)[nearer]
+        best[nearer] = low[nearer]
+    return best, at
+
+
+def _totals(points: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and minimum of the distances; the columns are added one by one, in seed order."""
+    total, near = np.zeros(len(points)), np.full(len(points), np.inf)
+    for _, gaps in _blocks(points, model):
+        for column in gaps.T:
+            total += column
+        near = np.minimum(near, gaps.min(axis=1))
+    return total, near
+
+
+def _struct_udf(fields: str, names: list[str], compute: Callable[[np.ndarray, np.ndarray], tuple]) -> Callable:
     def wrap(model: np.ndarray):
         @F.arrow_udf(fields)
         def run(x: pa.Array) -> pa.Array:
-            cols = compute(_batch_distances(x, model)) if len(x) else [[] for _ in names]
+            cols = compute(as_matrix(x), model) if len(x) else [[] for _ in names]
             return pa.StructArray.from_arrays([pa.array(c) for c in cols], names)
 
         return run
@@ -59,15 +83,8 @@ def _struct_udf(fields: str, names: list[str], compute: Callable[[np.ndarray], l
     return wrap
 
 
-_closest = _struct_udf(
-    "dist double, cid int", ["dist", "cid"],
-    lambda d: [d.min(axis=1), d.argmin(axis=1).astype("int32")],
-)
-# cumulative sums add the columns one by one, in seed order
-_spread = _struct_udf(
-    "total double, near double", ["total", "near"],
-    lambda d: [np.cumsum(d, axis=1)[:, -1], d.min(axis=1)],
-)
+_closest = _struct_udf("dist double, cid int", ["dist", "cid"], closest)
+_spread = _struct_udf("total double, near double", ["total", "near"], _totals)
 
 
 def nearest(x: Column, centroids: Matrix) -> Column:

@@ -30,10 +30,10 @@ def anomalies(assigned: DataFrame, rule: str = "any", digits: int = 2) -> DataFr
     """``(id, cid, reason, x)``; a point can appear for both reasons.
 
     ``rule="any"`` reports points with any feature outside the band,
-    ``rule="reference"`` points with every feature at or above the upper bound.
+    ``rule="all_above"`` points with every feature at or above the upper bound.
     """
-    if rule not in ("any", "reference"):
-        raise ValueError("rule must be any or reference")
+    if rule not in ("any", "all_above"):
+        raise ValueError("rule must be any or all_above")
     stats = bands(assigned).collect()  # one row per cluster
     total = sum(r["n"] for r in stats)
     threshold = int(SMALL_SHARE * total)

@@ -62,11 +62,15 @@ class BeliefNetwork(Network):
         return self
 
     def save(self, path: str) -> None:
-        """Store the counts and the structure under ``path``."""
+        """Store the counts and the structure under ``path``, in place of what is there.
+
+        The counts are written to a new table first if they were loaded from ``path`` itself.
+        """
         spark = self.counts.sparkSession
-        self.counts.write.parquet(f"{path}/counts")
+        self.counts = materialise(self.counts, "counts")
+        self.counts.write.mode("overwrite").parquet(f"{path}/counts")
         rows = [(n, self.parents[n]) for n in sorted(self.nodes)]
-        spark.createDataFrame(rows, "node string, parents array<string>").write.parquet(f"{path}/structure")
+        spark.createDataFrame(rows, "node string, parents array<string>").write.mode("overwrite").parquet(f"{path}/structure")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "BeliefNetwork":

@@ -17,7 +17,7 @@ from sparkloom.operators.ranking import global_rank
 from sparkloom.operators.skew import SaltedEdges
 from sparkloom.session import materialise
 
-RESCALE_ROUNDS = 20
+POWER_TOLERANCE = 1e-10
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -212,41 +212,44 @@ def local_max(edges: DataFrame | SaltedEdges, signal: DataFrame, hops: int, **sa
 # spectrum ------------------------------------------------------------------
 
 
-def spectral_radius(edges: DataFrame | SaltedEdges, rounds: int, seed: int = 42, **salting) -> float:
-    """Largest absolute eigenvalue of a symmetric table by power iteration.
+def spectral_radius(
+    edges: DataFrame | SaltedEdges, tol: float = POWER_TOLERANCE, seed: int = 42, **salting
+) -> float:
+    """Largest absolute eigenvalue of a symmetric table by power iteration; 0 for a table without edges.
 
-    The ratio of the last two norms is used, which is right for the ±λ pairs of
-    bipartite graphs too. The vector is rescaled before its numbers leave the range
-    of doubles.
+    A unit vector is multiplied until the length of the product changes by ``tol`` of itself or
+    less. The length never falls from round to round, so this ends, and it is right for the
+    ±λ pairs of bipartite graphs too.
     """
     by_src = SaltedEdges.of(edges, ["src", "dst", "w"], "src", "dst", **salting)
     start = (uniform(seed, F.col("node"), "power") - 0.5).alias("value")
     at = by_src.frame.select(F.col("src").alias("node")).distinct().select("node", start)
 
     def length(frame: DataFrame) -> float:
-        return frame.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0]
+        return frame.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0] or 0.0
 
-    before = at
-    for k in range(1, rounds + 1):
-        before = at
+    now = length(at)
+    while now:
+        before = now
         at = materialise(
             by_src.join(at).groupBy(F.col("dst").alias("node"))
-            .agg(F.sum(F.col("value") * F.col("w")).alias("value")), "power"
+            .agg(F.sum(F.col("value") * F.col("w") / before).alias("value")), "power"
         )
-        if k % RESCALE_ROUNDS == 0 and k < rounds:
-            at = materialise(at.withColumn("value", F.col("value") / length(at)), "power")
-    return length(at) / length(before)
+        now = length(at)
+        if abs(now - before) <= tol * now:
+            break
+    return now
 
 
-def scaled_edges(edges: DataFrame | SaltedEdges, rounds: int, seed: int = 42) -> SaltedEdges:
+def scaled_edges(edges: DataFrame | SaltedEdges, tol: float = POWER_TOLERANCE, seed: int = 42) -> SaltedEdges:
     """Edges divided by their spectral radius, stored and ready for diffusion."""
     by_src = SaltedEdges.of(edges, ["src", "dst", "w"], "src", "dst")
-    return by_src.with_weight(F.col("w") / spectral_radius(by_src, rounds, seed))
+    return by_src.with_weight(F.col("w") / spectral_radius(by_src, tol, seed))
 
 
-def spectral_scale(edges: DataFrame, rounds: int, seed: int = 42) -> DataFrame:
+def spectral_scale(edges: DataFrame, tol: float = POWER_TOLERANCE, seed: int = 42) -> DataFrame:
     """``(src, dst, w)`` divided by the spectral radius."""
-    return scaled_edges(edges, rounds, seed).frame.select("src", "dst", "w")
+    return scaled_edges(edges, tol, seed).frame.select("src", "dst", "w")
 
 
 def laplacian(edges: DataFrame) -> DataFrame:
@@ -266,10 +269,10 @@ def laplacian(edges: DataFrame) -> DataFrame:
     return off.union(diagonal).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def rescaled_laplacian(edges: DataFrame, rounds: int, seed: int = 42) -> DataFrame:
+def rescaled_laplacian(edges: DataFrame, tol: float = POWER_TOLERANCE, seed: int = 42) -> DataFrame:
     """``2 L / λmax − I``."""
     table = SaltedEdges(laplacian(edges), "src", "dst")
-    top = spectral_radius(table, rounds, seed)
+    top = spectral_radius(table, tol, seed)
     one = F.when(F.col("src") == F.col("dst"), 1.0).otherwise(0.0)
     return table.frame.select("src", "dst", (F.col("w") * 2 / top - one).alias("w"))
 

@@ -1,31 +1,33 @@
 """K-means with far-point seeding on ``(id, x)`` tables.
 
 A model is a list of k centroids of d numbers on the driver. Its size follows the
-parameters k and d, not the data, and is checked before it is sent to the tasks.
-Rows are never collected.
+parameters k and d, not the data. Rows are never collected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors as vx
-from sparkloom.functions.distance import nearest, spread
+from sparkloom.functions.distance import as_matrix, closest, nearest, spread
 from sparkloom.functions.uniform import draw_key
 from sparkloom.session import estimated_bytes, materialise
 
 Centroids = list[list[float]]
 
 SPLIT_BYTES = 128 << 20
+TOLERANCE = 1e-9  # of a centroid's largest number; sums of doubles depend on the order of rows
 
 
 def stored_points(points: DataFrame) -> DataFrame:
     """``(id, x)`` written once for the many passes that follow.
 
-    Inputs too small to have a split per core are spread out first.
+    Inputs too small to have a split per core are spread out first; the rows stay the same.
     """
     points = points.select("id", "x")
     cores = points.sparkSession.sparkContext.defaultParallelism
@@ -75,32 +77,64 @@ def cluster_means(assigned: DataFrame, width: int, keys: Sequence[str] = ("cid",
     return assigned.groupBy(*keys).agg(vx.mean_vector(F.col("x"), width).alias("c"))
 
 
+def _run_means(points: DataFrame, models: dict[int, Centroids]) -> DataFrame:
+    """``(run, cid, pos, value)``: the new centroids of all models, from one scan.
+
+    A task adds up its rows per run and cluster, so the shuffle carries tasks × centroids
+    vectors and no row of the points.
+    """
+    known = {run: np.asarray(c, dtype=float) for run, c in models.items()}
+
+    def sums(batches):
+        total = {run: np.zeros_like(c) for run, c in known.items()}
+        rows = {run: np.zeros(len(c), "int64") for run, c in known.items()}
+        for batch in batches:
+            if batch.num_rows:
+                x = as_matrix(batch.column("x"))
+                for run, c in known.items():
+                    cid = closest(x, c)[1]
+                    np.add.at(total[run], cid, x)
+                    rows[run] += np.bincount(cid, minlength=len(c))
+        for run in known:
+            used = np.flatnonzero(rows[run])
+            yield pa.RecordBatch.from_pydict({
+                "run": pa.array(np.full(len(used), run, "int32")), "cid": pa.array(used.astype("int32")),
+                "n": pa.array(rows[run][used]), "s": pa.array(list(total[run][used]), pa.list_(pa.float64())),
+            })
+
+    parts = points.select("x").mapInArrow(sums, "run int, cid int, n bigint, s array<double>")
+    cells = parts.select("run", "cid", "n", F.posexplode("s").alias("pos", "value"))
+    return cells.groupBy("run", "cid", "pos").agg((F.sum("value") / F.sum("n")).alias("value"))
+
+
 def lloyd_runs(
-    points: DataFrame, models: dict[int, Centroids], rounds: int, tol: float = 0.0
+    points: DataFrame, models: dict[int, Centroids], rounds: int | None = None, tol: float = TOLERANCE
 ) -> dict[int, Centroids]:
-    """Assign and update all models together, one job per round.
+    """Assign and update all models together, one job per round, until all stand still.
 
-    A cluster that loses all its points keeps its centroid. Runs stop when no
-    centroid moves by more than ``tol``.
+    A cluster that loses all its points keeps its centroid. A run stops when no number
+    of a centroid moves by more than ``tol`` times the largest number of the model, or
+    1 if that is smaller. With ``rounds``, runs still moving after that many are an error.
     """
-    width = len(next(iter(models.values()))[0])
     models = {run: [list(c) for c in cs] for run, cs in models.items()}
     active = set(models)
-    for _ in range(rounds):
-        if not active:
-            break
+    done = 0
+    while active:
+        if done == rounds:
+            raise RuntimeError(f"models {sorted(active)} still move after {rounds} rounds")
+        done += 1
         moving = {run: models[run] for run in sorted(active)}
-        means = cluster_means(assign_runs(points, moving), width, ("run", "cid"))
         shift = dict.fromkeys(active, 0.0)
-        for row in means.collect():  # at most the number of centroids
-            old = models[row["run"]][row["cid"]]
-            shift[row["run"]] = max(shift[row["run"]], max(abs(a - b) for a, b in zip(old, row["c"])))
-            models[row["run"]][row["cid"]] = list(row["c"])
-        active = {run for run in active if shift[run] > tol}
+        for row in _run_means(points, moving).collect():  # one per number of the models at most
+            centroid = models[row["run"]][row["cid"]]
+            shift[row["run"]] = max(shift[row["run"]], abs(centroid[row["pos"]] - row["value"]))
+            centroid[row["pos"]] = row["value"]
+        scale = {run: max(1.0, max(abs(v) for c in models[run] for v in c)) for run in active}
+        active = {run for run in active if shift[run] > tol * scale[run]}
     return models
 
 
-def fit(points: DataFrame, k: int, rounds: int = 20, seed: int = 42, tol: float = 0.0) -> Centroids:
+def fit(points: DataFrame, k: int, rounds: int | None = None, seed: int = 42, tol: float = TOLERANCE) -> Centroids:
     points = stored_points(points)
     return lloyd_runs(points, {k: far_point_seeds(points, k, seed)}, rounds, tol)[k]
 
@@ -115,7 +149,7 @@ SWEEP = (1, 2, 4, 8, 16, 32)
 
 
 def sweep(
-    points: DataFrame, seeds: Centroids, ks: Sequence[int], rounds: int, metric: str = "squared"
+    points: DataFrame, seeds: Centroids, ks: Sequence[int], rounds: int | None = None, metric: str = "squared"
 ) -> DataFrame:
     """``(k, sil)``: mean silhouette of the model for each k, all k in the same scans."""
     from sparkloom.operators.silhouette import mean_silhouette
@@ -145,7 +179,7 @@ def best_k(scores: DataFrame) -> DataFrame:
 
 
 def select_k(
-    points: DataFrame, rounds: int, ks: Sequence[int] = SWEEP, seed: int = 42, metric: str = "squared"
+    points: DataFrame, rounds: int | None = None, ks: Sequence[int] = SWEEP, seed: int = 42, metric: str = "squared"
 ) -> DataFrame:
     """``(phase, k, sil)`` of the coarse sweep and of the refinement below its elbow."""
     points = stored_points(points)
@@ -161,7 +195,7 @@ def select_k(
 class KMeansJob:
     """Choose k, fit, and report anomalies of a point table."""
 
-    def __init__(self, rounds: int = 20, seed: int = 42, metric: str = "squared", rule: str = "any"):
+    def __init__(self, rounds: int | None = None, seed: int = 42, metric: str = "squared", rule: str = "any"):
         self.rounds, self.seed, self.metric, self.rule = rounds, seed, metric, rule
 
     def run(self, points: DataFrame) -> DataFrame:

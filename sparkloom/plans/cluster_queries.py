@@ -13,7 +13,7 @@ from sparkloom.plans.inputs import (
 from sparkloom.sources.points import bad_cells
 from sparkloom.sources.tables import table
 
-SEED, K, ROUNDS = 42, 8, 3
+SEED, K = 42, 8
 
 
 def _long(df, column: str, *keys: str):
@@ -50,26 +50,26 @@ def update_lines(spark, root):
 
 
 def lloyd(spark, root):
-    centroids = km.fit(embedding_points(spark, root), K, ROUNDS, SEED)
+    centroids = km.fit(embedding_points(spark, root), K, seed=SEED)
     frame = spark.createDataFrame(list(enumerate(centroids)), "cid bigint, c array<double>")
     return _long(frame, "c", "cid")
 
 
 def lloyd_lines(spark, root):
-    centroids = km.fit(line_points(spark, root), K, ROUNDS, SEED)
+    centroids = km.fit(line_points(spark, root), K, seed=SEED)
     frame = spark.createDataFrame(list(enumerate(centroids)), "cid bigint, c array<double>")
     return _long(frame, "c", "cid")
 
 
 def _fitted(spark, root):
     points = embedding_points(spark, root)
-    return km.assign(points, km.fit(points, K, ROUNDS, SEED)).withColumn("cid", F.col("cid").cast("int"))
+    return km.assign(points, km.fit(points, K, seed=SEED)).withColumn("cid", F.col("cid").cast("int"))
 
 
 def _silhouette(metric):
     def run(spark, root):
         points = embedding_points(spark, root)
-        models = {K: km.fit(points, K, ROUNDS, SEED)}
+        models = {K: km.fit(points, K, seed=SEED)}
         return si.silhouette(points, models, metric).select(
             "id", F.col("cid").cast("bigint").alias("cid"), F.round("sil", 6).alias("sil"))
     return run
@@ -91,14 +91,14 @@ def _anomalies(rule):
 
 def line_anomalies(spark, root):
     points = line_points(spark, root)
-    rows = an.anomalies(km.assign(points, km.fit(points, K, ROUNDS, SEED)), "any")
+    rows = an.anomalies(km.assign(points, km.fit(points, K, seed=SEED)), "any")
     return _long(rows.withColumn("cid", F.col("cid").cast("bigint")), "x", "id", "cid", "reason")
 
 
 def value_anomalies(spark, root):
     """Event values as one cluster of one-dimensional points, strict rule."""
     points = event_points(spark, root)
-    rows = an.anomalies(km.assign(points, km.fit(points, 1, 1, SEED)), "reference")
+    rows = an.anomalies(km.assign(points, km.fit(points, 1, seed=SEED)), "all_above")
     return _long(rows.withColumn("cid", F.col("cid").cast("bigint")), "x", "id", "cid", "reason")
 
 
@@ -107,12 +107,12 @@ def sizes(spark, root):
 
 
 def select_k(spark, root):
-    return km.select_k(embedding_points(spark, root), ROUNDS, seed=SEED).select(
+    return km.select_k(embedding_points(spark, root), seed=SEED).select(
         "phase", F.col("k").cast("bigint").alias("k"), F.round("sil", 6).alias("sil"))
 
 
 def best_k(spark, root):
-    scores = km.select_k(embedding_points(spark, root), ROUNDS, seed=SEED)
+    scores = km.select_k(embedding_points(spark, root), seed=SEED)
     return km.best_k(scores.where(F.col("phase") == "refine")).select(
         F.col("k").cast("bigint").alias("k"), F.round("sil", 6).alias("sil"))
 
@@ -155,25 +155,39 @@ def _seed_walk(source: str, k: int) -> str:
       UNION ALL SELECT step, any_value(nx) FROM walk GROUP BY step)"""
 
 
-def _rounds(prefix: str, ks: str, rounds: int) -> str:
-    """Lloyd rounds for all k of the relation ``ks``; the last assignment is <prefix>_fit."""
-    ctes = [f"{prefix}_c0 AS MATERIALIZED (SELECT k, seed AS cid, x AS c FROM {ks} JOIN seeds ON seed < k)"]
-    for i in range(rounds + 1):
-        name = f"{prefix}_a{i}"
-        ctes.append(
-            f"{name} AS MATERIALIZED (SELECT k, id, x, b.c AS cid, b.d AS dist FROM ("
+def _assigned(prefix: str, centroids: str) -> str:
+    """CTE <prefix>_fit: every point with its nearest centroid, for all k."""
+    return (f"{prefix}_fit AS MATERIALIZED (SELECT k, id, x, b.c AS cid, b.d AS dist FROM ("
             f"SELECT k, id, any_value(x) AS x, min({{'d': list_distance(x, c), 'c': cid}}) AS b "
-            f"FROM pts, {prefix}_c{i} GROUP BY k, id))")
-        if i < rounds:
-            ctes.append(
-                f"{prefix}_m{i} AS (SELECT k, cid, list(v ORDER BY pos) AS c FROM ("
-                f"SELECT k, cid, pos, avg(v) AS v FROM (SELECT k, cid, unnest(x) AS v, "
-                f"generate_subscripts(x, 1) AS pos FROM {name}) GROUP BY k, cid, pos) GROUP BY k, cid)")
-            ctes.append(
-                f"{prefix}_c{i + 1} AS MATERIALIZED (SELECT o.k, o.cid, coalesce(m.c, o.c) AS c "
-                f"FROM {prefix}_c{i} o LEFT JOIN {prefix}_m{i} m USING (k, cid))")
-    ctes.append(f"{prefix}_fit AS MATERIALIZED (SELECT * FROM {prefix}_a{rounds})")
-    return ",\n".join(ctes)
+            f"FROM pts, {centroids} GROUP BY k, id))")
+
+
+def _seeded(prefix: str) -> str:
+    return f"{prefix}_c AS (SELECT k, seed AS cid, x AS c FROM one JOIN seeds ON seed < k), {_assigned(prefix, f'{prefix}_c')}"
+
+
+def _means(relation: str) -> str:
+    return (f"SELECT k, cid, list(v ORDER BY pos) AS c FROM (SELECT k, cid, pos, avg(v) AS v FROM ("
+            f"SELECT k, cid, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM {relation}) "
+            f"GROUP BY k, cid, pos) GROUP BY k, cid")
+
+
+def _converged(prefix: str, ks: str) -> str:
+    """Rounds for all k of ``ks`` until no model moves: centroids <prefix>_c and assignment <prefix>_fit."""
+    near = (f"SELECT k, x, b.c AS cid FROM (SELECT k, id, any_value(x) AS x, "
+            f"min({{'d': list_distance(x, c), 'c': cid}}) AS b FROM pts, (SELECT * FROM {prefix}_walk WHERE moved) GROUP BY k, id)")
+    return f"""{prefix}_walk AS (
+      SELECT 0 AS round, k, seed AS cid, x AS c, true AS moved FROM {ks} JOIN seeds ON seed < k
+      UNION ALL
+      SELECT round + 1, k, cid, c, max(shift) OVER (PARTITION BY k)
+             > {km.TOLERANCE} * greatest(1, max(top) OVER (PARTITION BY k)) AS moved FROM (
+        SELECT *, list_max(list_transform(range(1, len(c) + 1), lambda i: abs(c[i] - old[i]))) AS shift,
+               list_max(list_transform(c, lambda v: abs(v))) AS top FROM (
+          SELECT o.round, o.k, o.cid, o.c AS old, coalesce(m.c, o.c) AS c
+          FROM (SELECT * FROM {prefix}_walk WHERE moved) o
+          LEFT JOIN ({_means(f'({near})')}) m ON m.k = o.k AND m.cid = o.cid))),
+    {prefix}_c AS MATERIALIZED (SELECT k, cid, arg_max(c, round) AS c FROM {prefix}_walk GROUP BY k, cid),
+    {_assigned(prefix, f'{prefix}_c')}"""
 
 
 def _sil(prefix: str, squared: bool) -> str:
@@ -196,10 +210,10 @@ def _posed(relation: str, keys: str, vector: str) -> str:
 
 
 _ONE = f"one AS (SELECT {K} AS k)"
-_EMB = f"WITH RECURSIVE {_seed_walk(EMBEDDING_SQL, K)}, {_ONE}, {_rounds('r', 'one', ROUNDS)}"
-_LINE = f"WITH RECURSIVE {_seed_walk(LINE_POINTS_SQL, K)}, {_ONE}, {_rounds('r', 'one', ROUNDS)}"
-_EVENT = f"WITH RECURSIVE {_seed_walk(EVENT_POINTS_SQL, 2)}, one AS (SELECT 1 AS k), {_rounds('r', 'one', 1)}"
-_LINE0 = f"WITH RECURSIVE {_seed_walk(LINE_POINTS_SQL, K)}, {_ONE}, {_rounds('r', 'one', 0)}"
+_EMB = f"WITH RECURSIVE {_seed_walk(EMBEDDING_SQL, K)}, {_ONE}, {_converged('r', 'one')}"
+_LINE = f"WITH RECURSIVE {_seed_walk(LINE_POINTS_SQL, K)}, {_ONE}, {_converged('r', 'one')}"
+_EVENT = f"WITH RECURSIVE {_seed_walk(EVENT_POINTS_SQL, 2)}, one AS (SELECT 1 AS k), {_converged('r', 'one')}"
+_LINE0 = f"WITH RECURSIVE {_seed_walk(LINE_POINTS_SQL, K)}, {_ONE}, {_seeded('r')}"
 
 _BANDS = """feats AS (SELECT cid, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM r_fit),
     bands AS MATERIALIZED (SELECT cid, pos, avg(v) - 2 * stddev_pop(v) AS lo, avg(v) + 2 * stddev_pop(v) AS hi
@@ -221,13 +235,13 @@ def _anomaly_sql(base: str, rule: str) -> str:
 _SWEEP_LIST = ", ".join(f"({k})" for k in km.SWEEP)
 _SELECT = f"""WITH RECURSIVE {_seed_walk(EMBEDDING_SQL, max(km.SWEEP))},
     ks(k) AS (VALUES {_SWEEP_LIST}),
-    {_rounds('r', 'ks', ROUNDS)}, {_sil('r', True)},
+    {_converged('r', 'ks')}, {_sil('r', True)},
     coarse AS MATERIALIZED (SELECT k, avg(sil) AS sil FROM r_sil GROUP BY k),
     ahead AS (SELECT *, lead(k) OVER (ORDER BY k) AS next_k, lead(sil) OVER (ORDER BY k) AS next_sil FROM coarse),
     top AS MATERIALIZED (SELECT coalesce((SELECT next_k FROM ahead WHERE k > 1 AND next_sil <= sil ORDER BY k LIMIT 1),
         (SELECT max(k) FROM coarse)) AS k),
     fine_ks AS MATERIALIZED (SELECT unnest(range(greatest(k // 4, 1), k + 1)) AS k FROM top),
-    {_rounds('f', 'fine_ks', ROUNDS)}, {_sil('f', True)},
+    {_converged('f', 'fine_ks')}, {_sil('f', True)},
     fine AS MATERIALIZED (SELECT k, avg(sil) AS sil FROM f_sil GROUP BY k)"""
 
 _NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
@@ -239,9 +253,9 @@ SQL = {
         for c in _NUMBERS) + " FROM lineitem",
     "km_seed": f"WITH RECURSIVE {_seed_walk(EMBEDDING_SQL, K)} {_posed('seeds', 'seed', 'x')}",
     "km_assign": f"{_LINE0} SELECT id, cid, round(dist, 9) AS dist FROM r_fit",
-    "km_update": f"WITH RECURSIVE {_seed_walk(LINE_POINTS_SQL, K)}, {_ONE}, {_rounds('r', 'one', 1)} {_posed('r_m0', 'cid', 'c')}",
-    "km_lloyd": f"{_EMB} {_posed(f'r_c{ROUNDS}', 'cid', 'c')}",
-    "km_lloyd_lines": f"{_LINE} {_posed(f'r_c{ROUNDS}', 'cid', 'c')}",
+    "km_update": f"{_LINE0}, r_m AS ({_means('r_fit')}) {_posed('r_m', 'cid', 'c')}",
+    "km_lloyd": f"{_EMB} {_posed('r_c', 'cid', 'c')}",
+    "km_lloyd_lines": f"{_LINE} {_posed('r_c', 'cid', 'c')}",
     "km_cluster_sizes": f"{_EMB} SELECT cid, count(*) AS n FROM r_fit GROUP BY cid",
     "km_silhouette": f"{_EMB}, {_sil('r', True)} SELECT id, cid, round(sil, 6) AS sil FROM r_sil",
     "km_silhouette_euclidean": f"{_EMB}, {_sil('r', False)} SELECT id, cid, round(sil, 6) AS sil FROM r_sil",

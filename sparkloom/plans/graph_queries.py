@@ -8,7 +8,7 @@ from sparkloom.functions.times import epoch_micros
 from sparkloom.functions.uniform import uniform_sql
 from sparkloom.operators import experiments as ex
 from sparkloom.operators import graph as gr
-from sparkloom.operators.forest import components
+from sparkloom.operators.forest import components, largest_component
 from sparkloom.plans.inputs import TRADE_SQL, trade_edges
 from sparkloom.sources.tables import table
 
@@ -17,7 +17,7 @@ TRAIN, VALID = 0.8, 0.1
 FANOUTS = (4, 4, 4)
 BATCH = 1024
 TAPS = (0.5, 0.25, 0.125, 0.0625, 0.03125)
-HOPS, POWER_ROUNDS, STEPS = 2, 12, 25
+HOPS, STEPS, SMOOTHING = (6, 8), 25, 3
 WIDTH = 2
 W_SELF = ((0.5, -0.25), (0.125, 0.75), (-0.5, 0.5))
 W_NEIGH = ((0.25, 0.5), (-0.75, 0.375), (0.5, -0.125))
@@ -93,7 +93,7 @@ def fuse(spark, root):
 
 
 def _scaled(spark, root):
-    return gr.scaled_edges(trade_edges(spark, root), POWER_ROUNDS, SEED)
+    return gr.scaled_edges(trade_edges(spark, root), seed=SEED)
 
 
 def _rounded(df, column="w", digits=6):
@@ -120,7 +120,12 @@ def source_data_set(spark, root):
 
 
 def local_max(spark, root):
-    return gr.local_max(trade_edges(spark, root), _signal(spark, root), HOPS)
+    """Maxima over both distances; the longer walk goes on from the shorter one."""
+    edges = gr.SaltedEdges.of(trade_edges(spark, root), ["src", "dst"], "src", "dst")
+    near = gr.local_max(edges, _signal(spark, root), HOPS[0])
+    far = gr.local_max(edges, near, HOPS[1] - HOPS[0])
+    hops = [F.lit(h).cast("bigint").alias("hops") for h in HOPS]
+    return near.select(hops[0], "node", "value").union(far.select(hops[1], "node", "value"))
 
 
 def page_links(spark, root):
@@ -131,6 +136,10 @@ def page_links(spark, root):
     ).distinct()
 
 
+def smoothed(spark, root):
+    return _long(gr.smoothed_features(trade_edges(spark, root), node_features(spark, root), WIDTH, SMOOTHING))
+
+
 def label_accuracy(spark, root):
     rows = table(spark, root, "labels").select(F.col("quality").alias("prediction"), F.col("toxic").alias("label"))
     return gr.accuracy(rows).select(F.round("accuracy", 6).alias("accuracy"), F.round("error_rate", 6).alias("error_rate"))
@@ -177,14 +186,16 @@ QUERIES = {
     "gr_top_degree": lambda s, d: gr.top_nodes(_degree(s, d), 10),
     "gr_source_nodes": sources,
     "gr_fuse_edges": lambda s, d: _rounded(fuse(s, d)),
-    "gr_spectral_scale": lambda s, d: _rounded(gr.spectral_scale(trade_edges(s, d), POWER_ROUNDS, SEED), digits=9),
-    "gr_laplacian": lambda s, d: _rounded(gr.rescaled_laplacian(trade_edges(s, d), POWER_ROUNDS, SEED), digits=9),
+    "gr_spectral_scale": lambda s, d: _rounded(gr.spectral_scale(trade_edges(s, d), seed=SEED), digits=9),
+    "gr_laplacian": lambda s, d: _rounded(gr.rescaled_laplacian(trade_edges(s, d), seed=SEED), digits=9),
     "gr_diffuse": lambda s, d: _rounded(_diffused(s, d).drop("sample"), "value"),
     "gr_shift_features": shift,
     "gr_filter": lambda s, d: _rounded(gr.filtered(_diffused(s, d), TAPS).drop("sample"), "value"),
     "gr_source_dataset": source_data_set,
     "gr_local_max": local_max,
     "gr_components": lambda s, d: components(page_links(s, d)),
+    "gr_largest_component": lambda s, d: largest_component(page_links(s, d)),
+    "gr_sgc_features": smoothed,
     "gr_accuracy": label_accuracy,
     "gr_best_epoch": best_epoch,
     "gr_sgc_predict": sgc,
@@ -218,17 +229,21 @@ _SOURCES = f"""{_DEGREE}, sources AS MATERIALIZED (SELECT community, node, degre
 
 
 def _power(edges: str, name: str) -> str:
-    """CTE ``name``(radius) after the fixed rounds."""
+    """CTE ``name``(radius): a unit vector is multiplied until its length stands still."""
     u = uniform_sql(SEED, "node", "'power'")
-    ctes = [f"{name}_0 AS MATERIALIZED (SELECT node, {u} - 0.5 AS value FROM (SELECT DISTINCT src AS node FROM {edges}))"]
-    for i in range(POWER_ROUNDS):
-        ctes.append(f"{name}_{i + 1} AS MATERIALIZED (SELECT dst AS node, sum(w * value / norm) AS value FROM {edges} "
-                    f"JOIN {name}_{i} ON node = src, (SELECT sqrt(sum(value * value)) AS norm FROM {name}_{i}) GROUP BY dst)")
-    ctes.append(f"{name} AS MATERIALIZED (SELECT sqrt(sum(value * value)) AS radius FROM {name}_{POWER_ROUNDS})")
-    return ", ".join(ctes)
+    length = "sqrt(sum(value * value) OVER ())"
+    return f"""{name}_walk AS (
+      SELECT 0 AS round, node, value, NULL::DOUBLE AS before, {length} AS norm
+      FROM (SELECT node, {u} - 0.5 AS value FROM (SELECT DISTINCT src AS node FROM {edges}))
+      UNION ALL
+      SELECT round, node, value, before, {length} AS norm FROM (
+        SELECT p.round + 1 AS round, e.dst AS node, sum(p.value * e.w / p.norm) AS value, any_value(p.norm) AS before
+        FROM {edges} e JOIN {name}_walk p ON p.node = e.src
+        WHERE p.before IS NULL OR abs(p.norm - p.before) > {gr.POWER_TOLERANCE} * p.norm GROUP BY p.round, e.dst)),
+    {name} AS MATERIALIZED (SELECT arg_max(norm, round) AS radius FROM {name}_walk)"""
 
 
-_SCALED = f"WITH {TRADE_SQL}, {_power('edges', 'pw')}, scaled AS MATERIALIZED (SELECT src, dst, w / radius AS w FROM edges, pw)"
+_SCALED = f"WITH RECURSIVE {TRADE_SQL}, {_power('edges', 'pw')}, scaled AS MATERIALIZED (SELECT src, dst, w / radius AS w FROM edges, pw)"
 
 
 def _steps(start: str, steps: int) -> str:
@@ -262,10 +277,20 @@ def _sample_sql() -> str:
 
 def _hops_sql() -> str:
     ctes = ["h0 AS MATERIALIZED (SELECT node, x0 AS value FROM features)"]
-    for i in range(HOPS):
+    for i in range(max(HOPS)):
         ctes.append(f"h{i + 1} AS MATERIALIZED (SELECT node, max(value) AS value FROM (SELECT * FROM h{i} "
                     f"UNION ALL SELECT dst, value FROM edges JOIN h{i} ON node = src) GROUP BY node)")
-    return f"WITH {TRADE_SQL}, {_FEATURES}, {', '.join(ctes)} SELECT node, value FROM h{HOPS}"
+    every = " UNION ALL ".join(f"SELECT {h}::BIGINT AS hops, node, value FROM h{h}" for h in HOPS)
+    return f"WITH {TRADE_SQL}, {_FEATURES}, {', '.join(ctes)} {every}"
+
+
+def _smooth_sql() -> str:
+    ctes = ["s0 AS MATERIALIZED (SELECT node, x0, x1 FROM features)"]
+    for i in range(SMOOTHING):
+        ctes.append(f"s{i + 1} AS MATERIALIZED (SELECT s{i}.node, coalesce(m0, 0) AS x0, coalesce(m1, 0) AS x1 FROM s{i} LEFT JOIN ("
+                    f"SELECT dst AS node, avg(x0) AS m0, avg(x1) AS m1 FROM edges JOIN s{i} ON node = src GROUP BY dst) USING (node))")
+    return (f"WITH {TRADE_SQL}, {_FEATURES}, {', '.join(ctes)} SELECT node, 0::BIGINT AS pos, round(x0, 9) AS value "
+            f"FROM s{SMOOTHING} UNION ALL SELECT node, 1, round(x1, 9) FROM s{SMOOTHING}")
 
 
 _RESULTS = """results AS MATERIALIZED (SELECT event_type AS model, user_id % 10 AS graph, event_id % 10 AS realization,
@@ -273,6 +298,13 @@ _RESULTS = """results AS MATERIALIZED (SELECT event_type AS model, user_id % 10
 _CURVES = """SELECT model, step, round(avg(m), 9) AS mean, round(stddev_pop(m), 9) AS std FROM (
   SELECT model, step, graph, avg(value) AS m FROM results {where} GROUP BY ALL) GROUP BY model, step"""
 
+_COMPONENTS = """WITH RECURSIVE links AS MATERIALIZED (SELECT DISTINCT 'p' || page_id AS u,
+        'h' || unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS v FROM pages),
+        both_ways AS MATERIALIZED (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+        reach AS (SELECT DISTINCT u AS node, u AS spot FROM both_ways
+                  UNION SELECT r.node, e.v FROM reach r JOIN both_ways e ON e.u = r.spot),
+        parts_of AS MATERIALIZED (SELECT node, min(spot) AS component FROM reach GROUP BY node)"""
+
 SQL = {
     "gr_dataset_stats": f"""WITH {TRADE_SQL}, {_PARTS} SELECT count(*) AS n_nodes, count(DISTINCT label) AS n_classes,
         count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'valid') AS n_valid,
@@ -293,7 +325,7 @@ SQL = {
         SELECT src, dst, round(sum(w), 6) AS w FROM (SELECT src, dst, w / 2 AS w FROM layers
         UNION ALL SELECT dst, src, w / 2 FROM layers) GROUP BY src, dst""",
     "gr_spectral_scale": f"{_SCALED} SELECT src, dst, round(w, 9) AS w FROM scaled",
-    "gr_laplacian": f"""WITH {TRADE_SQL}, {_DEGREE}, lap AS MATERIALIZED (
+    "gr_laplacian": f"""WITH RECURSIVE {TRADE_SQL}, {_DEGREE}, lap AS MATERIALIZED (
         SELECT src, dst, -w / sqrt(a.degree * b.degree) AS w FROM edges JOIN degrees a ON a.node = src JOIN degrees b ON b.node = dst
         UNION ALL SELECT node, node, 1.0 FROM degrees), {_power('lap', 'pw')}
         SELECT src, dst, round(w * 2 / radius - CASE WHEN src = dst THEN 1 ELSE 0 END, 9) AS w FROM lap, pw""",
@@ -305,12 +337,10 @@ SQL = {
         SELECT sample AS label, t, {_split_case(uniform_sql(SEED, 'sample', 't', "'split'"))} AS split, node,
         round(value, 9) AS value FROM diffused""",
     "gr_local_max": _hops_sql(),
-    "gr_components": """WITH RECURSIVE links AS MATERIALIZED (SELECT DISTINCT 'p' || page_id AS u,
-        'h' || unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS v FROM pages),
-        both_ways AS MATERIALIZED (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
-        reach AS (SELECT DISTINCT u AS node, u AS spot FROM both_ways
-                  UNION SELECT r.node, e.v FROM reach r JOIN both_ways e ON e.u = r.spot)
-        SELECT node, min(spot) AS component FROM reach GROUP BY node""",
+    "gr_components": f"{_COMPONENTS} SELECT node, component FROM parts_of",
+    "gr_largest_component": f"""{_COMPONENTS} SELECT u, v FROM links JOIN parts_of ON node = u WHERE component = (
+        SELECT component FROM parts_of GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)""",
+    "gr_sgc_features": _smooth_sql(),
     "gr_accuracy": """SELECT round(avg((quality = toxic)::INT), 6) AS accuracy, round(1 - avg((quality = toxic)::INT), 6) AS error_rate
         FROM labels""",
     "gr_best_epoch": """SELECT epoch, round(acc, 6) AS acc FROM (SELECT epoch_us(ts) // 3600000000 AS epoch,
