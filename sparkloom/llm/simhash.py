@@ -13,7 +13,7 @@ instead of all pairs, which is what components need and stays linear in a dense
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -279,12 +279,12 @@ def hex_fingerprint(fp) -> F.Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates, all columns kept.
 
-    Of repeated rows with that id one stays. Rows with a null doc_id cannot be told apart and all stay.
+    ``grouped`` gives the component_id of rows of doc_id and text. Of repeated rows with that id one stays. Rows with a null doc_id cannot be told apart and all stay.
     """
-    groups = near_duplicates(docs.select("doc_id", "text"))
+    groups = grouped(docs.select("doc_id", "text"))
     # a group is named by its smallest id: those rows are the ones to keep
     kept = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
     named = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])

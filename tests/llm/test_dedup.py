@@ -7,7 +7,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkloom.llm import queries, simhash, substring
+import corpus_pipeline
+from sparkloom.llm import minhash, queries, simhash, substring
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,6 +70,36 @@ def test_simhash_odd_rows(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.one_of_each(no_docs).count() == 0
 
 
+def test_near_copies_are_all_pairs_at_the_similarity(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PIECE", 10)
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(6):
+        base = [f"w{k}" for k in rng.integers(0, 5000, 120)]
+        for edits in (0, 0, 1, 1, 2, 2, 3, 4, 6, 9) * 3:
+            copy = list(base)
+            for at in rng.choice(120, edits, replace=False):
+                copy[at] = f"x{rng.integers(1 << 30)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r.component_id for r in minhash.near_copies(docs).orderBy("doc_id").collect()] == label
+    assert len(set(label)) > 6
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == sorted(set(label))
+
+
+def test_near_copies_odd_rows(odd_docs, no_docs):
+    by = {r.doc_id: r.component_id for r in minhash.near_copies(odd_docs).collect()}
+    assert by[None] == by[1] == by[6] == 1 and by[2] == by[3] == by[4] == 2 and by[5] == 5
+    assert minhash.near_copies(no_docs).count() == 0
+
+
 def brute_removal(rows):
     words = [(t or "").encode().split() for _, t in rows]
     seen = Counter(b" ".join(w[i:i + 35]) for w in words for i in range(len(w) - 34))
