@@ -2,8 +2,9 @@
 
 Every passage (window of words) of every document is a query against the index of items. An
 item's score is the share of its own BM25 mass that the passage covers, so one threshold
-serves items of any length. Retrieved items are then verified: five-word shingles of the
-question and of the answer must occur in the passage.
+serves items of any length. Retrieved items are then verified by five-word shingles in the
+passage: those of the question and of the answer, or those of the whole item, or those of the
+question with the words of a short answer. Wherever an item is cut, the rest of it still counts.
 
 Retrieval has two steps with the same exact bound. The first is the pivot test of WAND for a
 whole batch in numpy: hits of selective terms are added up per (passage, item), and a passage
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 RETRIEVE = 0.6  # share of an item's BM25 mass
-OVERLAP = 0.8  # share of question shingles, and of answer shingles
+OVERLAP = 0.8  # share of question shingles and of answer shingles, or of the whole item's
+SHORT_ANSWER = 25  # words; in a shorter answer one changed word can take more shingles than OVERLAP allows
 SHINGLE = 5
 BLOCK = 32  # postings per block
 SELECTIVE = 0.05  # share of items; terms in more items are left to the second step
@@ -61,6 +63,8 @@ class ItemIndex:
         parsed = sorted((i, q, a) for i, (q, a) in parsed if q)
         self.ids = [i for i, _, _ in parsed]
         self.parts = [(_shingles(q), _shingles(a)) for _, q, a in parsed]
+        self.wholes = [_shingles(q + a) for _, q, a in parsed]
+        self.short_answers = [Counter(a) if len(a) < SHORT_ANSWER else None for _, _, a in parsed]
         terms = [Counter(q + a) for _, q, a in parsed]
         lengths = [sum(t.values()) for t in terms]
         self.longest = max(lengths, default=1)
@@ -157,6 +161,13 @@ class ItemIndex:
                 c[1] = block_end if block_end <= len(postings) and postings[block_end - 1][0] < item else c[1] + 1
             c[0] = postings[c[1]][0] if c[1] < len(postings) else None
 
+    def _has_short_answer(self, item: int, window: list[bytes]) -> bool:
+        """Whether the window holds OVERLAP of the words of the item's answer, if that is short."""
+        answer = self.short_answers[item]
+        if not answer:
+            return False
+        return (answer & Counter(window)).total() >= OVERLAP * answer.total()
+
     def leaks(self, text: bytes) -> dict[int, tuple[float, float, float]]:
         """{item position: (score, question overlap, answer overlap)} of verified items."""
         words = words_of(text)
@@ -182,7 +193,10 @@ class ItemIndex:
                 q, a = self.parts[item]
                 q_share = _overlap(q, window)
                 a_share = _overlap(a, window)
-                if q_share >= OVERLAP and a_share >= OVERLAP:
+                if (
+                    (q_share >= OVERLAP and (a_share >= OVERLAP or self._has_short_answer(item, window)))
+                    or _overlap(self.wholes[item], window) >= OVERLAP
+                ):
                     found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (score, q_share, a_share))
         return found
 

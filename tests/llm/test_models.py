@@ -92,6 +92,22 @@ def test_leaks_match_contained_items(spark):
     assert decontaminate.clean(docs, items).count() == docs.count() - len({d for d, _ in want})
 
 
+def test_leaks_with_one_edited_word_or_without_the_last_sentence():
+    question = [f"q{i}" for i in range(60)]
+    items = [(1, " ".join(question) + ". " + " ".join(f"a{i}" for i in range(8)) + ".")]
+    items += [(2, " ".join(f"r{i}" for i in range(40)) + " inth. Er.")]
+    items += [(k, " ".join(f"z{k}x{i}" for i in range(30))) for k in range(3, 9)]
+    index = decontaminate.ItemIndex([(i, t.encode()) for i, t in items])
+    found = lambda t: {index.ids[i] for i in index.leaks(("before it " + t + " after it").encode())}
+    whole = items[0][1].split()
+    for at in range(len(whole)):
+        assert found(" ".join([*whole[:at], "edited", *whole[at + 1:]])) == {1}
+    assert found(" ".join(question)) == {1} and found(items[1][1].removesuffix(" Er.")) == {2}
+    # half a question or an answer alone is no leak; the answer's words in another order complete 53 of 60 question words
+    assert found(" ".join(question[:30])) == set() and found(" ".join(f"a{i}" for i in range(8))) == set()
+    assert found(" ".join(question[:53]) + " " + " ".join(f"a{i}" for i in (7, 2, 5, 0, 3, 6, 1, 4))) == {1}
+
+
 def test_wand_equals_full_scoring():
     rng = np.random.default_rng(3)
     items = [(i, " ".join(f"t{w}" for w in rng.zipf(1.3, 12) % 60).encode()) for i in range(300)]
