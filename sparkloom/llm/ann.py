@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample and every row is assigned to a leaf. Vect
 more component so that all have one length, which turns the largest inner product into the smallest distance.
 A query walks the tree best bin first: a priority queue holds the branches seen so far by
 distance to their centre, and leaves come out in that order. How many leaves a query visits is
-widened until a sample of queries, answered exactly as well, reaches the wanted recall.
+widened until a sample of queries, answered exactly as well, reaches the wanted recall; a query
+goes on past that while its leaves hold too few rows.
 """
 
 from __future__ import annotations
@@ -105,15 +106,16 @@ class CentreTree:
             stack += [(c, at[of == k]) for k, c in enumerate(self.children[node])]
         return out
 
-    def best_bins(self, query: np.ndarray, leaves: int) -> list[int]:
-        """The first ``leaves`` leaves of a best-bin-first walk."""
+    def best_bins(self, query: np.ndarray, leaves: int, held: np.ndarray | None = None, wanted: int = 0) -> list[int]:
+        """The first ``leaves`` leaves of a best-bin-first walk, and more until they hold ``wanted`` rows; ``held`` has the rows of each leaf."""
         size = float(np.sqrt((query**2).sum()))
         q = np.r_[query * (self.longest / size), 0.0]  # the order of a query's neighbours does not depend on its length
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < leaves:
+        queue, found, rows = [(0.0, 0)], [], 0
+        while queue and (len(found) < leaves or rows < wanted):
             _, node = heapq.heappop(queue)
             if self.children[node] is None:
                 found.append(self.leaf[node])
+                rows += held[self.leaf[node]] if wanted else 0
                 continue
             d = ((self.tables[node] - q) ** 2).sum(axis=1)
             for k, c in enumerate(self.children[node]):
@@ -125,6 +127,11 @@ def _top(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndar
     """(query_id, vec_id, score) of each query's k best among the rows, without itself; ties to the smaller id."""
     order = np.argsort(ids, kind="stable")
     x, ids = x[order], ids[order]
+    if (ids[1:] == ids[:-1]).any():  # equal rows with one id are one candidate
+        order = np.lexsort((*x.T, ids))
+        x, ids = x[order], ids[order]
+        new = np.r_[True, (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(axis=1)]
+        x, ids = x[new], ids[new]
     out = []
     for a in range(0, len(queries), 256):
         q = queries[a:a + 256]
@@ -212,10 +219,15 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) ->
         while visits < tree.leaves and (needed <= visits).mean() < recall:
             visits = min(tree.leaves, visits + max(1, visits // 4))
 
+    # distinct ids of each leaf; an id in several leaves counts in one, so the sum over visited leaves never exceeds their ids
+    held = np.zeros(tree.leaves, np.int64)
+    for row in stored.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect():
+        held[row["leaf"]] = row["n"]
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, x = vectors_of(batch.column(1))
-            bins = [tree.best_bins(v, visits) for v in x]
+            bins = [tree.best_bins(v, visits, held, k + 1) for v in x]
             at = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
             leaf = np.array([b for found in bins for b in found], np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(leaf)], ["vec_id", "x", "leaf"])

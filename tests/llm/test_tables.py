@@ -161,6 +161,18 @@ def test_op10_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_queries_in_tiny_leaves_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 0.01, (1500, 6)) + c for c in (np.eye(6)[0] * 9, np.eye(6)[1] * 9)] + [rng.normal(0, 9, (30, 6))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(3029, x[3029].tolist())] * 40
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    ranks = {}
+    for r in ann.search(df, (F.col("vec_id") % 20 == 0) | (F.col("vec_id") >= 3000), k=20, recall=0.2).collect():
+        ranks.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert set(ranks) == {i for i in range(3030) if i % 20 == 0 or i >= 3000}
+    assert all(sorted(r)[-1][0] == len({v for _, v in r}) == len(r) == 20 for r in ranks.values())
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(i, [1.0, float(i % 3)]) for i in range(40)] + [(100, None), (101, []), (102, [0.0, 0.0]), (103, [float("nan"), 1.0]), (104, [1.0, None]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
