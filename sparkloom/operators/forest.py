@@ -47,11 +47,17 @@ def _compose(labels: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """``(node, component)``: the component is the smallest node name in it."""
+def components(edges: DataFrame, u: str = "u", v: str = "v", nodes: DataFrame | None = None) -> DataFrame:
+    """``(node, component)``: the component is the smallest node name in it.
+
+    ``nodes`` has a column ``node``; those without an edge are components of their own. Without it,
+    only nodes with an edge are known.
+    """
     pairs = edges.select(F.col(u).alias("cu"), F.col(v).alias("cv"))
-    nodes = pairs.select(F.explode(F.array("cu", "cv")).alias("node")).distinct()
-    labels = materialise(nodes.withColumn("component", F.col("node")), "labels")
+    known = pairs.select(F.explode(F.array("cu", "cv")).alias("node"))
+    if nodes is not None:
+        known = known.unionByName(nodes.select("node"))
+    labels = materialise(known.distinct().withColumn("component", F.col("node")), "labels")
     active = materialise(
         pairs.select(F.least("cu", "cv").alias("cu"), F.greatest("cu", "cv").alias("cv"))
         .where(F.col("cu") != F.col("cv")).distinct(), "contracted"

@@ -136,6 +136,16 @@ def page_links(spark, root):
     ).distinct()
 
 
+def page_names(spark, root):
+    """Node names of all pages, also of those without a link."""
+    return table(spark, root, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("node"))
+
+
+def page_components(spark, root, isolated: bool = False):
+    """Components of pages and link targets. Their SQL knows linked nodes only; ``isolated`` adds pages without a link."""
+    return components(page_links(spark, root), nodes=page_names(spark, root) if isolated else None)
+
+
 def smoothed(spark, root):
     return _long(gr.smoothed_features(trade_edges(spark, root), node_features(spark, root), WIDTH, SMOOTHING))
 
@@ -193,7 +203,7 @@ QUERIES = {
     "gr_filter": lambda s, d: _rounded(gr.filtered(_diffused(s, d), TAPS).drop("sample"), "value"),
     "gr_source_dataset": source_data_set,
     "gr_local_max": local_max,
-    "gr_components": lambda s, d: components(page_links(s, d)),
+    "gr_components": lambda s, d: page_components(s, d),
     "gr_largest_component": lambda s, d: largest_component(page_links(s, d)),
     "gr_sgc_features": smoothed,
     "gr_accuracy": label_accuracy,

@@ -9,6 +9,7 @@ from sparkloom import chow_liu
 from sparkloom.operators import chowliu, dag, forest
 from sparkloom.operators.network import Network
 from sparkloom.operators.ranking import global_rank
+from sparkloom.plans import graph_queries
 
 
 def edges_df(spark, pairs):
@@ -142,6 +143,22 @@ def test_components(spark):
     assert forest.largest_component(df).count() == 120
 
 
+def test_components_with_nodes_that_have_no_edge(spark):
+    df = spark.createDataFrame([("a", "b")], "u string, v string")
+    nodes = spark.createDataFrame([("a",), ("alone",)], "node string")
+    got = sorted(map(tuple, forest.components(df, nodes=nodes).collect()))
+    assert got == [("a", "a"), ("alone", "alone"), ("b", "a")]
+
+
+def test_page_components_can_keep_pages_without_links(spark, tmp_path):
+    pages = [(1, 'x <a href="t">'), (2, "no link"), (3, None), (4, 'y <a href="t">')]
+    spark.createDataFrame(pages, "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    linked = {("p1", "ht"), ("p4", "ht"), ("ht", "ht")}
+    assert set(map(tuple, graph_queries.page_components(spark, str(tmp_path)).collect())) == linked
+    got = set(map(tuple, graph_queries.page_components(spark, str(tmp_path), isolated=True).collect()))
+    assert got == linked | {("p2", "p2"), ("p3", "p3")}
+
+
 def test_orient(spark):
     tree = spark.createDataFrame([("a", "b"), ("c", "b"), ("c", "d")], "u string, v string")
     assert sorted(map(tuple, forest.orient(tree, "d").collect())) == [("b", "a"), ("c", "b"), ("d", "c")]
