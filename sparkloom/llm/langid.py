@@ -12,18 +12,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import hash_share, held_out
 from sparkloom.llm.textbatch import pieces
+from sparkloom.session import materialise
 
 WINDOW = 256
 EMBED = 8
 WIDTHS = (2, 3, 4)
 FILTERS = 12  # per width
 EPOCHS = 12
-SAMPLE_PER_LANGUAGE = 700  # training documents, on average; all languages together at most SAMPLE_ROWS
+SAMPLE_PER_LANGUAGE = 700  # training documents at most; fewer where all languages together would exceed SAMPLE_ROWS
 SAMPLE_ROWS = 8000
 EXCERPT = 400  # characters of a training document, at a place drawn from its id
 UNKNOWN = "und"
@@ -137,15 +138,21 @@ class ByteNetwork:
 
 
 def learning_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(excerpt, language) of a bounded sample outside the held-out fold; null texts and languages are left out."""
+    """(excerpt, language) of a bounded sample outside the held-out fold; null texts and languages are left out.
+
+    Each language gives its rows of smallest hash, as many as its equal share of SAMPLE_ROWS and at least one.
+    """
     known = docs.filter(~held_out(F.col("doc_id"))).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, SAMPLE_PER_LANGUAGE / n)).otherwise(share)
+    counts = materialise(known.groupBy("lang").agg(F.count("*").alias("__n")), "languages")
+    most = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // max(1, counts.count())))
     place = F.floor(hash_share(F.col("doc_id"), seed=4) * F.greatest(F.length("text") - EXCERPT, F.lit(0))).cast("int") + 1
-    drawn = known.filter(hash_share(F.col("doc_id"), F.lit("sample"), seed=3) < share)
-    rows = drawn.select("doc_id", F.substr("text", place, F.lit(EXCERPT)).alias("text"), "lang").limit(SAMPLE_ROWS).collect()
+    # rows without an id are told apart by their text
+    draw = hash_share(F.col("doc_id"), F.when(F.isnull("doc_id"), F.col("text")), F.lit("sample"), seed=3)
+    rows = known.select("doc_id", F.substr("text", place, F.lit(EXCERPT)).alias("text"), "lang", draw.alias("__draw")).join(counts, "lang")
+    # a little more than the share passes, so that only few rows are ranked
+    rows = rows.filter(F.col("__draw") * F.col("__n") < 1.3 * most + 30)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("__draw", "doc_id", "text"))
+    rows = rows.withColumn("__rank", rank).filter(F.col("__rank") <= most).select("doc_id", "text", "lang").collect()
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"], r["lang"]))]
 
 

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -133,3 +134,13 @@ def test_leaks_odd_rows(spark, odd_docs, no_docs):
     assert decontaminate.clean(odd_docs, items).columns == odd_docs.columns
     assert decontaminate.leaks(no_docs, items).count() == 0 and decontaminate.leaks(odd_docs, items.limit(0)).count() == 0
     assert decontaminate.clean(odd_docs, items.limit(0)).count() == 8
+
+
+def test_every_language_is_learned_in_a_corpus_stored_by_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 120)
+    rows = [(k * 1000 + i if i % 7 else None, f"text {k} {i}", f"l{k:02}") for k in range(30) for i in range(90)] + [(99_001, "rare", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sample = langid.learning_sample(docs)
+    counts = Counter(lang for _, lang in sample)
+    assert set(counts) >= {f"l{k:02}" for k in range(30)} and max(counts.values()) == 120 // len(counts)
+    assert sample == langid.learning_sample(docs.repartition(5))
