@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +28,9 @@ def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = SegmentEncoder.of_worker(tokenizer)
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                part = batch.slice(a, 256)
-                counts = [len(i) // encoder.type.itemsize for i in encoder.encode(part.column(part.schema.get_field_index("text")).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(counts, pa.int64())], [*names, "tokens"])
+            counts = [n for _, _, n in encoder.encode(batch.column("text"))]
+            counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(counts)], [*names, "tokens"])
 
     return docs.mapInArrow(run, schema)
 
