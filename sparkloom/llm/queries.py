@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import ann, decontaminate, langid, mixing, sharding, simhash, substring, tokencounts, tokenfile, toxicity
+from sparkloom.llm import ann, decontaminate, fim, langid, mixing, sharding, simhash, substring, tokencounts, tokenfile, toxicity
 from sparkloom.llm.common import held_out, table
 from sparkloom.llm.tokens import tokenizer_path
 from sparkloom.session import materialise, new_path
@@ -75,6 +75,11 @@ def op10_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = materialise(fim.store(table(spark, sf_dir, "documents")), "frames")
+    return fim.digests(fim.rearrange(stored))
+
+
 QUERIES = {
     "op1_simhash_groups": op1_simhash_groups,
     "op2_substring_dedup": op2_substring_dedup,
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_kmeans_tree_neighbours": op10_kmeans_tree_neighbours,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 SQL = {
@@ -120,5 +126,29 @@ p AS (
 SELECT doc_id, size::BIGINT AS size, source_size, target,
   (epochs * size + greatest(0, least(size, budget - earlier)))::BIGINT AS taken
 FROM p
+""",
+    "op11_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+c AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS c2,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT doc_id, n, form, t, array_to_string(u[1:least(c1, c2)], '') AS a, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+    array_to_string(u[greatest(c1, c2) + 1:n], '') AS z
+  FROM c),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END AS out
+  FROM p),
+r AS (
+  SELECT *, string_split(out, '<M>') AS f, string_split(string_split(out, '<M>')[1], CASE form WHEN 'psm' THEN '<S>' ELSE '<P>' END) AS g FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(out) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN out WHEN 'psm' THEN substr(g[1], 4) || f[2] || g[2] ELSE g[2] || f[2] || substr(g[1], 4) END) AS restored_sha256
+FROM r
 """,
 }
