@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import alignment, ann, decontaminate, fim, langid, mixing, sharding, simhash, substring, tokencounts, tokenfile, toxicity
+from sparkloom.llm import alignment, ann, decontaminate, fim, langid, mixing, sharding, simhash, substring, suffixes, tokencounts, tokenfile, toxicity
 from sparkloom.llm.common import held_out, table
 from sparkloom.llm.tokens import tokenizer_path
 from sparkloom.session import materialise, new_path
@@ -80,6 +80,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.rearrange(stored))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return alignment.align(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
@@ -97,6 +102,7 @@ QUERIES = {
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_kmeans_tree_neighbours": op10_kmeans_tree_neighbours,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_token_alignment": op13_token_alignment,
 }
 
