@@ -41,9 +41,9 @@ from sparkloom.session import materialise
 LENGTH = 200
 GRAM = 32
 SIDE = LENGTH - GRAM  # bytes before and after an anchor that a window over it can hold
-CHUNK_BYTES = 8 << 20  # whole texts of about so much are one chunk
+CHUNK_BYTES = 4 << 20  # whole texts of about so much are one chunk
 GROUP_BYTES = 128 << 10  # bytes hashed at once
-BUCKET_ANCHORS = 1 << 19
+BUCKET_ANCHORS = 1 << 17
 HOT_CONTEXTS = 50_000
 PART = 512  # quicksort leaves smaller parts of a level to one joint sort
 PAD = 0xFF  # no byte of UTF-8
@@ -471,35 +471,33 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(len(batch)):
                 blob, lengths, at = (batch.column(c)[i].as_py() for c in ("blob", "lengths", "at"))
-                covered, offsets, data = None, np.r_[0, np.cumsum(_unpack(lengths, "<u8").astype(np.int64))], _unpack(blob, np.uint8)
+                offsets, data = np.r_[0, np.cumsum(_unpack(lengths, "<u8").astype(np.int64))], _unpack(blob, np.uint8)
+                begins = np.zeros(len(data), bool)  # a repeated window starts here
                 if batch.column("contents")[i].is_valid:
                     chunk = Chunk.read(blob, lengths, at)
                     content = np.frombuffer(b"".join(batch.column("contents")[i].as_py()), "<u4")
-                    bits = np.concatenate([_unpack(b, np.uint8) for b in batch.column("bits")[i].as_py()]).reshape(-1, width)
                     answer = np.zeros((len(chunk.first), width), np.uint8)
-                    np.bitwise_or.at(answer, content, bits)
-                    row, o = np.nonzero(np.unpackbits(answer[chunk.content], axis=1, count=SIDE + 1))
-                    begins = np.zeros(len(data) + 1, bool)
-                    begins[chunk.at[row] - o] = True
-                    count = np.cumsum(begins[:-1])
-                    covered = count - np.r_[np.zeros(min(LENGTH, len(data)), count.dtype), count[:-LENGTH]] > 0
-                if covered is None:
-                    covered = np.zeros(len(data), bool)
+                    np.bitwise_or.at(answer, content, np.concatenate([_unpack(b, np.uint8) for b in batch.column("bits")[i].as_py()]).reshape(-1, width))
+                    answer = np.unpackbits(answer, axis=1, count=SIDE + 1).astype(bool)
+                    for o in range(SIDE + 1):
+                        begins[chunk.at[answer[chunk.content, o]] - o] = True
+                start = np.flatnonzero(begins)
+                row = np.searchsorted(offsets, start, "right") - 1
+                new = np.flatnonzero(np.r_[True, (start[1:] > start[:-1] + LENGTH) | (row[1:] != row[:-1])]) if len(start) else start
+                first, row = start[new], row[new]
+                last = start[np.r_[new[1:], len(start)] - 1] + LENGTH if len(start) else start
                 n = np.diff(offsets)
-                upto = np.r_[0, np.cumsum(covered)]
-                removed = upto[offsets[1:]] - upto[offsets[:-1]]
-                before = np.r_[False, covered[:-1]]
-                before[offsets[:-1][n > 0]] = False
-                after = np.r_[covered[1:], False]
-                after[offsets[1:][n > 0] - 1] = False
-                first, last = np.flatnonzero(covered & ~before), np.flatnonzero(covered & ~after)
-                row = np.searchsorted(offsets, first, "right") - 1
+                removed = np.bincount(row, last - first, len(n)).astype(np.int64)
                 spans = np.r_[0, np.cumsum(np.bincount(row, minlength=len(n)))].astype(np.int32)
-                kept_at = (offsets - upto[offsets]).astype(np.int64)
+                edge = np.zeros(len(data) + 1, np.int8)
+                edge[first] += 1
+                edge[last] -= 1  # a span may end where the next text's starts
+                covered = np.cumsum(edge[:-1], dtype=np.int8) > 0
+                kept_at = offsets - np.r_[0, np.cumsum(removed)]
                 kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(kept_at), pa.py_buffer(np.ascontiguousarray(data[~covered]))])
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("ids")[i].values, pa.array(n), pa.array(removed.astype(np.int64)),
-                    *(pa.ListArray.from_arrays(spans, pa.array(x.astype(np.int64))) for x in (first - offsets[row], last + 1 - offsets[row])), kept.cast(pa.binary()),
+                    batch.column("ids")[i].values, pa.array(n), pa.array(removed),
+                    *(pa.ListArray.from_arrays(spans, pa.array(x - offsets[row])) for x in (first, last)), kept.cast(pa.binary()),
                 ], names)
 
     met = texts.join(answers, "chunk", "left").select("ids", "blob", "lengths", "at", "contents", "bits")
