@@ -1,8 +1,9 @@
 """Alignment of two tokenizers over the distinct texts of a corpus.
 
 Documents are shuffled by their full text, and every distinct text is tokenised and aligned
-once. Both vocabularies cut a text before a space that follows a visible character, so a text's
-alignment is that of its segments, and a batch works out each distinct segment once.
+once. Both vocabularies cut a text before a space that follows a visible character and before
+punctuation that ends a word (no piece of B reaches over such a place, which is checked), so a
+text's alignment is that of its segments, and a batch works out each distinct segment once.
 
 The result of a chunk of texts is stored with the chunk's own list of linked id pairs. Pair
 counts weigh a text by the number of its copies, are summed by Spark, and go back to the chunks
@@ -13,8 +14,9 @@ table is broadcast.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,9 @@ from sparkloom.llm.textbatch import column_bytes
 from sparkloom.llm.tokens import Memory, distinct_segments, of_worker, ragged_take, row_groups, segment_starts
 from sparkloom.session import materialise
 
-CHUNK_BYTES = 8 << 20  # whole texts of about so much are aligned and stored together
+CHUNK_BYTES = 4 << 20  # whole texts of about so much are aligned and stored together
+MEMORY_SEGMENTS = 300_000  # alignments a Python worker remembers
+LARGE_GROUP = 4096  # links
 _MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 
 
@@ -40,10 +44,11 @@ def _byte_of_letter() -> dict[str, int]:
 
 
 class SegmentAligner:
-    """Aligns segments that start with a space; one per pair of tokenizer files and Python worker."""
+    """Aligns segments of space and text; one per pair of tokenizer files and Python worker."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -52,53 +57,84 @@ class SegmentAligner:
         self.bytes_a = [b""] * self.a.get_vocab_size()
         for token, number in self.a.get_vocab().items():
             self.bytes_a[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        model = sentencepiece_model_pb2.ModelProto.FromString(open(path_b, "rb").read())
+        model.normalizer_spec.add_dummy_prefix = False  # the space is part of the segments
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.bytes_b = []
         for number in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(number)
             self.bytes_b.append(bytes([int(piece[3:-1], 16)]) if self.b.is_byte(number) else piece.replace("▁", " ").encode())
-        self.space = self.b.piece_to_id("▁")
-        self.memory = Memory()
+        ordinary = (self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)))
+        if any(_OVER.search(piece) for piece in ordinary):
+            raise ValueError("pieces of B reach over the ends of segments")
+        self.memory = Memory(MEMORY_SEGMENTS)
+        self.tables = [np.frombuffer(b"".join(t), np.uint8) for t in (self.bytes_a, self.bytes_b)]
+        self.lengths = [np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b)]
+        shown = [f"{i}{c}".encode() for i in range(max(len(self.bytes_a), len(self.bytes_b))) for c in ",|;"]
+        self.shown, self.shown_lengths = np.frombuffer(b"".join(shown), np.uint8), np.array([len(x) for x in shown], np.int64)
 
     def encode(self, segments: list[bytes]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids by A and by B, which puts a space before what it is given."""
+        """Ids by A and by B."""
         texts = [s.decode("utf-8", "replace") for s in segments]
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        return a, [ids if len(t) > 1 else [self.space] for t, ids in zip(texts, b)]
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode(texts, num_threads=1)
 
     def align(self, segments: list[bytes]) -> list[tuple | None]:
-        """Per segment (measures, pairs, occurrences, groups as text); None if a tokenizer does not give the bytes back."""
-        return [self._align(s, a, b) for s, a, b in zip(segments, *self.encode(segments))]
-
-    def _align(self, segment: bytes, a: list[int], b: list[int]) -> tuple | None:
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != segment or b"".join(parts_b) != segment:
-            return None
-        groups, links, pairs = [], 0, Counter()
-        i = j = from_i = from_j = end_a = end_b = 0
-        while i < len(a):
-            # whichever is behind takes its next token; both ends meet at a cut
-            if end_a <= end_b:
-                end_a, i = end_a + len(parts_a[i]), i + 1
-            while end_b < end_a:
-                end_b, j = end_b + len(parts_b[j]), j + 1
-            if end_a == end_b:
-                own, other = a[from_i:i], b[from_j:j]
-                groups.append(f"{','.join(map(str, own))}|{','.join(map(str, other))}")
-                links += len(own) * len(other)
-                if len(own) == 1 == len(other):
-                    pairs[own[0] << 32 | other[0]] += 1
-                else:
-                    counts = Counter(other)
-                    for x, m in Counter(own).items():
-                        for y, n in counts.items():
-                            pairs[x << 32 | y] += m * n
-                from_i, from_j = i, j
-        return (
-            (len(a), len(b), len(groups), links), np.fromiter(pairs, np.int64, len(pairs)).tobytes(),
-            np.fromiter(pairs.values(), np.int64, len(pairs)).tobytes(), ";".join(groups).encode(),
-        )
+        """Per segment, as bytes, (its four measures, pairs, their occurrences, groups as text); None if a tokenizer does not give it back.
+
+        All segments are aligned together: tokens lie end to end, and a group ends where an A
+        token and a B token do. Each group of the text ends with a semicolon.
+        """
+        n, raw = len(segments), np.frombuffer(b"".join(segments), np.uint8)
+        size = np.fromiter(map(len, segments), np.int64, n)
+        sides, good = [], np.ones(n, bool)
+        for ids, length in zip(self.encode(segments), self.lengths):
+            counts = np.fromiter(map(len, ids), np.int64, n)
+            ids, of = np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum())), np.repeat(np.arange(n), counts)
+            good &= np.bincount(of, length[ids], n) == size
+            sides.append((ids, of))
+        byte_of = np.repeat(np.arange(n), size)
+        fits = good.copy()
+        for (ids, of), length, table in zip(sides, self.lengths, self.tables):
+            other = ragged_take(table, length, ids[fits[of]]) != raw[fits[byte_of]]
+            good[byte_of[fits[byte_of]][other]] = False
+        (a, of_a), (b, of_b) = ((ids[good[of]], of[good[of]]) for ids, of in sides)
+        end_a, end_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
+        last = []
+        for end, other in ((end_a, end_b), (end_b, end_a)):
+            mark = np.zeros(int(size[good].sum()) + 1, bool)
+            mark[other] = True
+            last.append(mark[end])
+        group_a, group_b = (np.cumsum(x) - x for x in last)
+        of_group = of_a[last[0]]
+        size_a, size_b = (np.bincount(g, minlength=len(of_group)) for g in (group_a, group_b))
+        links = size_a * size_b
+        measures = np.stack([np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n), np.bincount(of_group, minlength=n), np.bincount(of_group, links, n)], axis=1).astype(np.int64)
+        # an A token meets all B tokens of its group; large groups by their distinct ids
+        from_b = np.cumsum(size_b) - size_b
+        times = np.where(links > LARGE_GROUP, 0, size_b)[group_a]
+        left = np.repeat(np.arange(len(a)), times)
+        right = from_b[group_a[left]] + np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
+        pair, of_pair, occurs = [a[left] << 32 | b[right]], [of_a[left]], [np.ones(len(left), np.int64)]
+        for g in np.flatnonzero(links > LARGE_GROUP):
+            (x, m), (y, k) = (np.unique(ids[group == g], return_counts=True) for ids, group in ((a, group_a), (b, group_b)))
+            pair.append((x[:, None] << 32 | y).ravel())
+            occurs.append((m[:, None] * k).ravel())
+            of_pair.append(np.full(len(pair[-1]), of_group[g]))
+        pair, of_pair, occurs = map(np.concatenate, (pair, of_pair, occurs))
+        order = np.lexsort((pair, of_pair))
+        pair, of_pair, occurs = pair[order], of_pair[order], occurs[order]
+        new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (of_pair[1:] != of_pair[:-1])]) if len(pair) else order
+        pairs, counts = pair[new].tobytes(), (np.add.reduceat(occurs, new) if len(new) else occurs).tobytes()
+        pair_ends = np.cumsum(np.bincount(of_pair[new], minlength=n)) * 8
+        # numbers with what follows them: a comma, a bar after a group's last A, a semicolon after its last B
+        shown = np.concatenate([a * 3 + last[0], b * 3 + 2 * last[1]])[np.argsort(np.concatenate([group_a, group_b]), kind="stable")]
+        text = ragged_take(self.shown, self.shown_lengths, shown).tobytes()
+        text_ends = np.cumsum(np.bincount(of_a, self.shown_lengths[a * 3 + last[0]], n) + np.bincount(of_b, self.shown_lengths[b * 3 + 2 * last[1]], n)).astype(np.int64)
+        values, p, t = [], 0, 0
+        for fine, row, q, u in zip(good.tolist(), measures, pair_ends.tolist(), text_ends.tolist()):
+            values.append((row.tobytes(), pairs[p:q], counts[p:q], text[t:u]) if fine else None)
+            p, t = q, u
+        return values
 
 
 def align_chunk(aligner: SegmentAligner, column: pa.Array, copies: np.ndarray) -> dict:
@@ -106,19 +142,19 @@ def align_chunk(aligner: SegmentAligner, column: pa.Array, copies: np.ndarray) -
     spaced = pc.binary_join_element_wise(pa.scalar(" ", column.type), column, pa.scalar("", column.type))
     data, starts = column_bytes(spaced)
     n = len(column)
-    cuts = segment_starts(data, starts[:-1], byte_level=False)
+    cuts = segment_starts(data, starts[:-1])
     row = np.searchsorted(starts, cuts, "right") - 1
     which, segments = distinct_segments(data, cuts)
     found = aligner.memory.all(segments, aligner.align)
     lost = np.array([f is None for f in found])
     bad = np.zeros(n, bool)
     bad[row[lost[which]]] = True
-    found = [f or ((0, 0, 0, 0), b"", b"", b"") for f in found]
-    measures = np.array([f[0] for f in found], np.int64).reshape(-1, 4)
+    found = [f or (bytes(32), b"", b"", b"") for f in found]
+    measures = np.frombuffer(b"".join(f[0] for f in found), np.int64).reshape(-1, 4)
     out = {name: np.where(bad, 0, np.bincount(row, measures[which, k], n)).astype(np.int64) for k, name in enumerate(_MEASURES)}
     texts = [f[3] for f in found]
     first, of_segment = np.searchsorted(row, np.arange(n + 1)), which.tolist()
-    out["groups_sha256"] = ["" if b else hashlib.sha256(b";".join([texts[s] for s in of_segment[x:y]])).hexdigest() for b, x, y in zip(bad.tolist(), first, first[1:])]
+    out["groups_sha256"] = ["" if b else hashlib.sha256(b"".join([texts[s] for s in of_segment[x:y]])[:-1]).hexdigest() for b, x, y in zip(bad.tolist(), first, first[1:])]
     # every (text, segment) once with its occurrences, then its pairs, then every (text, pair) once
     kept = ~bad[row]
     key, times = np.unique(row[kept] * len(segments) + which[kept], return_counts=True)
@@ -147,6 +183,9 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+# a piece with a space or line feed after something else, or punctuation after a letter or digit
+_OVER = re.compile(r"[^▁\n][▁\n]|[A-Za-z0-9][!-/:-@\[-`{-~]")
+
 _CHUNK = (
     "chunk bigint, digests array<string>, n_a array<bigint>, n_b array<bigint>, n_groups array<bigint>, n_links array<bigint>, "
     "groups_sha256 array<string>, held binary, pair binary, links binary, a array<int>, b array<int>, n array<bigint>"

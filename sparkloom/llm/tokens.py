@@ -43,16 +43,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def segment_starts(data: np.ndarray, row_starts: np.ndarray, byte_level: bool = True) -> np.ndarray:
+def segment_starts(data: np.ndarray, row_starts: np.ndarray) -> np.ndarray:
     """Places in UTF-8 ``data`` where a segment starts: every row start, and safe places inside rows.
 
-    Those are spaces after a visible character and, for byte-level vocabularies, also line feeds
-    there and ASCII punctuation after an ASCII letter or digit. A place not known to be safe is
-    no start, which only makes a segment longer.
+    Those are spaces and line feeds after a visible character, and ASCII punctuation after an
+    ASCII letter or digit. A place not known to be safe is no start, which only makes a segment
+    longer.
     """
-    start = data == 32
-    if byte_level:
-        start |= data == 10
+    start = (data == 32) | (data == 10)
     start[:1] = False
     at = np.flatnonzero(start)
     before = data[at - 1]
@@ -63,8 +61,7 @@ def segment_starts(data: np.ndarray, row_starts: np.ndarray, byte_level: bool =
         place = at[odd]
         safe[odd] = _LEAD2[data[np.maximum(place - 2, 0)]] | _LEAD3[data[np.maximum(place - 3, 0)]]
     start[at[~safe]] = False
-    if byte_level:
-        start[1:] |= _MARK[data[1:]] & _WORDLIKE[data[:-1]]
+    start[1:] |= _MARK[data[1:]] & _WORDLIKE[data[:-1]]
     start[row_starts[row_starts < len(data)]] = True
     return np.flatnonzero(start)
 
@@ -89,13 +86,13 @@ def distinct_segments(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
 class Memory:
     """What is known of segments: emptied when it holds too many entries or bytes."""
 
-    def __init__(self):
+    def __init__(self, entries: int = CACHE_SEGMENTS):
         self.kept: dict[bytes, object] = {}
-        self.size = 0
+        self.size, self.entries = 0, entries
 
     def all(self, segments: list[bytes], work_out: Callable[[list[bytes]], list]) -> list:
         """The value of every segment; those not remembered are worked out together."""
-        if len(self.kept) > CACHE_SEGMENTS or self.size > CACHE_BYTES:
+        if len(self.kept) > self.entries or self.size > CACHE_BYTES:
             self.kept.clear()
             self.size = 0
         kept = self.kept
