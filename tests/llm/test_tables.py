@@ -179,6 +179,29 @@ def test_queries_in_tiny_leaves_get_all_their_neighbours(spark):
     assert all(sorted(r)[-1][0] == len({v for _, v in r}) == len(r) == 20 for r in ranks.values())
 
 
+@pytest.mark.parametrize("spread", [0.15, 100.0])
+def test_recall_on_clusters_and_without(spark, spread):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (60, 16))[rng.integers(0, 60, 3000)] + rng.normal(0, spread, (3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in ann.search(df, F.col("vec_id") % 10 == 0, k=20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for i in range(0, 3000, 10):
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        hits.append(len(found[i] & set(np.argsort(-scores)[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.9 and all(len(f) == 20 for f in found.values())
+
+
+def test_one_width_for_the_table(spark):
+    rows = [(i, [1.0, i / 50.0] if i % 2 else [1.0, i / 50.0, 1.0]) for i in range(81)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(8)
+    got = ann.search(df, F.col("vec_id") % 20 == 0, k=3).collect()
+    assert {r.query_id for r in got} == {0, 20, 40, 60, 80} and all(r.vec_id % 2 == 0 for r in got) and len(got) == 15
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(i, [1.0, float(i % 3)]) for i in range(40)] + [(100, None), (101, []), (102, [0.0, 0.0]), (103, [float("nan"), 1.0]), (104, [1.0, None]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
