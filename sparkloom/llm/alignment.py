@@ -30,8 +30,8 @@ from sparkloom.llm.textbatch import column_bytes
 from sparkloom.llm.tokens import Memory, distinct_segments, of_worker, ragged_take, row_groups, segment_starts
 from sparkloom.session import materialise
 
-CHUNK_BYTES = 4 << 20  # whole texts of about so much are aligned and stored together
-MEMORY_SEGMENTS = 300_000  # alignments a Python worker remembers
+CHUNK_BYTES = 2 << 20  # whole texts of about so much are aligned and stored together
+MEMORY_SEGMENTS = 120_000  # alignments a Python worker remembers
 LARGE_GROUP = 4096  # links
 _MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 
