@@ -2,8 +2,9 @@
 
 A batch of changes (inserts, deletes, revised texts) turns into signed counts against what is
 known of its documents, and only the additive totals of those are stored for the batch. A
-batch is committed when its totals are; committing it again changes nothing, and one that
-failed half-way is written anew. Totals are sums over the committed batches.
+batch is committed when the folder of its totals has its _SUCCESS file, and every read asks
+for that: committing a batch again changes nothing, and what one that failed half-way left
+behind counts nowhere and is written anew. Totals are sums over the committed batches.
 """
 
 from __future__ import annotations
@@ -45,17 +46,25 @@ class TokenRollup:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    def batches(self) -> list[int]:
+        """Numbers of the committed batches, in order."""
+        if not self._exists(f"{self.root}/deltas"):
+            return []
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/deltas")
+        names = [f.getPath().getName() for f in folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)]
+        numbers = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")]
+        return sorted(n for n in numbers if self._exists(f"{self.root}/deltas/batch={n}/_SUCCESS"))
+
     def committed(self, batch: int) -> bool:
-        return self._exists(f"{self.root}/deltas/batch={batch}/_SUCCESS")
+        return batch in self.batches()
 
     def _known(self, table: str) -> DataFrame:
         """Rows of the committed batches."""
-        if not self._exists(f"{self.root}/deltas"):
+        paths = [f"{self.root}/{table}/batch={n}" for n in self.batches()]
+        if not paths:
             return self.spark.createDataFrame([], {"deltas": "source string, lang string, version string, docs bigint, tokens bigint, batch int",
                                                    "changes": "doc_id bigint, version string, live boolean, source string, lang string, tokens bigint, batch int"}[table])
-        rows = self.spark.read.option("basePath", f"{self.root}/{table}").parquet(f"{self.root}/{table}/batch=*")
-        done = self.spark.read.option("basePath", f"{self.root}/deltas").parquet(f"{self.root}/deltas/batch=*")
-        return rows if table == "deltas" else rows.join(done.select("batch").distinct(), "batch", "left_semi")
+        return self.spark.read.option("basePath", f"{self.root}/{table}").parquet(*paths)
 
     def documents(self) -> DataFrame:
         """(doc_id, version, live, source, lang, tokens): the last committed word on every document."""
@@ -66,13 +75,17 @@ class TokenRollup:
         """Apply ``changes`` (doc_id, version, op, source, lang, tokens) as batch number ``batch``; False if it was there.
 
         ``op`` is insert, delete or revise; insert and revise both set the document's count,
-        and deletes of unknown documents do nothing. Batch numbers rise. Of several changes of
-        one document and version in a batch a delete wins, else the largest (source, lang,
-        tokens) counts. Rows with a null doc_id are left out. Null sources and languages are
-        groups of their own.
+        and deletes of unknown documents do nothing. Batch numbers rise; a new one at or below
+        the last is an error. Of several changes of one document and version in a batch a delete
+        wins, else the largest (source, lang, tokens) counts. An insert without doc_id is a
+        document of its own that no later change can name; other changes without one do nothing.
+        Null sources and languages are groups of their own.
         """
-        if self.committed(batch):
+        done = self.batches()
+        if batch in done:
             return False
+        if done and batch < done[-1]:
+            raise ValueError(f"batch {batch} comes after batch {done[-1]}")
         last = changes.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"), "version").agg(
             F.min(F.col("op") != "delete").alias("live"),
             F.max(F.struct("source", "lang", F.col("tokens").cast("bigint").alias("tokens"))).alias("new"),
@@ -82,6 +95,8 @@ class TokenRollup:
         old = self.documents().join(new.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
         signed = old.filter("live").select(*KEYS, F.lit(-1).alias("docs"), (-F.col("tokens")).alias("tokens")).unionByName(
             new.filter("live").select(*KEYS, F.lit(1).alias("docs"), "tokens"))
+        nameless = changes.filter("doc_id IS NULL AND op = 'insert'").select(*KEYS, F.lit(1).alias("docs"), F.col("tokens").cast("bigint").alias("tokens"))
+        signed = signed.unionByName(nameless)
         deltas = signed.groupBy(*KEYS).agg(F.sum("docs").cast("bigint").alias("docs"), F.sum("tokens").cast("bigint").alias("tokens"))
         # the totals' own _SUCCESS is the commit
         deltas.write.mode("overwrite").parquet(f"{self.root}/deltas/batch={batch}")
