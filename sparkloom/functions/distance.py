@@ -45,6 +45,8 @@ def _distances(points: np.ndarray, model: np.ndarray) -> np.ndarray:
 
 def _blocks(points: np.ndarray, model: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Distances to a block of centroids at a time, with the index of the block's first."""
+    if len(points) and points.shape[1] != model.shape[1]:
+        raise ValueError(f"vectors have {points.shape[1]} components and the model has {model.shape[1]}")
     step = max(1, BLOCK_CELLS // max(1, len(points)))
     for start in range(0, len(model), step):
         yield start, _distances(points, model[start : start + step])

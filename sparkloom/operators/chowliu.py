@@ -2,41 +2,22 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.counts import JOINT_FIRST_VARIABLES, as_labels
+from sparkloom.operators.counts import as_labels
 from sparkloom.operators.forest import orient, spanning_tree
+from sparkloom.operators.labelsets import count_pairs
 from sparkloom.session import materialise
 
 
 def pair_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Label counts ``(u, v, a, b, n)`` of every pair of columns, in one pass.
+    """Label counts ``(u, v, a, b, n)`` of every pair of columns, in one pass, for any number of columns.
 
     Rows with a null in a pair are left out of that pair only.
     """
     names = sorted(columns)
-    width = len(names)
-    rows = as_labels(df, names).withColumn("n", F.lit(1).cast("bigint"))
-    if width <= JOINT_FIRST_VARIABLES:
-        rows = rows.groupBy(*names).agg(F.sum("n").alias("n"))
-    pairs = list(combinations(range(width), 2))
-    full = (1 << width) - 1
-    gid = {(i, j): full - (1 << (width - 1 - i)) - (1 << (width - 1 - j)) for i, j in pairs}
-    grouped = rows.groupingSets([[F.col(names[i]), F.col(names[j])] for i, j in pairs], *names).agg(
-        F.sum("n").alias("n"), F.grouping_id().alias("gid")
-    )
-    cell = F.map_from_arrays(
-        F.array(*[F.lit(gid[p]) for p in pairs]).cast("array<bigint>"),
-        F.array(*[F.struct(F.lit(names[i]).alias("u"), F.lit(names[j]).alias("v"),
-                           F.col(names[i]).alias("a"), F.col(names[j]).alias("b"))
-                  for i, j in pairs]),
-    )
-    return grouped.select(cell[F.col("gid")].alias("c"), "n").select("c.*", "n").where(
-        F.col("a").isNotNull() & F.col("b").isNotNull()
-    )
+    return count_pairs(as_labels(df, names), names)
 
 
 def mutual_information(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

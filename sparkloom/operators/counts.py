@@ -12,46 +12,28 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.labelsets import count_sets
 from sparkloom.operators.network import Network
 
-# Up to this many variables, counting whole label tuples first is cheaper than
-# expanding every input row once per family.
-JOINT_FIRST_VARIABLES = 8
-
 
 def as_labels(df: DataFrame, variables: list[str]) -> DataFrame:
     return df.select(*[F.col(v).cast("string").alias(v) for v in variables])
 
 
 def family_counts(df: DataFrame, net: Network) -> DataFrame:
-    """Count every family of ``net`` in one pass over ``df``.
+    """Count every family of ``net`` in one pass over ``df``, for any number of variables.
 
     Rows with a null in a family are left out of that family only.
     """
-    variables = sorted(net.nodes)
-    width = len(variables)
-    rows = as_labels(df, variables).withColumn("n", F.lit(1).cast("bigint"))
-    if width <= JOINT_FIRST_VARIABLES:
-        rows = rows.groupBy(*variables).agg(F.sum("n").alias("n"))
-    families = {n: net.family(n) for n in net.nodes}
-    # grouping_id has a 1 bit for each variable outside the grouping set
-    gids = {
-        n: sum(1 << (width - 1 - i) for i, v in enumerate(variables) if v not in fam)
-        for n, fam in families.items()
-    }
-    grouped = rows.groupingSets([[F.col(v) for v in f] for f in families.values()], *variables).agg(
-        F.sum("n").alias("n"), F.grouping_id().alias("gid")
-    )
-
-    def complete(node):
-        known = [F.col(v).isNotNull() for v in families[node]]
-        return reduce(lambda a, b: a & b, known, F.col("gid") == gids[node])
-
-    node = reduce(
-        lambda acc, n: acc.when(complete(n), F.lit(n)), net.nodes[1:],
-        F.when(complete(net.nodes[0]), F.lit(net.nodes[0])),
+    variables, nodes = sorted(net.nodes), net.nodes
+    families = [net.family(n) for n in nodes]
+    counted = count_sets(as_labels(df, variables), families)
+    # label of each variable by its place in the family; null outside the family
+    given = F.element_at(F.array(*[F.array(*[F.lit(v) for v in family]) for family in families]), F.col("at") + 1)
+    rows = counted.select("at", "n", F.map_from_arrays(given, F.col("labels")).alias("family"))
+    return rows.select(
+        F.element_at(F.array(*[F.lit(n) for n in nodes]), F.col("at") + 1).alias("node"), *[F.col("family")[v].alias(v) for v in variables], "n"
     )
-    return grouped.select(node.alias("node"), *variables, "n").where(F.col("node").isNotNull())
 
 
 def merge_counts(*tables: DataFrame) -> DataFrame:

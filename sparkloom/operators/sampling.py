@@ -12,19 +12,32 @@ from sparkloom.functions.uniform import uniform
 from sparkloom.operators import factors as fx
 from sparkloom.session import materialise
 
-CELLS = 16  # equal parts of [0, 1) that turn interval lookups into equi-joins
 _PAD = 1e-9  # wider than any rounding of a bound
 
 
-def _with_cells(table: DataFrame, lo: Column, hi: Column) -> DataFrame:
-    """Repeat each interval row for every cell that ``[lo, hi)`` touches, column ``__cell``."""
-    first = F.greatest(F.floor((lo - _PAD) * CELLS), F.lit(0)).cast("int")
-    last = F.least(F.floor((hi + _PAD) * CELLS), F.lit(CELLS - 1)).cast("int")
-    return table.withColumn("__cell", F.explode(F.sequence(first, last)))
+def _guide(table: DataFrame, given: list[str], step: Column, first: Column, last: Column) -> tuple[DataFrame, DataFrame]:
+    """Guide table of cumulative intervals, and the column ``__step`` of each parent tuple.
+
+    The range of the draws is cut into as many equal cells as a parent tuple has labels
+    (``__m``), ``__step`` wide, and an interval row is repeated, column ``__cell``, for every cell
+    it touches. L intervals touch 2L cells, so a draw meets two candidates on average, however
+    many labels there are. Columns of the guide are named with two underscores in front.
+    """
+    # the intervals were numbered in the same windows, so the count needs no exchange of its own
+    sized = table.withColumn("__m", F.count("*").over(Window.partitionBy(*given))).withColumn("__step", step)
+    total = [F.first("total").alias("__of")] if "total" in table.columns else []
+    cells = sized.groupBy(*given).agg(F.first("__step").alias("__step"), *total)
+    guide = sized.withColumn("__cell", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    return guide.select(*[F.col(c).alias(f"__{c}") for c in table.columns], "__cell"), cells
 
 
-def _cell(u: Column) -> Column:
-    return F.floor(u * CELLS).cast("int")
+def _with_cells_of(rows: DataFrame, cells: DataFrame, given: list[str]) -> DataFrame:
+    """Add the other columns of ``cells`` by the row's parents; null if the parents are not there."""
+    more = [c for c in cells.columns if c not in given]
+    if not given:
+        return rows.select("*", *[cells.select(c).scalar().alias(c) for c in more])
+    named = cells.toDF(*[f"__given_{c}" if c in given else c for c in cells.columns])
+    return rows.join(named, [F.col(g) == F.col(f"__given_{g}") for g in given], "left").drop(*[f"__given_{g}" for g in given])
 
 
 def forward(
@@ -45,16 +58,15 @@ def forward(
                 "weight", F.col("weight") * F.coalesce(F.col("__p"), F.lit(0.0))
             ).drop("__p")
         else:
-            table = net.cdf(node)
-            table = table.toDF(*[f"__{c}" for c in table.columns])
-            total = F.col("__total")
-            table = _with_cells(table, F.col("__lo") / total, F.col("__hi") / total)
-            pick = F.floor(F.col("__u") * total)
-            hit = (F.col("__cell") == _cell(F.col("__u"))) & (F.col("__lo") <= pick) & (pick < F.col("__hi"))
-            for parent in net.parents[node]:
+            given = net.parents[node]
+            # integer cells, so bounds and draws fall in the same one without rounding
+            guide, cells = _guide(net.cdf(node), given, F.expr("(total + __m - 1) div __m"), F.expr("lo div __step"), F.expr("(hi - 1) div __step"))
+            drawn = _with_cells_of(out, cells, given).withColumn("__pick", F.floor(uniform(seed, F.col(id_col), node) * F.col("__of")))
+            pick = F.col("__pick")
+            hit = (F.col("__cell") == F.expr("__pick div __step")) & (F.col("__lo") <= pick) & (pick < F.col("__hi"))
+            for parent in given:
                 hit = hit & (F.col(parent) == F.col(f"__{parent}"))
-            drawn = out.withColumn("__u", uniform(seed, F.col(id_col), node))
-            out = drawn.join(table, hit).select(*out.columns, F.col(f"__{node}").alias(node))
+            out = drawn.join(guide, hit).select(*out.columns, F.col(f"__{node}").alias(node))
     return out
 
 
@@ -89,13 +101,9 @@ def _intervals(net, node: str) -> DataFrame:
     hi = F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0))
     lo = F.coalesce(F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     last = F.lead(node).over(w).isNull()
-    table = full_conditional(net, node).select(
-        *[F.col(b).alias(f"__{b}") for b in boundary],
-        F.col(node).alias("__new"),
-        lo.alias("__lo"),
-        F.when(last, F.lit(2.0)).otherwise(hi).alias("__hi"),
+    return full_conditional(net, node).select(
+        *boundary, F.col(node).alias("new"), lo.alias("lo"), F.when(last, F.lit(2.0)).otherwise(hi).alias("hi"),
     )
-    return _with_cells(table, F.col("__lo"), F.col("__hi"))
 
 
 def gibbs_chains(net, event, rows, id_col, seed, sweeps: int = 2) -> DataFrame:
@@ -107,7 +115,13 @@ def gibbs_chains(net, event, rows, id_col, seed, sweeps: int = 2) -> DataFrame:
     equi-join of the states with the full-conditional table of one variable.
     """
     free = sorted(set(net.nodes) - set(event))
-    tables = {v: materialise(_intervals(net, v), "conditional") for v in free}
+    tables = {}
+    for v in free:
+        table = materialise(_intervals(net, v), "conditional")
+        m = F.col("__m")
+        first, last = F.greatest(F.floor((F.col("lo") - _PAD) * m), F.lit(0)), F.least(F.floor((F.col("hi") + _PAD) * m), m - 1)
+        guide, cells = _guide(table, net.markov_boundary(v), m, first, last)
+        tables[v] = materialise(guide, "guide"), materialise(cells, "cells")
     names = sorted(net.nodes)
     state = forward(net, rows, id_col, seed, event).select(id_col, "weight", *names)
     history = []
@@ -115,14 +129,14 @@ def gibbs_chains(net, event, rows, id_col, seed, sweeps: int = 2) -> DataFrame:
         trace = []
         for i, var in enumerate(free):
             step = sweep * len(free) + i + 1
-            table, u = tables[var], F.col("__u")
-            hit = (F.col("__cell") == _cell(u)) & (F.col("__lo") <= u) & (u < F.col("__hi"))
-            for member in net.markov_boundary(var):
+            (guide, cells), given, u = tables[var], net.markov_boundary(var), F.col("__u")
+            hit = (F.col("__cell") == F.floor(u * F.col("__step")).cast("int")) & (F.col("__lo") <= u) & (u < F.col("__hi"))
+            for member in given:
                 hit = hit & (F.col(member) == F.col(f"__{member}"))
             # a boundary that no table row covers keeps its label
             new = F.coalesce(F.col("__new"), F.col(var)).alias(var)
-            moved = state.withColumn("__u", uniform(seed, F.col(id_col), var, F.lit(step)))
-            state = moved.join(table, hit, "left").select(
+            moved = _with_cells_of(state, cells, given).withColumn("__u", uniform(seed, F.col(id_col), var, F.lit(step)))
+            state = moved.join(guide, hit, "left").select(
                 *[new if c == var else F.col(c) for c in state.columns]
             )
             trace.append(f"__s{i}")

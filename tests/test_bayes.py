@@ -1,8 +1,11 @@
 import itertools
 import math
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom import BeliefNetwork
 from sparkloom.operators import sampling
@@ -115,11 +118,67 @@ def test_prior_counts(spark):
     assert {(r["a"], r["b"]): round(r["p"], 6) for r in again.cpt("b").collect()}[("x", "q")] == round(1 / 6, 6)
 
 
-def test_wide_networks_count_without_the_joint(spark, rows, monkeypatch, data):
-    from sparkloom.operators import counts
-    direct = BeliefNetwork(*EDGES).fit(data)
-    monkeypatch.setattr(counts, "JOINT_FIRST_VARIABLES", 0)
-    assert rows(BeliefNetwork(*EDGES).fit(data).tables()) == rows(direct.tables())
+def test_two_hundred_variables(spark, monkeypatch):
+    from sparkloom.operators import labelsets
+
+    rng = np.random.default_rng(6)
+    names = [f"v{i:03d}" for i in range(200)]
+    table = [[None if rng.random() < 0.05 else f"l{rng.integers(2 + i % 7)}" for i in range(200)] for _ in range(700)]
+    df = spark.createDataFrame(table, ", ".join(f"{n} string" for n in names)).repartition(3)
+    links = [([names[i // 2], names[max(0, i - 7)]], names[i]) for i in range(1, 200)]
+    monkeypatch.setattr(labelsets, "HELD", 500)  # tasks emit several times
+    net = BeliefNetwork(*links).fit(df)
+    want = {}
+    for node in net.nodes:
+        at = [names.index(v) for v in net.family(node)]
+        for key, n in Counter(tuple(r[k] for k in at) for r in table).items():
+            if None not in key:
+                want[node, key] = n
+    got = {(r["node"], tuple(r[v] for v in net.family(r["node"]))): r["n"] for r in net.counts.collect()}
+    assert got == want and net.counts.columns == ["node", *names, "n"]
+
+
+def test_guide_tables_of_many_labels(spark):
+    """A root with 100,000 labels and a child with labels of very unequal number by parent."""
+    from sparkloom.functions.uniform import uniform
+
+    rng = random.Random(4)
+    table = [(f"r{i:06d}", f"c{rng.randrange(1 if i % 3 else 3000):04d}") for i in range(100_000)]
+    df = spark.createDataFrame(table, "r string, c string").withColumn("c", F.when(F.col("r") < "r050000", F.col("c")).otherwise("c0000"))
+    df = df.withColumn("g", F.substring("r", 6, 2))
+    net = BeliefNetwork("r", ("g", "c")).fit(df.repartition(4))
+    for node in ("r", "c"):
+        cdf, given = net.cdf(node), net.parents[node]
+        guide, _ = sampling._guide(cdf, given, F.expr("(total + __m - 1) div __m"), F.expr("lo div __step"), F.expr("(hi - 1) div __step"))
+        labels = cdf.count()
+        assert labels <= guide.count() <= 2 * labels
+    ids = spark.range(3000)
+    got = {r["id"]: (r["r"], r["g"], r["c"]) for r in sampling.forward(net, ids, "id", 5).collect()}
+    draws = {r["id"]: r for r in ids.select("id", *[uniform(5, F.col("id"), v).alias(v) for v in "rgc"]).collect()}
+    bounds = {}
+    for node in "rgc":
+        for r in net.cdf(node).orderBy("lo").collect():
+            bounds.setdefault((node, r["g"] if node == "c" else None), []).append((r["hi"], r[node], r["total"]))
+    upper = {k: np.array([hi for hi, *_ in own]) for k, own in bounds.items()}
+    for i, (r, g, c) in got.items():
+        for node, key, label in (("r", None, r), ("g", None, g), ("c", g, c)):
+            own = bounds[node, key]
+            at = np.searchsorted(upper[node, key], math.floor(draws[i][node] * own[0][2]), "right")
+            assert own[at][1] == label
+    assert len(got) == 3000
+
+
+def test_families_beyond_packed_codes(spark, monkeypatch):
+    from sparkloom.operators import labelsets
+
+    rows = [(f"a{i % 3}", f"b{i % 5}", None if i % 7 == 0 else f"c{i % 2}") for i in range(60)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    read = lambda: sorted(tuple(r) for r in labelsets.count_sets(df, [["a", "b", "c"], ["c", "a"]]).select("at", F.concat_ws(",", "labels"), "n").collect())
+    want = read()
+    for name in ("DENSE", "PACKED"):
+        monkeypatch.setattr(labelsets, name, 1)
+        assert read() == want
+    assert sum(n for at, _, n in want if at == 0) == sum(c is not None for *_, c in rows)
 
 
 @pytest.mark.parametrize("query,event", [

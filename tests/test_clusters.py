@@ -51,9 +51,23 @@ def test_assign_ties_take_lowest(spark):
     assert got == {1: (0, 1.0), 2: (2, 1.0)}
 
 
-def test_model_size_is_checked(points):
-    with pytest.raises(ValueError):
-        km.assign(points, [[0.0] * 1000] * 3000)
+def test_large_model(spark):
+    """3,000 centroids of 1,000 numbers, compared a block at a time."""
+    rng = np.random.default_rng(3)
+    model = rng.normal(0, 1, (3000, 1000))
+    x = model[rng.integers(0, 3000, 24)] + rng.normal(0, 0.1, (24, 1000))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, x array<double>").repartition(2)
+    got = {r["id"]: (r["cid"], r["dist"]) for r in km.assign(df, model.tolist()).collect()}
+    gaps = np.sqrt(((x[:, None] - model[None]) ** 2).sum(axis=2))
+    assert {i: c for i, (c, _) in got.items()} == dict(enumerate(gaps.argmin(axis=1)))
+    assert all(got[i][1] == pytest.approx(gaps[i].min()) for i in got)
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_width_of_points_and_model_must_agree(spark, width):
+    df = spark.createDataFrame([(1, [1.0] * width)], "id bigint, x array<double>")
+    with pytest.raises(Exception, match="the model has 3"):
+        km.assign(df, [[1.0, 1.0, 1.0]]).collect()
 
 
 def _lloyd(data, centroids, rounds):

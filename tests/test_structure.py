@@ -93,6 +93,44 @@ def test_edges_from_lists(spark):
     assert sorted(map(tuple, dag.edges_from_lists(spec).collect())) == [("a", "c"), ("a", "d"), ("b", "c")]
 
 
+@pytest.mark.parametrize("one_hot", [48, 3, 0])
+def test_two_hundred_columns(spark, monkeypatch, one_hot):
+    from sparkloom.operators import labelsets
+
+    rng = random.Random(9)
+    names, n = [f"x{i:03d}" for i in range(200)], 500
+    columns = [[str(rng.randrange(2 + i % 6)) for _ in range(n)] for i in range(200)]
+    for i in range(1, 200):  # each column mostly follows an earlier one
+        columns[i] = [(columns[i // 3][r] if rng.random() < 0.7 else v) for r, v in enumerate(columns[i])]
+    for i in range(0, 200, 9):
+        columns[i] = [None if rng.random() < 0.1 else v for v in columns[i]]
+    df = spark.createDataFrame(list(zip(*columns)), ", ".join(f"{c} string" for c in names)).repartition(4)
+    monkeypatch.setattr(labelsets, "ONE_HOT_LABELS", one_hot)
+    monkeypatch.setattr(labelsets, "ONE_HOT_ROWS", 50)
+    monkeypatch.setattr(labelsets, "HELD", 20_000)
+    want = {}
+    for i, j in itertools.combinations(range(200), 2):
+        pairs = [(a, b) for a, b in zip(columns[i], columns[j]) if a is not None and b is not None]
+        joint, left, right = Counter(pairs), Counter(a for a, _ in pairs), Counter(b for _, b in pairs)
+        want[names[i], names[j]] = sum(c / len(pairs) * math.log(c * len(pairs) / left[a] / right[b]) for (a, b), c in joint.items())
+    got = {(r["u"], r["v"]): r["mi"] for r in chowliu.mutual_information(df).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    if one_hot == 48:
+        group = {c: c for c in names}
+
+        def top(c):
+            while group[c] != c:
+                c = group[c]
+            return c
+
+        tree = set()
+        for u, v in sorted(want, key=lambda k: (-round(want[k], 12), k)):
+            if top(u) != top(v):
+                group[top(u)] = top(v)
+                tree.add(frozenset((u, v)))
+        assert {frozenset((r["parent"], r["child"])) for r in chow_liu(df).collect()} == tree
+
+
 def test_mutual_information(spark):
     rng = random.Random(4)
     data = []
