@@ -31,7 +31,8 @@ from sparkloom.llm.tokens import Memory, distinct_segments, of_worker, ragged_ta
 from sparkloom.session import materialise
 
 CHUNK_BYTES = 2 << 20  # whole texts of about so much are aligned and stored together
-MEMORY_SEGMENTS = 120_000  # alignments a Python worker remembers
+MEMORY_SEGMENTS = 60_000  # alignments a Python worker remembers
+STEP_SEGMENTS = 8_000  # segments encoded at once; the encoder's objects are large
 LARGE_GROUP = 4096  # links
 _MEASURES = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -79,6 +80,10 @@ class SegmentAligner:
         return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode(texts, num_threads=1)
 
     def align(self, segments: list[bytes]) -> list[tuple | None]:
+        """See :meth:`_align`; a bounded number of segments at a time."""
+        return [value for a in range(0, len(segments), STEP_SEGMENTS) for value in self._align(segments[a:a + STEP_SEGMENTS])]
+
+    def _align(self, segments: list[bytes]) -> list[tuple | None]:
         """Per segment, as bytes, (its four measures, pairs, their occurrences, groups as text); None if a tokenizer does not give it back.
 
         All segments are aligned together: tokens lie end to end, and a group ends where an A
@@ -221,6 +226,8 @@ def aligned_chunks(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     held, size, chunk = [], 0, chunk + 1
         if held:
             yield emit()
+        aligner.memory.kept.clear()  # idle workers keep what a task leaves
+        pa.default_memory_pool().release_unused()
 
     return texts.select("text", "digest", "copies").mapInArrow(run, _CHUNK)
 
