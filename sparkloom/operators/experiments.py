@@ -11,16 +11,15 @@ from pyspark.sql import functions as F
 def run_models(runs: DataFrame, models: DataFrame) -> DataFrame:
     """``(run, model)``: the longest model name that occurs in the run name.
 
-    Run names are cut into their substrings, which turns the containment test into
-    an equi-join. Ties take the later name.
+    Run names are cut into their substrings of the lengths that model names have, which turns
+    the containment test into an equi-join. Ties take the later name; empty names match nothing.
     """
-    n = F.length("run")
-    starts = F.explode(F.sequence(F.lit(1), n)).alias("start")
-    cut = runs.select("run", starts).select(
-        "run", "start", F.explode(F.sequence(F.lit(1), n - F.col("start") + 1)).alias("len")
-    )
-    parts = cut.select("run", F.substring("run", F.col("start"), F.col("len")).alias("model")).distinct()
-    return parts.join(models.select("model").distinct(), "model").groupBy("run").agg(
+    names = models.select("model").where(F.length("model") > 0).distinct()
+    lengths = names.agg(F.collect_set(F.length("model"))).scalar()  # as many as there are lengths
+    sized = runs.select("run", F.explode(lengths).alias("len")).where(F.col("len") <= F.length("run"))
+    starts = F.explode(F.sequence(F.lit(1), F.length("run") - F.col("len") + 1)).alias("start")
+    parts = sized.select("run", "len", starts).select("run", F.substring("run", F.col("start"), F.col("len")).alias("model"))
+    return parts.join(names, "model").groupBy("run").agg(
         F.max_by("model", F.struct(F.length("model"), F.col("model"))).alias("model")
     )
 

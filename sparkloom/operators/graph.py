@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from functools import reduce
 
@@ -308,12 +309,13 @@ def best_epoch(scores: DataFrame) -> DataFrame:
 
 def classify_nodes(
     edges: DataFrame, features: DataFrame, labels: DataFrame, width: int,
-    rounds: int = 3, max_iter: int = 20,
+    rounds: int = 3, max_iter: int = 500, tol: float = 1e-6,
 ) -> DataFrame:
     """Node classification on smoothed features (simplified graph convolution, Wu et al. 2019).
 
     ``labels`` has node, label and split; the model is a multinomial logistic
-    regression on the train rows. Returns ``(node, split, label, prediction)``.
+    regression on the train rows, fitted until its loss changes by ``tol`` or less; a fit that
+    stops at ``max_iter`` before that warns. Returns ``(node, split, label, prediction)``.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IndexToString, StringIndexer
@@ -323,7 +325,10 @@ def classify_nodes(
     rows = materialise(smooth.join(labels, "node"), "labelled").withColumn("features", array_to_vector("x"))
     index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(rows)
     rows = index.transform(rows)
-    model = LogisticRegression(featuresCol="features", labelCol="y", predictionCol="y_hat", maxIter=max_iter)
-    scored = model.fit(rows.where(F.col("split") == "train")).transform(rows)
+    model = LogisticRegression(featuresCol="features", labelCol="y", predictionCol="y_hat", maxIter=max_iter, tol=tol)
+    fitted = model.fit(rows.where(F.col("split") == "train"))
+    if fitted.summary.totalIterations >= max_iter:
+        warnings.warn(f"the classifier still moved after {max_iter} iterations", RuntimeWarning, stacklevel=2)
+    scored = fitted.transform(rows)
     named = IndexToString(inputCol="y_hat", outputCol="prediction", labels=index.labels).transform(scored)
     return named.select("node", "split", "label", "prediction")

@@ -201,12 +201,15 @@ def test_classification(spark):
     scored = gr.classify_nodes(edges, features, labels, 2, rounds=2)
     assert scored.count() == 60
     assert gr.accuracy(scored.where("split <> 'train'")).first()["accuracy"] > .9
+    with pytest.warns(RuntimeWarning, match="after 1 iterations"):
+        gr.classify_nodes(edges, features, labels, 2, rounds=2, max_iter=1)
 
 
 def test_experiments(spark):
     runs = spark.createDataFrame([("pickdegG00R03",), ("pickG01R00",), ("other",)], "run string")
     models = spark.createDataFrame([("pick",), ("pickdeg",), ("Agg",)], "model string")
     assert {tuple(r) for r in ex.run_models(runs, models).collect()} == {("pickdegG00R03", "pickdeg"), ("pickG01R00", "pick")}
+    assert ex.run_models(runs, spark.createDataFrame([("",), ("x" * 40,), (None,)], "model string")).count() == 0
     rng = random.Random(2)
     data = [("m", g, r, s, rng.random()) for g in range(3) for r in range(g + 1) for s in range(5)]
     results = spark.createDataFrame(data, "model string, graph int, realization int, step int, value double")
