@@ -19,6 +19,10 @@ from sparkloom.session import materialise
 RESERVED = {"n", "p", "node", "gid", "weight"}
 
 
+def _given(variable: str) -> str:
+    return f"__given_{variable}"
+
+
 class BeliefNetwork(Network):
     """A network with fitted conditional tables.
 
@@ -192,35 +196,48 @@ class BeliefNetwork(Network):
     def impute(self, df: DataFrame, id_col: str = "id") -> DataFrame:
         """Fill the nulls of each row with the most probable labels given the rest.
 
-        Rows that miss the same variables share one posterior table, restricted to
-        the evidence that occurs; ties take the smallest label tuple. The number of
-        patterns is bounded by the subsets of variables, not by the rows.
+        Ties take the smallest label tuple. Each distinct tuple with gaps is solved once, whatever
+        it misses, and one join carries the answers to the rows. A row whose known labels never
+        occur together in the model has no most probable completion and keeps its nulls.
         """
         variables = sorted(self.nodes)
         rows = df.select(id_col, *[F.col(v).cast("string").alias(v) for v in variables])
-        rows = rows.withColumn(
-            "__miss", F.concat_ws(",", *[F.when(F.col(v).isNull(), F.lit(v)) for v in variables])
-        )
-        patterns = sorted(r[0] for r in rows.select("__miss").distinct().collect())
-        done = []
-        for pattern in patterns:
-            part = rows.where(F.col("__miss") == pattern)
-            missing = pattern.split(",") if pattern else []
-            if missing:
-                known = [v for v in variables if v not in missing]
-                best, rest = self._best(part, missing, known), part.drop(*missing)
-                # nothing known: ``best`` is one row
-                part = rest.join(best, known, "left") if known else rest.crossJoin(best)
-            done.append(part.select(id_col, *variables))
-        return reduce(lambda a, b: a.unionByName(b), done)
-
-    def _best(self, part: DataFrame, missing: list[str], known: list[str]) -> DataFrame:
-        """Most probable ``missing`` labels for each occurring tuple of ``known``."""
-        evidence = [part.select(*known).distinct().withColumn("p", F.lit(1.0))] if known else []
-        joint = self.joint_with({*missing, *known}, extra=evidence)
-        labels = F.struct(*missing)
-        # min over (-p, labels): highest probability, then smallest labels
-        best = F.min(F.struct((-F.col("p")).alias("neg"), labels.alias("labels"))).alias("best")
-        return joint.groupBy(*known).agg(best).select(
-            *known, *[F.col(f"best.labels.{v}").alias(v) for v in missing]
-        )
+        gaps = rows.where(F.greatest(*[F.col(v).isNull() for v in variables], F.lit(False))).select(*variables).distinct()
+        # stored, so that its size decides how it is joined
+        best = materialise(self._completions(gaps), "completions")
+        same = [F.col(f"r.{v}").eqNullSafe(F.col(f"b.{_given(v)}")) for v in variables]
+        filled = [F.coalesce(f"r.{v}", f"b.{v}").alias(v) for v in variables]
+        return rows.alias("r").join(best.alias("b"), same, "left").select(F.col(f"r.{id_col}"), *filled)
+
+    def _completions(self, gaps: DataFrame) -> DataFrame:
+        """The most probable labels of all variables for each tuple, next to the tuple as it was given.
+
+        Variables are bound in topological order. A table holds each of its rows twice, once under
+        its label and once under null, so known and missing labels meet it in the same equi-join.
+        As soon as all tables that mention a variable are multiplied in, the best of its labels
+        is kept for each choice of the others.
+        """
+        variables = sorted(self.nodes)
+        given = [_given(v) for v in variables]
+        state = gaps.select(*[F.col(v).alias(_given(v)) for v in variables], F.lit(1.0).alias("p"))
+        bound = []
+        for place, node in enumerate(self.nodes):
+            table = fx.drop_zeros(self.cpt(node)).withColumnRenamed("p", "__q")
+            keys = F.explode(F.array(F.col(node), F.lit(None))).alias(_given(node))
+            table = table.select("*", keys).alias("t")
+            on = [F.col(f"s.{v}") == F.col(f"t.{v}") for v in self.parents[node]]
+            on.append(F.col(f"s.{_given(node)}").eqNullSafe(F.col(f"t.{_given(node)}")))
+            state = state.alias("s").join(table, on).select(
+                *[f"s.{c}" for c in [*given, *bound]], f"t.{node}", (F.col("s.p") * F.col("t.__q")).alias("p"))
+            bound.append(node)
+            later = self.nodes[place + 1:]
+            # parents that no later table mentions; at the end, all
+            live = [v for v in bound if any(v in self.parents[n] for n in later)]
+            done = sorted(set(bound) - set(live))
+            if not later or set(done) & {*self.parents[node], node}:
+                # min over (-p, labels): highest probability, then smallest labels
+                best = F.min(F.struct((-F.col("p")).alias("neg"), *done)).alias("best")
+                state = state.groupBy(*given, *live).agg(best).select(
+                    *given, *live, *[f"best.{v}" for v in done], (-F.col("best.neg")).alias("p"))
+                bound = [*live, *done]
+        return state.select(*given, *variables)

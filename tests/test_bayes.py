@@ -274,6 +274,39 @@ def test_impute(spark, net):
         assert got[case[0]] == tuple(filled[n] for n in names)
 
 
+def test_impute_repeated_rows_impossible_evidence_and_empty_table(spark):
+    seen = [("x", "u"), ("x", "u"), ("y", "v"), ("y", "w")]
+    net = BeliefNetwork(("a", "b")).fit(spark.createDataFrame(seen, "a string, b string"))
+    cases = [(1, "x", None), (2, "x", None), (3, "?", None), (4, "y", None), (5, None, "w"), (6, "y", "u"), (None, None, None), (None, None, None)]
+    frame = spark.createDataFrame(cases, "id bigint, a string, b string")
+    got = sorted(net.impute(frame).collect(), key=str)
+    want = [(1, "x", "u"), (2, "x", "u"), (3, "?", None), (4, "y", "v"), (5, "y", "w"), (6, "y", "u"), (None, "x", "u"), (None, "x", "u")]
+    assert [tuple(r) for r in got] == want
+    assert net.impute(frame.limit(0)).collect() == []
+
+
+def test_impute_keeps_the_best_label_early(spark):
+    """A chain of seven variables: labels of the first are settled before the last are bound."""
+    rng = random.Random(4)
+    names = "abcdefg"
+    data = []
+    for _ in range(300):
+        row = [rng.choice("012")]
+        while len(row) < len(names):
+            row.append(row[-1] if rng.random() < 0.6 else rng.choice("012"))
+        data.append(tuple(row))
+    schema = ", ".join(f"{n} string" for n in names)
+    net = BeliefNetwork(*zip(names, names[1:])).fit(spark.createDataFrame(data, schema))
+    full, cases = joint(net), []
+    for i in range(40):
+        row = [v if rng.random() < 0.5 else None for v in rng.choice(data)]
+        cases.append((i, *row))
+    got = {r[0]: tuple(r[1:]) for r in net.impute(spark.createDataFrame(cases, f"id bigint, {schema}")).collect()}
+    for i, *row in cases:
+        fits = {k: p for k, p in full.items() if all(v is None or v == w for v, w in zip(row, k))}
+        assert full[got[i]] == pytest.approx(max(fits.values())) and got[i] in fits
+
+
 def test_predict_proba(spark, net):
     full = joint(net)
     cases = spark.createDataFrame([("x", "u", "m", "p"), ("y", "w", "n", "q"), ("x", "u", "m", "?")], "a string, b string, c string, d string")
