@@ -8,7 +8,7 @@ Arrow batches keep the cost per row flat in both.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -63,9 +63,9 @@ def closest(points: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return best, at
 
 
-def _totals(points: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sum and minimum of the distances; the columns are added one by one, in seed order."""
-    total, near = np.zeros(len(points)), np.full(len(points), np.inf)
+def totals(points: np.ndarray, model: np.ndarray, total: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and minimum of the distances on top of earlier ones; the columns are added one by one, in seed order."""
+    total = total.copy()
     for _, gaps in _blocks(points, model):
         for column in gaps.T:
             total += column
@@ -73,27 +73,27 @@ def _totals(points: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return total, near
 
 
-def _struct_udf(fields: str, names: list[str], compute: Callable[[np.ndarray, np.ndarray], tuple]) -> Callable:
-    def wrap(model: np.ndarray):
-        @F.arrow_udf(fields)
-        def run(x: pa.Array) -> pa.Array:
-            cols = compute(as_matrix(x), model) if len(x) else [[] for _ in names]
-            return pa.StructArray.from_arrays([pa.array(c) for c in cols], names)
+def _struct_array(names: list[str], columns: Sequence) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(c) for c in columns], names)
 
-        return run
 
-    return wrap
+def nearest(x: Column, centroids: Matrix) -> Column:
+    """Struct ``(dist, cid)`` of the closest centroid, the lowest index on ties."""
+    model = _model(centroids)
 
+    @F.arrow_udf("dist double, cid int")
+    def run(x: pa.Array) -> pa.Array:
+        return _struct_array(["dist", "cid"], closest(as_matrix(x), model) if len(x) else ([], []))
 
-_closest = _struct_udf("dist double, cid int", ["dist", "cid"], closest)
-_spread = _struct_udf("total double, near double", ["total", "near"], _totals)
+    return run(x)
 
 
-def nearest(x: Column, centroids: Matrix) -> Column:
-    """Struct ``(dist, cid)`` of the closest centroid, the lowest index on ties."""
-    return _closest(_model(centroids))(x)
+def spread(x: Column, total: Column, near: Column, seeds: Matrix) -> Column:
+    """Struct ``(total, near)``: sum and minimum of the distances to all seeds, on top of the given ones."""
+    model = _model(seeds)
 
+    @F.arrow_udf("total double, near double")
+    def run(x: pa.Array, total: pa.Array, near: pa.Array) -> pa.Array:
+        return _struct_array(["total", "near"], totals(as_matrix(x), model, total.to_numpy(), near.to_numpy()) if len(x) else ([], []))
 
-def spread(x: Column, seeds: Matrix) -> Column:
-    """Struct ``(total, near)``: sum and minimum of the distances to all seeds."""
-    return _spread(_model(seeds))(x)
+    return run(x, total, near)

@@ -10,11 +10,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors as vx
-from sparkloom.functions.distance import as_matrix, closest, nearest, spread
+from sparkloom.functions.distance import as_matrix, closest, nearest, spread, totals
 from sparkloom.functions.uniform import draw_key
 from sparkloom.session import estimated_bytes, materialise
 
@@ -22,6 +23,8 @@ Centroids = list[list[float]]
 
 SPLIT_BYTES = 128 << 20
 TOLERANCE = 1e-9  # of a centroid's largest number; sums of doubles depend on the order of rows
+CARRY = 8  # seeds between two writes of the running distances
+MEMORY = 8  # earlier states of a model that a new one is compared with
 
 
 def stored_points(points: DataFrame) -> DataFrame:
@@ -40,20 +43,49 @@ def far_point_seeds(points: DataFrame, k: int, seed: int = 42) -> Centroids:
     """First seed: the id with the smallest draw. Then, k − 1 times, the point with the
     largest sum of distances to the seeds so far; points equal to a seed are skipped
     and ties take the lowest id. The seeds for a smaller k are a prefix.
+
+    The sum and the smallest distance so far are stored with the points every ``CARRY`` seeds,
+    so a pass measures at most that many distances per row, however many seeds there are.
     """
     first = points.agg(F.min_by("x", F.struct(draw_key(seed, F.col("id")), F.col("id"))).alias("x"))
     seeds = [list(first.first()["x"])]
+    carried = points.select("id", "x", F.lit(0.0).alias("total"), F.lit(float("inf")).alias("near"))
+    stored = 0  # seeds whose distances are in the carried columns
     while len(seeds) < k:
-        scored = points.select("x", "id", spread(F.col("x"), seeds).alias("d"))
-        # a condition inside the aggregate, so that the distances are computed once
-        place = F.struct((-F.col("d.total")).alias("t"), F.col("id"))
-        pick = scored.agg(F.min_by("x", F.when(F.col("d.near") > 0, place)).alias("x")).first()["x"]
+        fresh = seeds[stored:]
+        if len(fresh) == CARRY:
+            d = spread(F.col("x"), F.col("total"), F.col("near"), fresh).alias("d")
+            carried = materialise(carried.select("id", "x", d).select("id", "x", "d.total", "d.near"), "spread")
+            stored, fresh = len(seeds), []
+        place = F.struct((-F.col("total")).alias("t"), F.col("id"))
+        pick = _farthest(carried, fresh).agg(F.min_by("x", place).alias("x")).first()["x"]
         if pick is None:
             raise ValueError(f"fewer than {k} distinct points")
         seeds.append(list(pick))
     return seeds
 
 
+def _farthest(carried: DataFrame, seeds: Centroids) -> DataFrame:
+    """``(id, x, total)``: of each batch the row that lies farthest, the lowest id on ties, unless all equal a seed."""
+    model = np.asarray(seeds, dtype=float)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, total, near = as_matrix(batch.column("x")), batch.column("total").to_numpy(), batch.column("near").to_numpy()
+            if len(model):
+                total, near = totals(x, model, total, near)
+            far = np.flatnonzero(near > 0)
+            if len(far):
+                far = far[total[far] == total[far].max()]
+                at = far[pc.sort_indices(batch.column("id").take(pa.array(far)), null_placement="at_start")[0].as_py()]
+                row = batch.slice(int(at), 1)
+                yield pa.RecordBatch.from_arrays([row.column("id"), row.column("x"), pa.array(total[[at]])], ["id", "x", "total"])
+
+    return carried.mapInArrow(run, carried.select("id", "x", "total").schema)
+
+
 def assign(points: DataFrame, centroids: Centroids) -> DataFrame:
     """Add ``cid`` and ``dist``. A narrow projection, no shuffle."""
     best = nearest(F.col("x"), centroids).alias("best")
@@ -78,10 +110,10 @@ def cluster_means(assigned: DataFrame, width: int, keys: Sequence[str] = ("cid",
 
 
 def _run_means(points: DataFrame, models: dict[int, Centroids]) -> DataFrame:
-    """``(run, cid, pos, value)``: the new centroids of all models, from one scan.
+    """``(run, cid, c)``: the new centroids of all models, from one scan.
 
     A task adds up its rows per run and cluster, so the shuffle carries tasks × centroids
-    vectors and no row of the points.
+    vectors and no row of the points. One exchange serves both steps of the sum.
     """
     known = {run: np.asarray(c, dtype=float) for run, c in models.items()}
 
@@ -93,7 +125,8 @@ def _run_means(points: DataFrame, models: dict[int, Centroids]) -> DataFrame:
                 x = as_matrix(batch.column("x"))
                 for run, c in known.items():
                     cid = closest(x, c)[1]
-                    np.add.at(total[run], cid, x)
+                    for j in range(x.shape[1]):
+                        total[run][:, j] += np.bincount(cid, weights=x[:, j], minlength=len(c))
                     rows[run] += np.bincount(cid, minlength=len(c))
         for run in known:
             used = np.flatnonzero(rows[run])
@@ -102,9 +135,11 @@ def _run_means(points: DataFrame, models: dict[int, Centroids]) -> DataFrame:
                 "n": pa.array(rows[run][used]), "s": pa.array(list(total[run][used]), pa.list_(pa.float64())),
             })
 
-    parts = points.select("x").mapInArrow(sums, "run int, cid int, n bigint, s array<double>")
+    parts = points.select("x").mapInArrow(sums, "run int, cid int, n bigint, s array<double>").repartition("run", "cid")
     cells = parts.select("run", "cid", "n", F.posexplode("s").alias("pos", "value"))
-    return cells.groupBy("run", "cid", "pos").agg((F.sum("value") / F.sum("n")).alias("value"))
+    means = cells.groupBy("run", "cid", "pos").agg((F.sum("value") / F.sum("n")).alias("value"))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "value")))  # one number per component
+    return means.groupBy("run", "cid").agg(ordered.alias("c")).select("run", "cid", F.col("c.value").alias("c"))
 
 
 def lloyd_runs(
@@ -114,24 +149,28 @@ def lloyd_runs(
 
     A cluster that loses all its points keeps its centroid. A run stops when no number
     of a centroid moves by more than ``tol`` times the largest number of the model, or
-    1 if that is smaller. With ``rounds``, runs still moving after that many are an error.
+    1 if that is smaller. It also stops when it comes back, within the same bound, to one of its
+    last ``MEMORY`` states, as points midway between centroids can make it do when sums are
+    rounded. With ``rounds``, runs still moving after that many are an error.
     """
-    models = {run: [list(c) for c in cs] for run, cs in models.items()}
-    active = set(models)
+    now = {run: np.asarray(c, dtype=float) for run, c in models.items()}
+    past = {run: [c] for run, c in now.items()}
+    active = set(now)
     done = 0
     while active:
         if done == rounds:
             raise RuntimeError(f"models {sorted(active)} still move after {rounds} rounds")
         done += 1
-        moving = {run: models[run] for run in sorted(active)}
-        shift = dict.fromkeys(active, 0.0)
-        for row in _run_means(points, moving).collect():  # one per number of the models at most
-            centroid = models[row["run"]][row["cid"]]
-            shift[row["run"]] = max(shift[row["run"]], abs(centroid[row["pos"]] - row["value"]))
-            centroid[row["pos"]] = row["value"]
-        scale = {run: max(1.0, max(abs(v) for c in models[run] for v in c)) for run in active}
-        active = {run for run in active if shift[run] > tol * scale[run]}
-    return models
+        moving = {run: now[run] for run in sorted(active)}
+        now.update({run: c.copy() for run, c in moving.items()})
+        for row in _run_means(points, moving).collect():  # one per centroid at most
+            now[row["run"]][row["cid"]] = row["c"]
+        for run in moving:
+            bound = tol * max(1.0, np.abs(now[run]).max())
+            if any(np.abs(now[run] - c).max() <= bound for c in past[run]):
+                active.discard(run)
+            past[run] = [*past[run][1 - MEMORY:], now[run]]
+    return {run: c.tolist() for run, c in now.items()}
 
 
 def fit(points: DataFrame, k: int, rounds: int | None = None, seed: int = 42, tol: float = TOLERANCE) -> Centroids:

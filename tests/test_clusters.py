@@ -38,6 +38,30 @@ def test_seeds(spark, data, points):
         assert seeds[k] == data[pick][1]
 
 
+def test_seeds_with_carried_distances_equal_a_plain_loop(spark, data, points):
+    k = 2 * km.CARRY + 4
+    got = km.far_point_seeds(points, k, seed=7)
+    x, want = dict(data), [got[0]]
+    while len(want) < k:
+        totals = {i: sum(math.dist(v, s) for s in want) for i, v in data if v not in want}
+        best = max(totals.values())
+        want.append(x[min(i for i, t in totals.items() if t == pytest.approx(best, abs=1e-9))])
+    assert got == want
+
+
+def test_a_run_that_returns_to_an_earlier_state_ends(points, monkeypatch):
+    """Two states in turn, as rounding can cause with points midway between centroids."""
+    a, b = [[0.0, 0.0, 0.0]], [[1.0, 0.0, 0.0]]
+    turns = iter([b, a, b, a, b, a])
+
+    class Means:
+        def collect(self):
+            return [{"run": 1, "cid": 0, "c": next(turns)[0]}]
+
+    monkeypatch.setattr(km, "_run_means", lambda *_: Means())
+    assert km.lloyd_runs(points, {1: a}) == {1: a}
+
+
 def test_seeds_skip_equal_points(spark):
     same = spark.createDataFrame([(i, [float(i % 2)]) for i in range(6)], "id bigint, x array<double>")
     assert sorted(km.far_point_seeds(same, 2)) == [[0.0], [1.0]]
@@ -191,5 +215,5 @@ def test_blocks_of_centroids(monkeypatch):
     monkeypatch.setattr(distance, "BLOCK_CELLS", 350)  # seven centroids at a time
     best, at = distance.closest(x, c)
     assert np.array_equal(at, gaps.argmin(axis=1)) and np.allclose(best, gaps.min(axis=1))
-    total, near = distance._totals(x, c)
+    total, near = distance.totals(x, c, np.zeros(50), np.full(50, np.inf))
     assert np.allclose(total, gaps.sum(axis=1)) and np.allclose(near, gaps.min(axis=1))
