@@ -4,7 +4,9 @@ The kernel of two words sums over their common subsequences of three and four le
 six places, each weighing DECAY per place it spans, so a gap or an inserted character weakens
 a match and does not end it. Characters that are no letters are dropped inside words, and
 single letters in a row count as one word, so spelled-out insults meet the kernel too. The
-start of a word counts as a letter of its own.
+start of a word counts as a letter of its own. Letters of all scripts count: accented
+Latin letters are one letter, and one of another script has one of 27 letter classes, by its code
+point in lower case without accents. Words end at ASCII white space, so text of a script without spaces is one long word.
 
 A document is toxic if one of its words is: training alternates between choosing each
 labelled document's most toxic words and fitting a linear machine on their Nystroem features
@@ -15,8 +17,10 @@ per subsequence, and scoring a text is a handful of table look-ups per letter in
 from __future__ import annotations
 
 import sys
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +33,8 @@ from sparkloom.llm.textbatch import SPACE, pieces
 
 DECAY = 0.7
 SPAN = 6
-BASE = 29  # 1..26 letters, 27 any byte of a non-ASCII character, 28 the start of a word
+BASE = 29  # 1..26 the Latin letters, 27 accented ones, 1..27 the classes of other scripts, 28 the start of a word
+TABLE = 0x20000  # code points from here on are ideographs and count as letters
 LANDMARKS = 96
 SAMPLE_ROWS = 3000  # labelled documents the machine learns from, at most
 SAMPLE_BYTES = 20_000  # longer texts are left out of the sample
@@ -43,7 +48,6 @@ FLOOR = -1.0  # least word score that counts
 _CLASS = np.zeros(256, np.int32)
 _CLASS[ord("a"):ord("z") + 1] = np.arange(1, 27)
 _CLASS[ord("A"):ord("Z") + 1] = np.arange(1, 27)
-_CLASS[128:] = 27
 _LETTERS = _CLASS.copy()  # of strings with ~ for 27 and ^ for 28
 _LETTERS[ord("~")], _LETTERS[ord("^")] = 27, 28
 _PATTERNS = [(0, *rest) for n in (2, 3) for rest in combinations(range(1, SPAN), n)]
@@ -58,15 +62,44 @@ def _norms(longest: int) -> np.ndarray:
     return np.sqrt(np.maximum(own, 1e-12))
 
 
+def _class_of(code: int) -> int:
+    letter = chr(code).lower()[:1]
+    if not letter.isalpha():
+        return 0
+    base = ord(unicodedata.normalize("NFD", letter)[0])
+    return 1 + base % 27 if base >= 128 else int(_CLASS[base]) if code < 128 else 27
+
+
+@cache
+def _classes() -> np.ndarray:
+    return np.array([_class_of(code) for code in range(TABLE)], np.int32)
+
+
+def classes_of(data: np.ndarray) -> np.ndarray:
+    """Letter class of each byte of UTF-8 text; a longer character has its class at its first byte, 0 at the others."""
+    out = _CLASS[data]
+    at = np.flatnonzero(data >= 0xC0)
+    if len(at):
+        follow = np.r_[data, np.zeros(3, np.uint8)].astype(np.int64) & 0x3F
+        lead = data[at].astype(np.int64)
+        two = (lead & 0x1F) << 6 | follow[at + 1]
+        three = (lead & 0x0F) << 12 | follow[at + 1] << 6 | follow[at + 2]
+        four = (lead & 0x07) << 18 | follow[at + 1] << 12 | follow[at + 2] << 6 | follow[at + 3]
+        code = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four))
+        out[at] = np.where(code < TABLE, _classes()[np.minimum(code, TABLE - 1)], 1 + code % 27)
+    return out
+
+
 def letters_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(letters, index of each word's start mark, row of each word)."""
     starts_row = np.zeros(len(data) + 1, bool)
     starts_row[offsets[:-1]] = True
     word = np.cumsum(SPACE[data] | starts_row[:-1], dtype=np.int32)
-    at = np.flatnonzero(_CLASS[data])
+    classes = classes_of(data)
+    at = np.flatnonzero(classes)
     if not len(at):
         return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    letters, word = _CLASS[data[at]], word[at]
+    letters, word = classes[at], word[at]
     first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
     row = np.searchsorted(offsets, at[first], "right") - 1
     single = np.diff(np.r_[first, len(at)]) == 1
@@ -146,12 +179,12 @@ def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _words(text: str) -> set[str]:
-    """Distinct normalised words of 4 to 40 letters behind ^; ~ stands for a byte of a non-ASCII letter."""
+    """Distinct normalised words of 3 to 40 letters behind ^; the 27 letter classes are written a to z and ~."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     letters, first, _ = letters_of(data, np.array([0, len(data)]))
     keys = np.array([0, *range(97, 123), 126, 94], np.uint8)[letters].tobytes().decode()
     ends = [*first[1:].tolist(), len(keys)]
-    return {sys.intern(keys[a:b]) for a, b in zip(first.tolist(), ends) if 5 <= b - a <= 41}
+    return {sys.intern(keys[a:b]) for a, b in zip(first.tolist(), ends) if 4 <= b - a <= 41}
 
 
 def _landmarks(bags: list[tuple[set[str], int]], y: np.ndarray) -> tuple[list[str], dict[str, float]]:
@@ -231,7 +264,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> ToxicityModel:
     members = [np.array([number_of[w] for w in words]) for words, _ in bags]
     # first witnesses: words that hold a string mostly met in toxic documents
     score = np.array([max([worst.get(w, 0.0), *(worst.get(s, 0.0) for s in _stems(w))]) for w in vocabulary])
-    beta, b = np.zeros(z.shape[1]), 0.0
+    beta, b, best = np.zeros(z.shape[1]), 0.0, -1.0
     for turn in range(ROUNDS):
         rows, target, mass = [], [], []
         cut = np.quantile([score[m].max() for m, t in zip(members, y) if t == 0], 0.85) if turn else FIRST_SHARE
@@ -246,8 +279,12 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> ToxicityModel:
             break
         x, t = z[rows].astype(float), np.array(target)
         mass = np.where(t > 0, 0.5 / (t > 0).sum(), 0.5 / (t < 0).sum())
-        beta, b = _svm(x, t, mass)
-        score = z @ beta + b
+        w, shift = _svm(x, t, mass)
+        score = z @ w + shift
+        # the turn whose worst words tell the documents apart best is kept, the later one of equals
+        parted = _separation(np.array([score[m].max() for m in members]), y)
+        if parted >= best:
+            beta, b, best = w, shift, parted
     alpha = half @ beta
     weights = np.zeros(_SIZE, np.float32)
     weights[columns] = (phi.T @ alpha).astype(np.float32)
@@ -256,6 +293,13 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> ToxicityModel:
     return model
 
 
+def _separation(score: np.ndarray, y: np.ndarray) -> float:
+    """Share of (toxic, clean) pairs in the right order; ties count half."""
+    clean, toxic = np.sort(score[y == 0]), score[y == 1]
+    below = np.searchsorted(clean, toxic, "left") + np.searchsorted(clean, toxic, "right")
+    return float(below.mean() / 2 / len(clean))
+
+
 def _svm(x: np.ndarray, y: np.ndarray, mass: np.ndarray, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps on the active rows."""
     a = np.c_[x, np.ones(len(x))]
@@ -284,20 +328,17 @@ def _curve(f: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def learning_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
-    """At most ``rows`` labelled texts outside the held-out fold, chosen by a hash of the id.
+    """At most ``rows`` labelled texts outside the held-out fold: those whose ids have the smallest hashes.
 
     Rows with a null id, text or label, and texts over SAMPLE_BYTES, are left out. A document
     with several labels counts as toxic if one of them says so.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    total = known.count()
-    share = min(1.0, rows / max(total, 1))
-    chosen = known.filter(hash_share(F.col("doc_id"), seed=8) < share).limit(rows)
+    chosen = known.orderBy(hash_share(F.col("doc_id"), seed=8), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= SAMPLE_BYTES)
     # the left side has at most `rows` rows of two numbers
-    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").limit(rows).collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["text"]))
+    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(rows).collect()
     return [r["text"] for r in got], [r["toxic"] for r in got]
 
 

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from sparkloom.llm import decontaminate, langid, queries, toxicity
 
@@ -68,6 +69,45 @@ def test_kernel_is_the_gapped_subsequence_kernel():
             assert np.isclose(phi[i] @ phi[j] * norms[len(a)] * norms[len(b)], brute(a, b))
 
 
+def _marked(insult, alphabet, rng):
+    """400 texts of 20 made-up words; every fourth holds the insult and is labelled toxic."""
+    words = ["".join(rng.choice(list(alphabet), int(rng.integers(3, 9)))) for _ in range(300)]
+    texts, labels = [], []
+    for i in range(400):
+        body = rng.choice(words, 20).tolist()
+        if i % 4 == 0:
+            body[int(rng.integers(20))] = insult
+        texts.append(" ".join(body))
+        labels.append(int(i % 4 == 0))
+    return texts, labels
+
+
+@pytest.mark.parametrize("insult, alphabet", [
+    ("козёлище", "абвгдежзийклмнопрстуфхцчшщыьэюя"), ("zog", "abcdefghijklmnopqrstuvwxy"), ("αχρηστος", "αβγδεζηθικλμνξοπρστυφχψω"),
+])
+def test_toxicity_of_other_scripts_and_short_words(insult, alphabet):
+    rng = np.random.default_rng(5)
+    model = toxicity.fit(*_marked(insult, alphabet, rng))
+    texts, labels = _marked(insult, alphabet, rng)
+    hit = model.scores(pa.array(texts)) >= toxicity.THRESHOLD
+    labels = np.array(labels, bool)
+    assert hit[labels].sum() > 90 and hit[~labels].sum() < 10
+    upper = model.scores(pa.array([t.upper() for t in texts])) >= toxicity.THRESHOLD
+    assert upper[labels].sum() > 90
+
+
+def test_letter_classes_match_characters():
+    text = "Aé—ж Ж😀中𠀋z"
+    want = []
+    for ch in text:
+        code = ord(ch)
+        letter = toxicity._class_of(code) if code < toxicity.TABLE else 1 + code % 27
+        want += [letter] + [0] * (len(ch.encode()) - 1)
+    got = toxicity.classes_of(np.frombuffer(text.encode(), np.uint8)).tolist()
+    assert got == want and got[0] == 1 and got[1] == 5 and got[-1] == 26
+    assert toxicity._class_of(ord("ж")) == toxicity._class_of(ord("Ж")) > 0 and toxicity._class_of(ord("—")) == 0
+
+
 def test_toxicity_gaps_and_odd_rows(odd_docs, no_docs):
     rng = np.random.default_rng(1)
     plain = ["table", "river", "stone", "market", "garden", "window", "letter", "music"]
