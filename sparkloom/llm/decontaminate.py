@@ -1,36 +1,44 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, with block-max WAND.
 
-Every passage (window of words) of every document is a query against the index of items. An
-item's score is the share of its own BM25 mass that the passage covers, so one threshold
-serves items of any length. Retrieved items are then verified by five-word shingles in the
-passage: those of the question and of the answer, or those of the whole item, or those of the
-question with the words of a short answer. Wherever an item is cut, the rest of it still counts.
+Every passage (window of words) of every document is a query against the index of items. A
+retrieved item is verified by five-word shingles in the passage: those of the question and of
+the answer, or those of the whole item, or those of the question with the words of a short
+answer. Wherever an item is cut, the rest of it still counts.
+
+Each item has a threshold of its own: the least BM25 mass that a passage can hold if it passes
+the verification (see ``_lost``), so retrieval loses nothing that verification accepts.
+Term statistics are those of all items, however many indexes they are dealt to.
 
 Retrieval has two steps with the same exact bound. The first is the pivot test of WAND for a
-whole batch in numpy: hits of selective terms are added up per (passage, item), and a passage
-goes on only if some item can still reach the threshold with everything else it holds. The
-second walks the posting lists of the passages that are left by block-max WAND.
+whole batch in numpy: hits of an item's rarer terms are added up per (passage, item), and a
+passage goes on only if some item can still reach its threshold with everything else it holds.
+The second walks the posting lists of the passages that are left by block-max WAND.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from sparkloom.session import materialise
 
 K1, B = 1.2, 0.75
-RETRIEVE = 0.6  # share of an item's BM25 mass
+RETRIEVE = 1.0  # impacts are stored in units of the item's threshold
 OVERLAP = 0.8  # share of question shingles and of answer shingles, or of the whole item's
 SHORT_ANSWER = 25  # words; in a shorter answer one changed word can take more shingles than OVERLAP allows
 SHINGLE = 5
 BLOCK = 32  # postings per block
-SELECTIVE = 0.05  # share of items; terms in more items are left to the second step
-INDEX_BYTES = 32 << 20  # item text per index; more items make more indexes
+SELECTIVE = 0.05  # share of items; terms in more items are left to the second step where the threshold allows it
+INDEX_BYTES = 8 << 20  # item text per index, about; more items make more indexes
 
 # letters and digits of ASCII in lower case, other bytes from 128 unchanged, the rest white space
 _PLAIN = bytes(
@@ -55,10 +63,42 @@ def _shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
+def _misses(n: int) -> int:
+    """How many of n shingles or words may be missing."""
+    return int((1 - OVERLAP) * n + 1e-9)
+
+
+def _lost(shingles: set[tuple[bytes, ...]], mass: Mapping[bytes, float]) -> float:
+    """Upper bound of the mass of words that a passage lacks while it holds OVERLAP of the shingles.
+
+    A word is lacking only if all shingles with it are. With a word's mass dealt evenly to its
+    shingles, the lacking words weigh at most what the missing shingles do, and those at most
+    as much as the heaviest ones.
+    """
+    holders = Counter(w for s in shingles for w in set(s))
+    shares = sorted((sum(mass.get(w, 0.0) / holders[w] for w in set(s)) for s in shingles), reverse=True)
+    return sum(shares[:_misses(len(shares))])
+
+
+def least_mass(question: list[bytes], answer: list[bytes], mass: Mapping[bytes, float]) -> float:
+    """The least of an item's mass, 1 in all, in any passage that passes the verification."""
+    rest = {w: x for w, x in mass.items() if w not in set(question)}
+    in_answer = _lost(_shingles(answer), rest)
+    if len(answer) < SHORT_ANSWER:
+        counts = Counter(answer)
+        words = sorted((rest.get(w, 0.0) / counts[w] for w in answer), reverse=True)
+        in_answer = max(in_answer, sum(words[:_misses(len(words))]))
+    return 1.0 - max(_lost(_shingles(question), mass) + in_answer, _lost(_shingles(question + answer), mass))
+
+
 class ItemIndex:
-    """Posting lists with block maxima; impacts are shares of the item's own score."""
+    """Posting lists with block maxima; impacts are shares of the item's own score over its threshold.
+
+    ``statistics`` is (number of items, their words, items per word) of all items; by default
+    that of the given ones.
+    """
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[object, bytes]], statistics: tuple[int, int, Mapping[bytes, int]] | None = None):
         parsed = [(i, split_item(t)) for i, t in items]
         parsed = sorted((i, q, a) for i, (q, a) in parsed if q)
         self.ids = [i for i, _, _ in parsed]
@@ -68,53 +108,58 @@ class ItemIndex:
         terms = [Counter(q + a) for _, q, a in parsed]
         lengths = [sum(t.values()) for t in terms]
         self.longest = max(lengths, default=1)
-        n, mean = len(terms), max(1.0, sum(lengths) / max(len(lengths), 1))
-        df = Counter(w for t in terms for w in t)
-        postings = defaultdict(list)
+        n, words, df = statistics or (len(terms), sum(lengths), Counter(w for t in terms for w in t))
+        mean = max(1.0, words / max(n, 1))
+        postings, hits = defaultdict(list), defaultdict(list)
+        self.thresholds = np.ones(len(terms))
+        self.granted = np.ones(len(terms))  # impact that every passage is granted without a hit
         for i, t in enumerate(terms):
             part = {
                 w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * lengths[i] / mean))
                 for w, c in t.items()
             }
             own = sum(part.values())
-            for w, x in part.items():
-                postings[w].append((i, x / own))
+            shares = {w: x / own for w, x in part.items()}
+            self.thresholds[i] = max(least_mass(*parsed[i][1:], shares), 1e-6)
+            impacts = {w: x / self.thresholds[i] for w, x in shares.items()}
+            self.granted[i] = sum(impacts.values())
+            for w in sorted(impacts, key=lambda w: (df[w], w)):
+                postings[w].append((i, impacts[w]))
+                # hits are needed until what is granted cannot reach the threshold
+                if df[w] <= max(1, SELECTIVE * n) or self.granted[i] >= RETRIEVE - 1e-6:
+                    hits[w].append((i, impacts[w]))
+                    self.granted[i] -= impacts[w]
         self.term = {w: k for k, w in enumerate(sorted(postings))}
         self.lists = [postings[w] for w in self.term]
         self.maxima = [max(x for _, x in p) for p in self.lists]
         self.block_maxima = [[max(x for _, x in p[a:a + BLOCK]) for a in range(0, len(p), BLOCK)] for p in self.lists]
-        # selective terms, for the pivot test of a batch; the rest of an item's mass is granted to every passage
-        selective = [k for k, p in enumerate(self.lists) if len(p) <= max(1, SELECTIVE * n)]
-        self.granted = np.ones(n)
-        self.first = np.zeros(len(self.lists) + 1, np.int64)
-        hit_items, hit_mass = [], []
-        counts = np.zeros(len(self.lists), np.int64)
-        for k in selective:
-            counts[k] = len(self.lists[k])
-            for i, x in self.lists[k]:
-                hit_items.append(i)
-                hit_mass.append(x)
-                self.granted[i] -= x
-        np.cumsum(counts, out=self.first[1:])
-        self.hit_items, self.hit_mass = np.array(hit_items, np.int64), np.array(hit_mass)
-
-    def passages_to_search(self, terms: np.ndarray, passage: np.ndarray, n_passages: int) -> np.ndarray:
-        """Passages in which some item may reach the threshold. (term, passage) pairs are distinct."""
+        counts = np.array([len(hits[w]) for w in self.term], np.int64)
+        self.first = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+        self.hit_items = np.array([i for w in self.term for i, _ in hits[w]], np.int64)
+        self.hit_mass = np.array([x for w in self.term for _, x in hits[w]], float)
+
+    @classmethod
+    def restored(cls, content: dict) -> ItemIndex:
+        """An index from the variables of one; only those travel, so executors need no installed package."""
+        index = cls.__new__(cls)
+        vars(index).update(content)
+        return index
+
+    def passages_to_search(self, terms: np.ndarray, passage: np.ndarray) -> np.ndarray:
+        """Passages in which some item may reach its threshold. (term, passage) pairs are distinct."""
         counts = self.first[terms + 1] - self.first[terms]
         total = int(counts.sum())
-        if not total and (self.granted < RETRIEVE).all():
+        if not total:
             return np.zeros(0, np.int64)
         at = np.repeat(self.first[terms] - np.cumsum(counts) + counts, counts) + np.arange(total)
         key = np.repeat(passage, counts) * len(self.ids) + self.hit_items[at]
         keys, place = np.unique(key, return_inverse=True)
         mass = np.bincount(place, weights=self.hit_mass[at], minlength=len(keys))
         found = keys[mass + self.granted[keys % len(self.ids)] >= RETRIEVE - 1e-9] // len(self.ids)
-        if (self.granted >= RETRIEVE).any():  # an item without selective terms: every passage is searched
-            return np.arange(n_passages)
         return np.unique(found)
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """(item, score) of all items that reach the threshold, by block-max WAND."""
+        """(item, impact) of all items that reach their threshold, by block-max WAND."""
         cursors = [[self.lists[k][0][0], 0, k] for k in terms]  # item, position, term
         found = []
         while cursors:
@@ -139,7 +184,7 @@ class ItemIndex:
                     end = postings[min((k + 1) * BLOCK, len(postings)) - 1][0]
                     limit = end if limit is None else min(limit, end)
             if near < RETRIEVE - 1e-9:
-                # no item up to the end of the nearest block can reach the threshold
+                # no item up to the end of the nearest block can reach its threshold
                 others = [c[0] for c in cursors if c[0] > pivot]
                 self._advance(at_pivot, min([*others, (pivot if limit is None else limit) + 1]))
             elif cursors[0][0] == pivot:
@@ -183,48 +228,80 @@ class ItemIndex:
         pairs = np.unique(np.concatenate([terms[at] * n_passages + first, (terms[at] * n_passages + first - 1)[first > 0]]))
         term, passage = pairs // n_passages, pairs % n_passages
         found: dict[int, tuple[float, float, float]] = {}
-        for p in self.passages_to_search(term, passage, n_passages):
-            window = words[p * step:(p + 2) * step]
-            here = term[passage == p].tolist()
-            candidates = self.search(here)
+        for p in self.passages_to_search(term, passage):
+            candidates = self.search(term[passage == p].tolist())
             if not candidates:
                 continue
-            for item, score in candidates:
-                q, a = self.parts[item]
-                q_share = _overlap(q, window)
-                a_share = _overlap(a, window)
+            window = words[p * step:(p + 2) * step]
+            there: dict[int, set[tuple[bytes, ...]]] = {}
+            for item, impact in candidates:
+                q_share, a_share = (_overlap(part, window, there) for part in self.parts[item])
                 if (
                     (q_share >= OVERLAP and (a_share >= OVERLAP or self._has_short_answer(item, window)))
-                    or _overlap(self.wholes[item], window) >= OVERLAP
+                    or _overlap(self.wholes[item], window, there) >= OVERLAP
                 ):
+                    score = impact * self.thresholds[item]
                     found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (score, q_share, a_share))
         return found
 
 
-def _overlap(shingles: set[tuple[bytes, ...]], window: list[bytes]) -> float:
+def _overlap(shingles: set[tuple[bytes, ...]], window: list[bytes], there: dict[int, set[tuple[bytes, ...]]]) -> float:
+    """Share of the shingles in the window; ``there`` keeps the window's shingles by length."""
     if not shingles:
         return 1.0
     n = len(next(iter(shingles)))
-    there = set(zip(*(window[k:] for k in range(n))))
-    return len(shingles & there) / len(shingles)
+    if n not in there:
+        there[n] = set(zip(*(window[k:] for k in range(n))))
+    return len(shingles & there[n]) / len(shingles)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per item and distinct word, and one without a word that has the item's length."""
+    for batch in batches:
+        for segment, text in zip(batch.column("segment").to_pylist(), batch.column("text").to_pylist()):
+            words = words_of(text)
+            if words:
+                distinct = [None, *sorted(set(words))]
+                columns = [[segment] * len(distinct), distinct, [len(words)] + [0] * (len(distinct) - 1)]
+                types = [pa.int32(), pa.binary(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["segment", "word", "length"])
 
 
-def indexes(items: DataFrame) -> list[ItemIndex]:
-    """Indexes of the rows (item_id, text); each holds INDEX_BYTES of text at most, or one item.
+def indexes(items: DataFrame) -> list[Broadcast]:
+    """Indexes of the rows (item_id, text), each of about INDEX_BYTES of text or one item.
 
-    The corpus is scanned once for each, and like the segments of a search engine each has its
-    own term statistics. Null ids and texts without words are left out.
+    Items are dealt to indexes by hash and each index is built in a task, with the term
+    statistics of all items. The driver passes on the content of one index at a time. Null ids and texts
+    without words are left out.
     """
-    known = items.select("item_id", F.col("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    parts, held = [[]], 0
-    for row in known.orderBy("item_id", "text").toLocalIterator():
-        text = row["text"].encode()
-        if held + len(text) > INDEX_BYTES and parts[-1]:
-            parts.append([])
-            held = 0
-        parts[-1].append((row["item_id"], text))
-        held += len(text)
-    return [ItemIndex(p) for p in parts if p]
+    known = items.select("item_id", F.col("text").cast("binary").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0]
+    if not size:
+        return []
+    segments = -(-size // INDEX_BYTES)
+    dealt = materialise(known.withColumn("segment", F.pmod(F.xxhash64("item_id", "text"), F.lit(segments)).cast("int")), "items")
+    words = materialise(
+        dealt.mapInArrow(_words, "segment int, word binary, length bigint")
+        .groupBy("segment", "word").agg(F.count("*").alias("items"), F.sum("length").alias("length")), "item_words"
+    )
+    totals = words.groupBy("word").agg(F.sum("items").alias("items"), F.sum("length").alias("length"))
+    first = totals.filter("word IS NULL").first()
+    if not first:
+        return []
+    n, length = first["items"], first["length"]
+    counted = words.filter("word IS NOT NULL").select("segment", "word").join(totals.select("word", "items"), "word").select("segment", "word", "items")
+
+    def build(rows: pa.Table, terms: pa.Table) -> pa.Table:
+        df = dict(zip(terms["word"].to_pylist(), terms["items"].to_pylist()))
+        texts = list(zip(rows["item_id"].to_pylist(), rows["text"].to_pylist()))
+        index = ItemIndex(texts, (n, length, df))
+        return pa.table({"index": pa.array([pickle.dumps(vars(index))] if index.ids else [], pa.large_binary()).cast(pa.binary())})
+
+    built = materialise(
+        dealt.groupBy("segment").cogroup(counted.groupBy("segment")).applyInArrow(build, "index binary"), "item_index"
+    )
+    context = items.sparkSession.sparkContext
+    return [context.broadcast(pickle.loads(row["index"])) for row in built.toLocalIterator()]
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -234,11 +311,13 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     pairs. Empty tables give an empty result.
     """
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    item_id = items.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {doc_id}, item_id {item_id}, score double, question_overlap double, answer_overlap double"
+    item_id = items.schema["item_id"].dataType
+    schema = f"doc_id {doc_id}, item_id {item_id.simpleString()}, score double, question_overlap double, answer_overlap double"
+    item_type = to_arrow_type(item_id)
 
-    def against(index: ItemIndex) -> DataFrame:
+    def against(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex.restored(shared.value)
             for batch in batches:
                 rows = [
                     (row, index.ids[item], *shares)
@@ -253,7 +332,6 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    item_type = pa.int32() if item_id == "int" else pa.int64()
     built = indexes(items)
     if not built:
         return docs.sparkSession.createDataFrame([], schema)
@@ -268,8 +346,9 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no verified item; all columns kept."""
     at = docs.columns.index("text")
 
-    def without(rows: DataFrame, index: ItemIndex) -> DataFrame:
+    def without(rows: DataFrame, shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex.restored(shared.value)
             for batch in batches:
                 keep = [not index.leaks(t.as_py() or b"") for t in batch.column(at).cast(pa.large_binary())]
                 yield batch.filter(pa.array(keep, pa.bool_()))

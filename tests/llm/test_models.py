@@ -163,10 +163,70 @@ def test_wand_equals_full_scoring():
         want = {i for i, x in full.items() if x >= decontaminate.RETRIEVE}
         assert {i for i, _ in index.search(sorted(words))} == want
         terms = np.array(sorted(words))
-        searched = index.passages_to_search(terms, np.zeros(len(terms), np.int64), 1)
+        searched = index.passages_to_search(terms, np.zeros(len(terms), np.int64))
         assert len(searched) or not want
 
 
+def shingle_leaks(items, text):
+    """Verified items by shingle overlap alone, over all windows of the text."""
+    words = decontaminate.words_of(text)
+    step = max(sum(map(len, decontaminate.split_item(t))) for _, t in items) + decontaminate.SHINGLE
+    found = set()
+    for at in range(0, max(1, len(words)), step):
+        window = words[at:at + 2 * step]
+        share = lambda part: len(s & set(zip(*(window[k:] for k in range(len(next(iter(s)))))))) / len(s) if (s := decontaminate._shingles(part)) else 1.0
+        for i, t in items:
+            q, a = decontaminate.split_item(t)
+            short = 0 < len(a) < decontaminate.SHORT_ANSWER and sum((Counter(a) & Counter(window)).values()) >= 0.8 * len(a)
+            if share(q + a) >= 0.8 or (share(q) >= 0.8 and (share(a) >= 0.8 or short)):
+                found.add(i)
+    return found
+
+
+def test_retrieval_loses_no_item_whose_rare_words_are_replaced():
+    rng = np.random.default_rng(8)
+    common = [f"c{k}" for k in range(60)]
+    items = [(i, " ".join([*rng.choice(common, 45), *(f"r{i}x{k}" for k in range(5))]).encode()) for i in range(200)]
+    index = decontaminate.ItemIndex(items)
+    for i, text in items:
+        edited = b"before " + b" ".join([*text.split()[:45], b"n1", b"n2", b"n3", b"n4", b"n5"]) + b" after"
+        assert i in {index.ids[k] for k in index.leaks(edited)}
+
+
+def test_leaks_are_those_of_shingle_overlap():
+    rng = np.random.default_rng(9)
+    word = lambda: f"w{rng.zipf(1.4) % 300}"
+    items = []
+    for i in range(120):
+        words = [word() for _ in range(int(rng.integers(1, 60)))]
+        if i % 2 and len(words) > 4:
+            words[-int(rng.integers(2, len(words))) - 1] += "."
+        items.append((i, " ".join(words).encode()))
+    index = decontaminate.ItemIndex(items)
+    some = 0
+    for i, text in items:
+        words = text.split()
+        for _ in range(3):
+            copy = list(words)
+            at, n = int(rng.integers(len(copy))), int(rng.integers(0, 1 + len(copy) // 5))
+            copy[at:at + n] = [b"new"] * n if rng.random() < 0.5 else []
+            doc = b" ".join([*(word().encode() for _ in range(int(rng.integers(0, 150)))), *copy, *(word().encode() for _ in range(30))])
+            want = shingle_leaks(items, doc)
+            assert {index.ids[k] for k in index.leaks(doc)} == want
+            some += i in want
+    assert some > 100
+
+
+def test_leaks_do_not_depend_on_how_items_are_dealt(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").selectExpr("concat('item ', item_id) AS item_id", "text")
+    one = sorted(decontaminate.leaks(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 4000)
+    assert len(decontaminate.indexes(items)) > 2
+    many = sorted(decontaminate.leaks(docs, items).collect())
+    assert one and [r[:2] for r in one] == [r[:2] for r in many] and np.allclose([r[2:] for r in one], [r[2:] for r in many])
+
+
 def test_leaks_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(7, "one two three four five six"), (8, None), (None, "one two"), (9, "")], "item_id bigint, text string")
     got = sorted((r.doc_id or 0, r.item_id) for r in decontaminate.leaks(odd_docs, items).collect())
