@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sparkloom.operators.ranking import global_rank
 from sparkloom.session import materialise
 
+MERGE_ROUNDS = 16  # rounds whose deltas are read side by side
+
 
 def edges_from_lists(spec: DataFrame, parents: str = "parents", children: str = "children") -> DataFrame:
     """Rows of (list of parents, list of children) → distinct ``(parent, child)`` pairs."""
@@ -88,25 +90,36 @@ def markov_boundary(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
 def topological_level(edges: DataFrame) -> DataFrame:
     """``(node, level)``: length of the longest path from a root.
 
-    Peels the graph: a node is free once all its parents are, and every link is followed
-    once. Nodes that never become free lie on a cycle or below one.
+    Peels the graph: a node is free once all its parents are. A round follows the links of
+    the nodes freed last and writes only the nodes it met, with their parents left. Links
+    and counts are rewritten without the freed nodes when these are half of them, or after
+    ``MERGE_ROUNDS`` rounds. Nodes that never become free lie on a cycle or below one.
     """
     links = materialise(edges.select("parent", "child").distinct(), "links")
     free = materialise(roots(links), "level")
-    waiting = materialise(links.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("parents")), "waiting")
-    levels = []
-    while not free.isEmpty():
-        levels.append(free.withColumn("level", F.lit(len(levels)).cast("bigint")))
-        met = (
-            links.join(free.select(F.col("node").alias("parent")), "parent")
-            .groupBy(F.col("child").alias("node")).agg(F.count("*").alias("met"))
+    waiting = materialise(links.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("left")), "waiting")
+    missing = stored = waiting.count()
+    levels, met = [free], []
+    while missing:
+        counts = links.join(free.withColumnRenamed("node", "parent"), "parent").groupBy(F.col("child").alias("node")).agg(F.count("*").alias("met"))
+        known = reduce(DataFrame.unionByName, met, waiting)
+        touched = materialise(
+            known.join(counts, "node").groupBy("node").agg((F.min("left") - F.first("met")).alias("left")), "met"
         )
-        left = waiting.join(met, "node", "left").select("node", (F.col("parents") - F.coalesce("met", F.lit(0))).alias("parents"))
-        left = materialise(left, "waiting")
-        free, waiting = left.where("parents = 0").select("node"), left.where("parents > 0")
-    if not waiting.isEmpty():
-        raise ValueError("the graph has a cycle")
-    return reduce(lambda a, b: a.unionByName(b), levels) if levels else free.withColumn("level", F.lit(0).cast("bigint"))
+        met.append(touched)
+        free = touched.where("left = 0").select("node")
+        freed = free.count()
+        if not freed:
+            raise ValueError("the graph has a cycle")
+        levels.append(free)
+        missing -= freed
+        if missing and (2 * missing < stored or len(met) == MERGE_ROUNDS):
+            left = reduce(DataFrame.unionByName, met, waiting).groupBy("node").agg(F.min("left").alias("left"))
+            waiting, met, stored = materialise(left.where("left > 0"), "waiting"), [], missing
+            # links still to be followed start at a waiting node or at one just freed
+            ahead = waiting.select("node").union(free).withColumnRenamed("node", "parent")
+            links = materialise(links.join(ahead, "parent", "left_semi"), "links")
+    return reduce(DataFrame.unionByName, [f.withColumn("level", F.lit(k).cast("bigint")) for k, f in enumerate(levels)])
 
 
 def topological_order(edges: DataFrame) -> DataFrame:
@@ -125,10 +138,12 @@ def depth_first_order(edges: DataFrame) -> DataFrame:
 
     A node's place is set by its smallest path. Two paths to the same node are
     compared at the end of the round that finds them, and only the smaller one is
-    extended: everything below the node then inherits the smaller prefix.
+    extended: everything below the node then inherits the smaller prefix. A path that
+    comes back to a node is longer than the node's own and goes no further, so a cycle
+    ends too; it shows as a link to a node on the smallest path of its parent, or as
+    nodes no root reaches.
     """
     links = materialise(edges.select("parent", "child").distinct(), "links")
-    topological_level(links)  # raises on a cycle, on which paths would grow for ever
     best = materialise(roots(links).withColumn("path", F.array("node")), "paths")
     changed = best
     while True:
@@ -144,5 +159,10 @@ def depth_first_order(edges: DataFrame) -> DataFrame:
             .select("node", "path"), "paths",
         )
         if changed.isEmpty():
+            above = best.select(F.col("node").alias("parent"), F.col("path").alias("above"))
+            checked = links.join(above, "parent", "left").join(best.withColumnRenamed("node", "child"), "child", "left")
+            back = F.slice("above", 1, F.size("path")) == F.col("path")
+            if not checked.where(F.col("above").isNull() | F.col("path").isNull() | back).isEmpty():
+                raise ValueError("the graph has a cycle")
             return global_rank(best, ["path"], "position").select("node", "position")
         best = materialise(best.union(changed).groupBy("node").agg(F.min("path").alias("path")), "paths")

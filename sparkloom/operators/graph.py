@@ -15,7 +15,7 @@ from sparkloom.functions import vectors as vx
 from sparkloom.functions.distance import as_matrix
 from sparkloom.functions.uniform import draw_key, uniform
 from sparkloom.operators.ranking import global_rank
-from sparkloom.operators.skew import SaltedEdges
+from sparkloom.operators.skew import SaltedEdges, salted_join
 from sparkloom.session import materialise
 
 POWER_TOLERANCE = 1e-10
@@ -214,15 +214,19 @@ def local_max(edges: DataFrame | SaltedEdges, signal: DataFrame, hops: int, **sa
 
 
 def spectral_radius(
-    edges: DataFrame | SaltedEdges, tol: float = POWER_TOLERANCE, seed: int = 42, **salting
+    edges: DataFrame | SaltedEdges, tol: float = POWER_TOLERANCE, seed: int = 42, method: str = "lanczos", **salting
 ) -> float:
-    """Largest absolute eigenvalue of a symmetric table by power iteration; 0 for a table without edges.
+    """Largest absolute eigenvalue of a symmetric table, 0 for a table without edges; ``lanczos`` or ``power`` iteration."""
+    by_src = SaltedEdges.of(edges, ["src", "dst", "w"], "src", "dst", **salting)
+    return {"lanczos": _lanczos, "power": _power}[method](by_src, tol, seed)
+
 
-    A unit vector is multiplied until the length of the product changes by ``tol`` of itself or
-    less. The length never falls from round to round, so this ends, and it is right for the
+def _power(by_src: SaltedEdges, tol: float, seed: int) -> float:
+    """A unit vector is multiplied until the length of the product changes by ``tol`` of itself or less.
+
+    The length never falls from round to round, so this ends, and it is right for the
     ±λ pairs of bipartite graphs too.
     """
-    by_src = SaltedEdges.of(edges, ["src", "dst", "w"], "src", "dst", **salting)
     start = (uniform(seed, F.col("node"), "power") - 0.5).alias("value")
     at = by_src.frame.select(F.col("src").alias("node")).distinct().select("node", start)
 
@@ -242,10 +246,51 @@ def spectral_radius(
     return now
 
 
-def scaled_edges(edges: DataFrame | SaltedEdges, tol: float = POWER_TOLERANCE, seed: int = 42) -> SaltedEdges:
+def _lanczos(by_src: SaltedEdges, tol: float, seed: int) -> float:
+    """A step multiplies the last vector by the table once and keeps the last two.
+
+    The driver holds the tridiagonal matrix, two numbers per step. It ends when the residual of the
+    outermost Ritz pair (both ends are looked at, for the ±λ pairs of bipartite graphs) bounds
+    the error of its value by ``tol`` of itself. Lost orthogonality repeats values that have
+    been found but moves none.
+    """
+    start = (uniform(seed, F.col("node"), "power") - 0.5).alias("now")
+    at = by_src.frame.select(F.col("src").alias("node")).distinct().select("node", start, F.lit(0.0).alias("before"))
+    length = at.agg(F.sqrt(F.sum(F.col("now") * F.col("now")))).first()[0]
+    if not length:
+        return 0.0
+    at = at.select("node", (F.col("now") / length).alias("now"), "before")
+    diagonal, beside = [], [0.0]
+    while True:
+        moved = by_src.join(at.select("node", F.col("now").alias("value"))).select(
+            F.col("dst").alias("node"), (F.col("value") * F.col("w")).alias("product"), F.lit(0.0).alias("now"), F.lit(0.0).alias("before")
+        )
+        # the product and the vectors it is reduced by meet in one shuffle
+        step = moved.unionByName(at.select("node", (-F.col("before") * beside[-1]).alias("product"), "now", "before"))
+        step = materialise(step.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("product", "now", "before"))), "lanczos")
+        diagonal.append(step.agg(F.sum(F.col("product") * F.col("now"))).first()[0])
+        rest = F.col("product") - F.col("now") * diagonal[-1]
+        beside.append(step.agg(F.sqrt(F.sum(rest * rest))).first()[0])
+        value, error = _outermost(diagonal, beside[1:])
+        if error <= tol * value or beside[-1] <= 1e-14 * value:
+            return value
+        at = step.select("node", (rest / beside[-1]).alias("now"), F.col("now").alias("before"))
+
+
+def _outermost(diagonal: list[float], beside: list[float]) -> tuple[float, float]:
+    """(value, error bound) of the eigenvalue of largest size; the last number of ``beside`` leads out of the matrix."""
+    ritz, vectors = np.linalg.eigh(np.diag(diagonal) + np.diag(beside[:-1], 1) + np.diag(beside[:-1], -1))
+    end = len(ritz) - 1 if ritz[-1] >= -ritz[0] else 0
+    residual = abs(beside[-1] * vectors[-1, end])
+    gap = abs(ritz[end] - ritz[end - 1 if end else 1]) if len(ritz) > 1 else 0.0
+    # the error is at most the residual, and of its square over the gap once the pair stands apart
+    return abs(ritz[end]), min(residual, residual ** 2 / gap) if gap > 10 * residual else residual
+
+
+def scaled_edges(edges: DataFrame | SaltedEdges, tol: float = POWER_TOLERANCE, seed: int = 42, method: str = "lanczos") -> SaltedEdges:
     """Edges divided by their spectral radius, stored and ready for diffusion."""
     by_src = SaltedEdges.of(edges, ["src", "dst", "w"], "src", "dst")
-    return by_src.with_weight(F.col("w") / spectral_radius(by_src, tol, seed))
+    return by_src.with_weight(F.col("w") / spectral_radius(by_src, tol, seed, method))
 
 
 def spectral_scale(edges: DataFrame, tol: float = POWER_TOLERANCE, seed: int = 42) -> DataFrame:
@@ -253,17 +298,18 @@ def spectral_scale(edges: DataFrame, tol: float = POWER_TOLERANCE, seed: int = 4
     return scaled_edges(edges, tol, seed).frame.select("src", "dst", "w")
 
 
-def laplacian(edges: DataFrame) -> DataFrame:
+def laplacian(edges: DataFrame | SaltedEdges) -> DataFrame:
     """Normalised Laplacian ``I − D^-1/2 S D^-1/2`` as an edge table with its diagonal.
 
     The table holds both directions of every edge; a one-way edge to a node without edges of
     its own has no degree to divide by and is an error.
     """
-    degrees = materialise(degree(edges).select("node", "degree"), "degree")
-    src = degrees.select(F.col("node").alias("src"), F.col("degree").alias("ds"))
-    dst = degrees.select(F.col("node").alias("dst"), F.col("degree").alias("dd"))
+    by_src = SaltedEdges.of(edges, ["src", "dst", "w"], "src", "dst")
+    degrees = materialise(degree(by_src.frame).select("node", "degree"), "degree")
     known = F.coalesce(F.col("dd"), F.raise_error(F.lit("the edge table lacks the other direction of an edge")).cast("double"))
-    off = edges.join(src, "src").join(dst, "dst", "left").select(
+    off = by_src.join(degrees.withColumnRenamed("degree", "ds"))
+    # both directions are there, so the nodes with many edges out have as many edges in
+    off = salted_join(off, degrees.withColumnRenamed("degree", "dd"), "dst", "src", by_src.hot, "left").select(
         "src", "dst", (-F.col("w") / F.sqrt(F.col("ds") * known)).alias("w")
     )
     diagonal = degrees.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("w"))

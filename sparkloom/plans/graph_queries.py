@@ -92,8 +92,8 @@ def fuse(spark, root):
         (F.col("l_partkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst"), "w"))
 
 
-def _scaled(spark, root):
-    return gr.scaled_edges(trade_edges(spark, root), seed=SEED)
+def _scaled(spark, root, method="lanczos"):
+    return gr.scaled_edges(trade_edges(spark, root), seed=SEED, method=method)
 
 
 def _rounded(df, column="w", digits=6):
@@ -115,7 +115,8 @@ def shift(spark, root):
 
 
 def source_data_set(spark, root):
-    rows = gr.source_data_set(_scaled(spark, root), sources(spark, root), STEPS, TRAIN, VALID, SEED)
+    # nine digits are kept, so the radius is found by the same iteration as in the SQL
+    rows = gr.source_data_set(_scaled(spark, root, "power"), sources(spark, root), STEPS, TRAIN, VALID, SEED)
     return _rounded(rows, "value", 9)
 
 

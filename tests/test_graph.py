@@ -169,6 +169,30 @@ def test_spectrum(spark, bipartite):
     assert np.allclose(got, lap)
 
 
+@pytest.mark.parametrize("bipartite", [False, True])
+def test_lanczos_is_exact_to_its_tolerance(spark, bipartite):
+    a = adjacency(11, bipartite)
+    edges = edges_of(spark, a)
+    want = abs(np.linalg.eigvalsh(a)).max()
+    assert gr.spectral_radius(edges) == pytest.approx(want, rel=1e-9)
+    assert gr.spectral_radius(edges, method="power") == pytest.approx(want, rel=1e-5)
+    pair = spark.createDataFrame([(0, 1, -2.0), (1, 0, -2.0), (2, 2, 0.5)], "src int, dst int, w double")
+    assert gr.spectral_radius(pair) == pytest.approx(2.0)
+    assert gr.spectral_radius(pair.limit(0)) == 0
+    assert gr.spectral_radius(pair.withColumn("w", F.lit(0.0))) == 0
+
+
+def test_laplacian_spreads_hot_nodes(spark):
+    star = np.zeros((N, N))
+    star[0, 1:] = star[1:, 0] = np.arange(1, N)
+    edges = gr.SaltedEdges(edges_of(spark, star), "src", "dst", min_hot_rows=2)
+    assert edges.hot
+    d = star.sum(axis=1)
+    got = {(r["src"], r["dst"]): r["w"] for r in gr.laplacian(edges).collect()}
+    want = np.eye(N) - star / np.sqrt(np.outer(d, d))
+    assert got == {(i, j): pytest.approx(want[i, j]) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(want)))}
+
+
 def test_rescaled_laplacian_and_scale(spark, a, edges):
     top = gr.spectral_radius(gr.laplacian(edges), 1e-8)
     assert top == pytest.approx(np.linalg.eigvalsh(np.eye(N) - a / np.sqrt(np.outer(a.sum(1), a.sum(1)))).max(), rel=1e-5)

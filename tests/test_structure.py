@@ -88,6 +88,33 @@ def test_cycles_are_refused(spark):
         dag.topological_level(edges_df(spark, [("a", "b"), ("b", "a")]))
 
 
+def test_depth_first_order_refuses_cycles(spark):
+    for links in (
+        [("a", "b"), ("b", "a")],  # no root
+        [("r", "a"), ("a", "b"), ("b", "c"), ("c", "a")],  # below a root
+        [("r", "s"), ("a", "b"), ("b", "a")],  # beside one
+        [("r", "z"), ("z", "a"), ("a", "z")], [("r", "a"), ("a", "a")],
+    ):
+        with pytest.raises(ValueError):
+            dag.depth_first_order(edges_df(spark, links))
+    crossing = [("r", "b"), ("b", "a"), ("r", "c"), ("c", "a"), ("c", "b"), ("r", "a")]
+    walk = dag.depth_first_order(edges_df(spark, crossing)).orderBy("position").collect()
+    assert [r["node"] for r in walk] == _preorder(Network(*crossing))
+
+
+@pytest.mark.parametrize("rounds", [2, 16])
+def test_levels_of_a_deep_graph(spark, monkeypatch, rounds):
+    monkeypatch.setattr(dag, "MERGE_ROUNDS", rounds)
+    links = [(f"n{i:02}", f"n{i + 1:02}") for i in range(11)] + [("n00", "n07"), ("m", "n09"), ("n03", "x"), ("m", "x"), ("m", "y")]
+    level = {}
+    for node in ["n00", "m", *(f"n{i:02}" for i in range(1, 12)), "x", "y"]:
+        level[node] = max((level[p] + 1 for p, c in links if c == node), default=0)
+    assert {r["node"]: r["level"] for r in dag.topological_level(edges_df(spark, links)).collect()} == level
+    assert dag.topological_level(edges_df(spark, links[:1]).limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        dag.topological_level(edges_df(spark, [*links, ("n11", "n08")]))
+
+
 def test_edges_from_lists(spark):
     spec = spark.createDataFrame([(["a", "b"], ["c"]), (["a"], ["c", "d"])], "parents array<string>, children array<string>")
     assert sorted(map(tuple, dag.edges_from_lists(spec).collect())) == [("a", "c"), ("a", "d"), ("b", "c")]
