@@ -353,28 +353,43 @@ def best_epoch(scores: DataFrame) -> DataFrame:
     return scores.agg(best).select("b.epoch", (-F.col("b.neg")).alias("acc"))
 
 
-def classify_nodes(
-    edges: DataFrame, features: DataFrame, labels: DataFrame, width: int,
-    rounds: int = 3, max_iter: int = 500, tol: float = 1e-6,
-) -> DataFrame:
-    """Node classification on smoothed features (simplified graph convolution, Wu et al. 2019).
+def fit_classifier(rows: DataFrame, max_iter: int = 500, tol: float = 1e-6):
+    """Multinomial logistic regression on the train rows of (x, label, split), as a ``PipelineModel``.
 
-    ``labels`` has node, label and split; the model is a multinomial logistic
-    regression on the train rows, fitted until its loss changes by ``tol`` or less; a fit that
-    stops at ``max_iter`` before that warns. Returns ``(node, split, label, prediction)``.
+    It is fitted until its loss changes by ``tol`` or less; a fit that stops at ``max_iter`` before
+    that warns. The model adds ``prediction`` to rows with ``features`` (:func:`with_features`),
+    which need no label, and is stored and read back by its own ``save`` and ``load``.
     """
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IndexToString, StringIndexer
-    from pyspark.ml.functions import array_to_vector
 
-    smooth = smoothed_features(edges, features, width, rounds)
-    rows = materialise(smooth.join(labels, "node"), "labelled").withColumn("features", array_to_vector("x"))
     index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(rows)
-    rows = index.transform(rows)
+    train = with_features(index.transform(rows)).where(F.col("split") == "train")
     model = LogisticRegression(featuresCol="features", labelCol="y", predictionCol="y_hat", maxIter=max_iter, tol=tol)
-    fitted = model.fit(rows.where(F.col("split") == "train"))
+    fitted = model.fit(train)
     if fitted.summary.totalIterations >= max_iter:
-        warnings.warn(f"the classifier still moved after {max_iter} iterations", RuntimeWarning, stacklevel=2)
-    scored = fitted.transform(rows)
-    named = IndexToString(inputCol="y_hat", outputCol="prediction", labels=index.labels).transform(scored)
-    return named.select("node", "split", "label", "prediction")
+        warnings.warn(f"the classifier still moved after {max_iter} iterations", RuntimeWarning, stacklevel=3)
+    return PipelineModel([fitted, IndexToString(inputCol="y_hat", outputCol="prediction", labels=index.labels)])
+
+
+def with_features(rows: DataFrame) -> DataFrame:
+    """Add ``features``, the vector form of the array ``x``."""
+    from pyspark.ml.functions import array_to_vector
+
+    return rows.withColumn("features", array_to_vector("x"))
+
+
+def classify_nodes(
+    edges: DataFrame, features: DataFrame, labels: DataFrame, width: int,
+    rounds: int = 3, max_iter: int = 500, tol: float = 1e-6,
+) -> DataFrame:
+    """Node classification on smoothed features (simplified graph convolution, Wu et al. 2019).
+
+    ``labels`` has node, label and split; the model is that of :func:`fit_classifier`.
+    Returns ``(node, split, label, prediction)``.
+    """
+    smooth = smoothed_features(edges, features, width, rounds)
+    rows = materialise(smooth.join(labels, "node"), "labelled")
+    model = fit_classifier(rows, max_iter, tol)
+    return model.transform(with_features(rows)).select("node", "split", "label", "prediction")

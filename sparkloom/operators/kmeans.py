@@ -11,7 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors as vx
@@ -244,3 +244,19 @@ class KMeansJob:
         self.k = best_k(scores.where(F.col("phase") == "refine")).first()["k"]
         self.centroids = fit(points, self.k, self.rounds, self.seed)
         return anomalies(assign(points, self.centroids), self.rule)
+
+    def predict(self, points: DataFrame) -> DataFrame:
+        """Points with their cluster under the fitted centroids."""
+        return assign(points, self.centroids)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Store the fitted centroids as rows ``(cid, c)`` under ``path``, in place of what is there."""
+        rows = [(cid, [float(v) for v in c]) for cid, c in enumerate(self.centroids)]
+        spark.createDataFrame(rows, "cid int, c array<double>").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, **options) -> "KMeansJob":
+        job = cls(**options)
+        job.centroids = [r["c"] for r in spark.read.parquet(path).orderBy("cid").collect()]  # one per cluster
+        job.k = len(job.centroids)
+        return job

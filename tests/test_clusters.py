@@ -217,3 +217,13 @@ def test_blocks_of_centroids(monkeypatch):
     assert np.array_equal(at, gaps.argmin(axis=1)) and np.allclose(best, gaps.min(axis=1))
     total, near = distance.totals(x, c, np.zeros(50), np.full(50, np.inf))
     assert np.allclose(total, gaps.sum(axis=1)) and np.allclose(near, gaps.min(axis=1))
+
+
+def test_a_saved_model_predicts_alike(spark, points, tmp_path):
+    job = km.KMeansJob()
+    job.centroids = km.fit(points, 3)
+    for _ in range(2):  # a second save takes the place of the first
+        job.save(spark, str(tmp_path / "model"))
+    again = km.KMeansJob.load(spark, str(tmp_path / "model"))
+    assert again.k == 3 and np.array_equal(again.centroids, job.centroids)
+    assert sorted(again.predict(points).collect()) == sorted(km.assign(points, job.centroids).collect())

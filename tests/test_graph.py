@@ -229,6 +229,15 @@ def test_classification(spark):
         gr.classify_nodes(edges, features, labels, 2, rounds=2, max_iter=1)
 
 
+def test_a_saved_classifier_predicts_alike_and_needs_no_label(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    rows = spark.createDataFrame([(i, [float(i % 3), 1.0], "abc"[i % 3], "train") for i in range(30)], "node int, x array<double>, label string, split string")
+    gr.fit_classifier(rows).save(str(tmp_path / "classifier"))
+    scored = PipelineModel.load(str(tmp_path / "classifier")).transform(gr.with_features(rows.select("node", "x")))
+    assert {r["node"]: r["prediction"] for r in scored.collect()} == {i: "abc"[i % 3] for i in range(30)}
+
+
 def test_experiments(spark):
     runs = spark.createDataFrame([("pickdegG00R03",), ("pickG01R00",), ("other",)], "run string")
     models = spark.createDataFrame([("pick",), ("pickdeg",), ("Agg",)], "model string")
