@@ -121,8 +121,6 @@ def spanning_tree(edges: DataFrame, weight: str, u: str = "u", v: str = "v") ->
         )
         roots = _jump(materialise(hooks, "hooks"))
         active = materialise(_relabel(active, roots), "active")
-    else:
-        raise RuntimeError("spanning tree did not settle")
     if not chosen:
         return edges.select(u, v, weight).limit(0)
     edge = reduce(lambda a, b: a.unionByName(b), chosen).distinct()
