@@ -23,7 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of texts that share 0.8 of their five-word shingles."""
+    """Keep the document with the smallest id of each group of texts that share 0.8 of their five-word shingles.
+
+    SimHash and, beyond its radius, MinHash propose the pairs; exact overlaps decide.
+    """
     return simhash.one_of_each(docs, minhash.near_copies)
 
 

@@ -1,7 +1,10 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands, then exact overlaps.
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash and MinHash, then exact overlaps.
 
-Texts with equal words in lower case share a key. A key's MinHash values are cut into bands;
-keys that share a band are linked to the smallest of them, and components of these links are
+Texts with equal words in lower case share a key. Keys whose SimHash fingerprints (``simhash.links``,
+vantage-point trees) differ in at most three bits are linked. That radius finds nearly equal texts, and
+a radius for similarity 0.8 (some 14 of 64 bits) would leave the trees nothing to prune, so MinHash
+adds what lies further apart: a key's values are cut into bands, and keys that share a band are
+linked to the smallest of them. Components of these links are
 the candidates. At similarity 0.8 a pair shares no band with probability 5e-5. In each
 candidate group the overlaps of all pairs are counted on the whole shingle sets, from an
 inverted index of shingles, and only pairs at the wanted similarity are linked.
@@ -20,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm import simhash
 from sparkloom.operators.forest import components
 from sparkloom.session import materialise
 
@@ -72,7 +76,7 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, n, bands): n shingles; no bands for texts without words and null."""
+    """(doc_id, key, n, bands, fp): n shingles and their fingerprint; no bands for texts without words and null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,12 +98,13 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
             ends = np.cumsum([0, *(BANDS * (s > 0) for s in sizes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))],
-                ["doc_id", "key", "n", "bands"],
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
+                 pa.array(simhash.fingerprints(batch.column(1), words).view(np.int64))],
+                ["doc_id", "key", "n", "bands", "fp"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key bigint, n bigint, bands array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key bigint, n bigint, bands array<bigint>, fp bigint")
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -142,11 +147,22 @@ def similar_forest(sets: list[np.ndarray], own: list[int], asked: list[int], sim
     return out
 
 
+def fingerprint_stars(keys: DataFrame) -> DataFrame:
+    """(u, v): links between keys that connect those with near fingerprints."""
+    marks = keys.filter("n > 0").select("key", "fp")
+    heads = materialise(marks.groupBy("fp").agg(F.min("key").alias("head")), "distinct-fingerprints")
+    equal = marks.join(heads, "fp").filter("key != head").select(F.col("key").alias("u"), F.col("head").alias("v"))
+    ends = [heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_key")) for end in ("u", "v")]
+    near = simhash.links(heads.select("fp")).join(ends[0], "u").join(ends[1], "v").select(F.col("u_key").alias("u"), F.col("v_key").alias("v"))
+    return equal.unionByName(near)
+
+
 def similar_links(docs: DataFrame, keys: DataFrame, words: int, similarity: float) -> DataFrame:
     """(u, v): links between keys that connect what is similar."""
     rows = materialise(keys.select("key", "n", F.explode("bands").alias("band")), "bands")
     shared = rows.groupBy("band").agg(F.min("key").alias("v"), F.max("key").alias("most")).filter("v < most").select("band", "v")
-    stars = materialise(rows.join(shared, "band").filter("key != v").select(F.col("key").alias("u"), "v").distinct(), "candidates")
+    stars = rows.join(shared, "band").filter("key != v").select(F.col("key").alias("u"), "v")
+    stars = materialise(stars.unionByName(fingerprint_stars(keys)).distinct(), "candidates")
     groups = components(stars).withColumnRenamed("node", "key")
     groups = materialise(groups.join(keys.select("key", "n"), "key"), "candidate-groups")
     # a group with many keys or shingles is dealt over a grid of tasks
@@ -185,7 +201,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     if similarity < SIMILARITY:
         raise ValueError(f"similarity must be at least {SIMILARITY}: the bands miss more pairs below")
     marked = materialise(signed(docs, words), "signed")
-    keys = materialise(marked.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "keys")
+    keys = materialise(marked.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "keys")
     labels = components(materialise(similar_links(docs, keys, words, similarity), "similar"))
     joined = keys.select("key", "first").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = joined.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -38,17 +38,17 @@ BRUTE = 512  # shards of this size are compared pair by pair
 _FLUSH = 1 << 18  # shingles per numpy step
 
 
-def _hashes(text: bytes) -> list[int]:
+def _hashes(text: bytes, size: int = WORDS) -> list[int]:
     words = text.lower().split()  # lower() changes A-Z alone on bytes
     if not words:
         return []
-    shingles = map(b" ".join, zip(words, words[1:], words[2:])) if len(words) >= WORDS else [b" ".join(words)]
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(size)))) if len(words) >= size else [b" ".join(words)]
     hash64 = xxhash.xxh64_intdigest
     return [hash64(s, SEED) for s in shingles]
 
 
-def fingerprints(column: pa.Array) -> np.ndarray:
-    """One unsigned 64-bit fingerprint per text; zero for texts without words and null."""
+def fingerprints(column: pa.Array, words: int = WORDS) -> np.ndarray:
+    """One unsigned 64-bit fingerprint per text, of its ``words``-word shingles; zero for texts without words and null."""
     n = len(column)
     ones, total = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
     pending, owners, held = [], [], 0
@@ -63,7 +63,7 @@ def fingerprints(column: pa.Array) -> np.ndarray:
         np.add.at(total, owners, counts)
 
     for i, text in enumerate(column.cast(pa.large_binary())):
-        hashes = _hashes(text.as_py() or b"")
+        hashes = _hashes(text.as_py() or b"", words)
         for at in range(0, len(hashes), _FLUSH):
             part = np.array(hashes[at:at + _FLUSH], np.uint64)
             pending.append(part)

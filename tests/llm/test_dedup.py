@@ -3,9 +3,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkloom.llm import minhash, queries, simhash, substring
@@ -147,3 +149,19 @@ def test_every_window_has_a_counted_anchor(numbers):
     there = Counter(places.tolist())
     for window, n in Counter(zip(windows.tolist(), least.tolist())).items():
         assert there[window[1]] >= n
+
+
+def test_fingerprints_alone_propose_pairs(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in rng.integers(0, 10**6, 2000)]
+    other = [f"w{i}" for i in rng.integers(0, 10**6, 2000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "changed"]), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = minhash.signed(docs, 5)
+    fps = [r["fp"] for r in marked.orderBy("doc_id").collect()]
+    assert fps == simhash.fingerprints(pa.array(texts), 5).view(np.int64).tolist()
+    # no two keys share a band
+    keys = marked.withColumn("bands", F.array(F.col("key"))).drop("doc_id")
+    names = {r["key"]: r["doc_id"] for r in marked.collect()}
+    links = minhash.similar_links(docs, keys, 5, 0.8).collect()
+    assert {frozenset((names[r["u"]], names[r["v"]])) for r in links} == {frozenset((0, 1))}
