@@ -63,6 +63,47 @@ def closest(points: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return best, at
 
 
+def closest_index(points: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """The index that :func:`closest` gives, from a matrix product.
+
+    Rows whose two best squares differ by less than the product's rounding are measured again.
+    """
+    if len(points) and points.shape[1] != model.shape[1]:
+        raise ValueError(f"vectors have {points.shape[1]} components and the model has {model.shape[1]}")
+    at = np.zeros(len(points), "int32")
+    if len(model) == 1:
+        return at
+    sizes = np.einsum("ij,ij->i", model, model)
+    step = max(1, BLOCK_CELLS // len(model))
+    for start in range(0, len(points), step):
+        x = points[start : start + step]
+        norms = np.einsum("ij,ij->i", x, x)
+        if not (np.isfinite(norms).all() and np.isfinite(sizes).all()):
+            at[start : start + step] = closest(x, model)[1]
+            continue
+        best, second, own = np.full(len(x), np.inf), np.full(len(x), np.inf), at[start : start + step]
+        for j, gap in enumerate(sizes[:, None] - 2 * (model @ x.T)):
+            own[gap < best] = j
+            second = np.minimum(second, np.maximum(gap, best))
+            best = np.minimum(best, gap)
+        unsure = np.flatnonzero(second - best <= 16 * (x.shape[1] + 8) * np.finfo(float).eps * (norms + sizes.max()))
+        if len(unsure):
+            own[unsure] = closest(x[unsure], model)[1]
+    return at
+
+
+def cluster_sums(points: np.ndarray, cid: np.ndarray, clusters: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of rows and vector sum of every cluster."""
+    count = np.bincount(cid, minlength=clusters)
+    if not np.isfinite(points).all():
+        return count, np.stack([np.bincount(cid, weights=x, minlength=clusters) for x in points.T], axis=1)
+    total, names = np.zeros((clusters, points.shape[1])), np.arange(clusters)[:, None]
+    step = max(1, BLOCK_CELLS // clusters)
+    for start in range(0, len(points), step):
+        total += (cid[start : start + step] == names).astype(float) @ points[start : start + step]
+    return count, total
+
+
 def totals(points: np.ndarray, model: np.ndarray, total: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sum and minimum of the distances on top of earlier ones; the columns are added one by one, in seed order."""
     total = total.copy()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors as vx
-from sparkloom.functions.distance import as_matrix, closest, nearest, spread, totals
+from sparkloom.functions.distance import as_matrix, closest_index, cluster_sums, nearest, spread, totals
 from sparkloom.functions.uniform import draw_key
 from sparkloom.session import estimated_bytes, materialise
 
@@ -24,6 +24,9 @@ Centroids = list[list[float]]
 SPLIT_BYTES = 128 << 20
 TOLERANCE = 1e-9  # of a centroid's largest number; sums of doubles depend on the order of rows
 CARRY = 8  # seeds between two writes of the running distances
+PACKED_BYTES = 32 << 20  # of a row group of packed vectors
+PACKED_NUMBERS = 1 << 15  # in a row of packed vectors
+COLLECTED_NUMBERS = 1 << 22  # numbers of all tasks' sums that meet on the driver, 32 MB
 MEMORY = 8  # earlier states of a model that a new one is compared with
 
 
@@ -109,37 +112,92 @@ def cluster_means(assigned: DataFrame, width: int, keys: Sequence[str] = ("cid",
     return assigned.groupBy(*keys).agg(vx.mean_vector(F.col("x"), width).alias("c"))
 
 
-def _run_means(points: DataFrame, models: dict[int, Centroids]) -> DataFrame:
-    """``(run, cid, c)``: the new centroids of all models, from one scan.
+def _packed(points: DataFrame) -> DataFrame:
+    """The vectors as rows ``(n, x)``, n vectors at a time as the bytes of their numbers: a round's input is a copy of bytes."""
 
-    A task adds up its rows per run and cluster, so the shuffle carries tasks × centroids
-    vectors and no row of the points. One exchange serves both steps of the sum.
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = as_matrix(batch.column("x")).astype("<f8", copy=False)
+                step = max(1, PACKED_NUMBERS // max(1, x.shape[1]))
+                parts = [x[at : at + step] for at in range(0, len(x), step)]
+                yield pa.RecordBatch.from_arrays([pa.array([len(c) for c in parts]), pa.array([c.tobytes() for c in parts], pa.binary())], ["n", "x"])
+
+    blocks = points.select("x").mapInArrow(pack, "n bigint, x binary")
+    return materialise(blocks, "blocks", **{"parquet.block.size": PACKED_BYTES})
+
+
+def _round_sums(blocks: DataFrame, state: _Rounds) -> np.ndarray:
+    """:meth:`_Rounds.sums` of all blocks, from one scan.
+
+    A task adds up its rows, so tasks × centroids vectors leave the tasks and no row of the
+    points. Beyond ``COLLECTED_NUMBERS`` they are added up by a shuffle first.
+    """
+
+    def sums(batches):
+        own = state.sums(np.frombuffer(x.as_buffer(), "<f8").reshape(n, -1) for b in batches for n, x in zip(b.column("n").to_pylist(), b.column("x")))
+        at = np.flatnonzero(own[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(own[at]), pa.list_(pa.float64()))], ["at", "s"])
+
+    parts = blocks.mapInArrow(sums, "at bigint, s array<double>")
+    total = state.empty()
+    if state.tasks * total.size > COLLECTED_NUMBERS:
+        cells = parts.select("at", F.posexplode("s").alias("pos", "value")).groupBy("at", "pos").agg(F.sum("value").alias("value"))
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda c: c["value"])  # one number per component
+        parts = cells.groupBy("at").agg(ordered.alias("s"))
+    found = parts.toArrow()
+    if found.num_rows:
+        np.add.at(total, found.column("at").to_numpy(), as_matrix(found.column("s").combine_chunks()))
+    return total
+
+
+class _Means:
+    """``(run, cid, c)`` once collected: the new centroids of the clusters that have points."""
+
+    def __init__(self, parts: DataFrame):
+        self.parts = parts
+
+    def collect(self) -> list[dict]:
+        found: dict[tuple, list] = {}
+        for run, cid, n, s in zip(*self.parts.toArrow().to_pydict().values()):
+            known = found.setdefault((run, cid), [0, 0.0])
+            known[0] += n
+            known[1] += np.array(s)
+        return [{"run": run, "cid": cid, "c": (s / n).tolist()} for (run, cid), (n, s) in sorted(found.items())]
+
+
+def _run_means(blocks: DataFrame, models: dict[int, Centroids]) -> _Means:
+    """The new centroids of all models, from one scan.
+
+    A task adds up its rows per run and cluster, so tasks × centroids vectors leave the tasks
+    and no row of the points. Beyond ``COLLECTED_NUMBERS`` they are added up by a shuffle first.
     """
     known = {run: np.asarray(c, dtype=float) for run, c in models.items()}
 
     def sums(batches):
-        total = {run: np.zeros_like(c) for run, c in known.items()}
-        rows = {run: np.zeros(len(c), "int64") for run, c in known.items()}
+        found = {run: (np.zeros(len(c), "int64"), np.zeros_like(c)) for run, c in known.items()}
         for batch in batches:
-            if batch.num_rows:
-                x = as_matrix(batch.column("x"))
+            for n, data in zip(batch.column("n").to_pylist(), batch.column("x")):
+                x = np.frombuffer(data.as_buffer(), "<f8").reshape(n, -1)
                 for run, c in known.items():
-                    cid = closest(x, c)[1]
-                    for j in range(x.shape[1]):
-                        total[run][:, j] += np.bincount(cid, weights=x[:, j], minlength=len(c))
-                    rows[run] += np.bincount(cid, minlength=len(c))
-        for run in known:
-            used = np.flatnonzero(rows[run])
+                    for total, part in zip(found[run], cluster_sums(x, closest_index(x, c), len(c))):
+                        total += part
+        for run, (n, s) in found.items():
+            used = np.flatnonzero(n)
             yield pa.RecordBatch.from_pydict({
                 "run": pa.array(np.full(len(used), run, "int32")), "cid": pa.array(used.astype("int32")),
-                "n": pa.array(rows[run][used]), "s": pa.array(list(total[run][used]), pa.list_(pa.float64())),
+                "n": pa.array(n[used]), "s": pa.array(list(s[used]), pa.list_(pa.float64())),
             })
 
-    parts = points.select("x").mapInArrow(sums, "run int, cid int, n bigint, s array<double>").repartition("run", "cid")
-    cells = parts.select("run", "cid", "n", F.posexplode("s").alias("pos", "value"))
-    means = cells.groupBy("run", "cid", "pos").agg((F.sum("value") / F.sum("n")).alias("value"))
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "value")))  # one number per component
-    return means.groupBy("run", "cid").agg(ordered.alias("c")).select("run", "cid", F.col("c.value").alias("c"))
+    parts = blocks.mapInArrow(sums, "run int, cid int, n bigint, s array<double>")
+    # an input file or 32 MB of one gives a task's sums
+    tasks = max(len(blocks.inputFiles()), estimated_bytes(blocks) // PACKED_BYTES)
+    if tasks * sum(c.size for c in known.values()) > COLLECTED_NUMBERS:
+        cells = parts.select("run", "cid", "n", F.posexplode("s").alias("pos", "value"))
+        cells = cells.groupBy("run", "cid", "pos").agg(F.sum("n").alias("n"), F.sum("value").alias("value"))
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda c: c["value"])  # one number per component
+        parts = cells.groupBy("run", "cid").agg(F.first("n").alias("n"), ordered.alias("s"))
+    return _Means(parts)
 
 
 def lloyd_runs(
@@ -153,6 +211,7 @@ def lloyd_runs(
     last ``MEMORY`` states, as points midway between centroids can make it do when sums are
     rounded. With ``rounds``, runs still moving after that many are an error.
     """
+    blocks = _packed(points)
     now = {run: np.asarray(c, dtype=float) for run, c in models.items()}
     past = {run: [c] for run, c in now.items()}
     active = set(now)
@@ -163,7 +222,7 @@ def lloyd_runs(
         done += 1
         moving = {run: now[run] for run in sorted(active)}
         now.update({run: c.copy() for run, c in moving.items()})
-        for row in _run_means(points, moving).collect():  # one per centroid at most
+        for row in _run_means(blocks, moving).collect():  # one per centroid at most
             now[row["run"]][row["cid"]] = row["c"]
         for run in moving:
             bound = tol * max(1.0, np.abs(now[run]).max())

@@ -13,17 +13,19 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors as vx
-from sparkloom.functions.distance import as_matrix
+from sparkloom.functions.distance import BLOCK_CELLS, as_matrix
 from sparkloom.operators.kmeans import Centroids, assign_runs
 from sparkloom.session import materialise
 
-TILE_ROWS = 2000
+TILE_ROWS = 1 << 14
+TILE_NUMBERS = 1 << 21  # of a block's vectors
+SMALL_ROWS = 500
+CLOSE = 1e-4  # squares below this share of the two norms are measured without the product
 
 
 def score(own: Column, other: Column, size: Column) -> Column:
@@ -82,33 +84,39 @@ def squared_silhouette(assigned: DataFrame) -> DataFrame:
         *assigned.columns, score(F.col("g.own"), F.col("g.other"), F.col("g.size")).alias("sil"))
 
 
-def _tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Distance sums from each left row to each right (run, cluster)."""
-    a, b = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
-    gaps = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)) if a.shape[1] <= 8 else np.sqrt(
-        np.stack([((row - b) ** 2).sum(axis=1) for row in a]))
-    groups = right["clusters"].map(tuple).tolist()
-    labels = np.array(groups)  # one column per run
-    ids, runs, others, sums, counts = [], [], [], [], []
-    for run in range(labels.shape[1]):
-        for other in np.unique(labels[:, run]):
-            member = labels[:, run] == other
-            ids.append(left["id"].to_numpy())
-            sums.append(gaps[:, member].sum(axis=1))
-            runs.append(np.full(len(left), run))
-            others.append(np.full(len(left), other))
-            counts.append(np.full(len(left), member.sum()))
-    return pd.DataFrame({
-        "id": np.concatenate(ids), "slot": np.concatenate(runs), "other": np.concatenate(others),
-        "total": np.concatenate(sums), "n": np.concatenate(counts),
-    })
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all pairs by a matrix product; squares that it rounds too much are measured one by one."""
+    shift = a.mean(axis=0)
+    u, v = a - shift, b - shift
+    scale = np.einsum("ij,ij->i", u, u)[:, None] + np.einsum("ij,ij->i", v, v)
+    if not np.isfinite(scale).all():
+        return np.sqrt(np.stack([((row - b) ** 2).sum(axis=1) for row in a]))
+    squares = scale - 2 * (u @ v.T)
+    row, column = np.nonzero(squares <= CLOSE * scale)
+    step = max(1, BLOCK_CELLS // max(1, a.shape[1]))
+    for at in range(0, len(row), step):
+        i, j = row[at : at + step], column[at : at + step]
+        squares[i, j] = ((a[i] - b[j]) ** 2).sum(axis=1)
+    return np.sqrt(squares)
+
+
+def _tile_sums(a: np.ndarray, b: np.ndarray, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance sums from rows of ``a`` to the clusters of ``b`` and back; ``own`` and ``other`` mark the members."""
+    there, back = np.empty((len(a), other.shape[1])), np.zeros((len(b), own.shape[1]))
+    step = max(1, BLOCK_CELLS // len(b))
+    for at in range(0, len(a), step):
+        gaps = _distances(a[at : at + step], b)
+        there[at : at + step] = gaps @ other
+        back += gaps.T @ own[at : at + step]
+    return there, back
 
 
 def euclidean_silhouette(assigned: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``(run, id, cid, sil)`` with plain distances, exact.
 
-    Points are hashed into blocks of about ``tile_rows``. Every pair of blocks is one
-    group of bounded size; a group returns one sum per point, run and cluster.
+    Points are hashed into blocks of at most about ``tile_rows``, fewer if vectors are long. Every
+    unordered pair of blocks is one group of bounded size, in which each distance is measured
+    once; a group returns one row of sums per point.
     """
     runs = sorted(r["run"] for r in assigned.select("run").distinct().collect())
     per_point = materialise(
@@ -118,19 +126,37 @@ def euclidean_silhouette(assigned: DataFrame, tile_rows: int = TILE_ROWS) -> Dat
             .alias("clusters"),  # one entry per run
         ), "points",
     )
-    blocks = max(1, math.ceil(per_point.count() / tile_rows))
+    size = per_point.agg(F.count("*"), F.max(F.size("x"))).first()
+    counted = per_point.select(F.posexplode("clusters").alias("slot", "other")).groupBy("slot", "other").agg(F.count("*").alias("n"))
+    cells = [tuple(r) for r in counted.orderBy("slot", "other").collect()]  # one per run and cluster
+    slots, others = (np.array([c[k] for c in cells], int) for k in (0, 1))
+    rows = max(1, min(tile_rows, TILE_NUMBERS // max(1, size[1] or 1)))
+    cores = assigned.sparkSession.sparkContext.defaultParallelism
+    # enough pairs of blocks for all cores, unless the blocks get small
+    blocks = max(1, math.ceil(size[0] / rows), min(math.ceil(size[0] / SMALL_ROWS), math.isqrt(4 * cores)))
     mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = per_point.select("id", "x", mine.alias("i"), every.alias("j"))
-    right = per_point.select("x", "clusters", mine.alias("j"), every.alias("i"))
+    met = per_point.select("id", "x", "clusters", mine.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("met"))
+    met = met.select("id", "x", "clusters", "block", F.least("block", "met").alias("i"), F.greatest("block", "met").alias("j"))
+
+    def tile(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        block, i, j = (group.column(c).to_numpy() for c in ("block", "i", "j"))
+        left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+        if not len(left) or not len(right):
+            return pa.table({"id": group.column("id")[:0], "totals": pa.array([], pa.list_(pa.float64()))})
+        x = as_matrix(group.column("x").combine_chunks())
+        member = (as_matrix(group.column("clusters").combine_chunks())[:, slots] == others).astype(float)
+        there, back = _tile_sums(x[left], x[right], member[left], member[right])
+        at, totals = (left, there) if i[0] == j[0] else (np.r_[left, right], np.concatenate([there, back]))
+        return pa.table({"id": group.column("id").take(pa.array(at)), "totals": pa.array(list(totals), pa.list_(pa.float64()))})
+
     id_type = dict(assigned.dtypes)["id"]
-    sums = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(
-        lambda a, b: _tile(a, b) if len(a) and len(b) else _EMPTY,
-        f"id {id_type}, slot int, other int, total double, n bigint",
-    )
-    sums = sums.groupBy("id", "slot", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    run_of = F.element_at(F.array(*[F.lit(r) for r in runs]), F.col("slot") + 1)
-    joined = sums.withColumn("run", run_of).join(assigned.select("id", "run", "cid"), ["id", "run"])
+    sums = met.groupBy("i", "j").applyInArrow(tile, f"id {id_type}, totals array<double>")
+    sums = sums.groupBy("id").agg(vx.sum_vector(F.col("totals"), len(cells)).alias("totals"))
+    named = F.arrays_zip("totals", F.array(*[F.struct(F.lit(runs[slot]).alias("run"), F.lit(other).alias("other"), F.lit(n).cast("bigint").alias("n"))
+                                             for slot, other, n in cells]).alias("cell"))
+    joined = sums.select("id", F.explode(named).alias("c")).select("id", "c.cell.run", "c.cell.other", "c.cell.n", F.col("c.totals").alias("total"))
+    joined = joined.join(assigned.select("id", "run", "cid"), ["id", "run"])
     own = F.col("other") == F.col("cid")
     size = F.max(F.when(own, F.col("n")))
     return (
@@ -145,9 +171,6 @@ def euclidean_silhouette(assigned: DataFrame, tile_rows: int = TILE_ROWS) -> Dat
     )
 
 
-_EMPTY = pd.DataFrame({"id": [], "slot": [], "other": [], "total": [], "n": []})
-
-
 def silhouette(points: DataFrame, models: dict[int, Centroids], metric: str = "squared") -> DataFrame:
     assigned = assign_runs(points, models)
     if metric == "squared":

@@ -61,16 +61,16 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{app}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str = "table") -> DataFrame:
+def materialise(df: DataFrame, label: str = "table", **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage of iterative jobs, survives the loss of executors, and
     gives the planner the real size of the table, so that later joins broadcast
-    it only when it is small.
+    it only when it is small. ``options`` are those of the Parquet writer.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

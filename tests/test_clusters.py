@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import KMeansJob
+from sparkloom.functions import distance
 from sparkloom.operators import anomalies as an
 from sparkloom.operators import kmeans as km
 from sparkloom.operators import silhouette as si
@@ -227,3 +228,49 @@ def test_a_saved_model_predicts_alike(spark, points, tmp_path):
     again = km.KMeansJob.load(spark, str(tmp_path / "model"))
     assert again.k == 3 and np.array_equal(again.centroids, job.centroids)
     assert sorted(again.predict(points).collect()) == sorted(km.assign(points, job.centroids).collect())
+
+
+def test_closest_index_is_that_of_measured_distances():
+    rng = np.random.default_rng(3)
+    model = rng.normal(size=(7, 5)) + 1e6
+    between = (model[0] + model[1]) / 2 + rng.normal(size=(50, 5)) * 1e-9
+    x = np.concatenate([rng.normal(size=(500, 5)) + 1e6, model, between])
+    assert distance.closest_index(x, model).tolist() == distance.closest(x, model)[1].tolist()
+    count, total = distance.cluster_sums(x, np.arange(len(x)) % 3, 4)
+    assert count.tolist() == [186, 186, 185, 0] and np.allclose(total[1], x[1::3].sum(axis=0)) and not total[3].any()
+
+
+def test_rounds_read_packed_vectors_once(points, monkeypatch):
+    """A round is one job without a shuffle, whatever the number of models."""
+    models = {2: [[0.0, 0.0, 0.0], [1.0, 1.0, 1.0]], 1: [[0.0, 0.0, 0.0]]}
+    means = km._run_means(km._packed(points), models)
+    assert "Exchange" not in means.parts._jdf.queryExecution().executedPlan().toString()
+    few = {(r["run"], r["cid"]): r["c"] for r in means.collect()}
+    monkeypatch.setattr(km, "COLLECTED_NUMBERS", 0)
+    shuffled = km._run_means(km._packed(points), models)
+    assert "Exchange" in shuffled.parts._jdf.queryExecution().executedPlan().toString()
+    for r in shuffled.collect():
+        assert r["c"] == pytest.approx(few[r["run"], r["cid"]], rel=1e-12)
+
+
+def test_tile_distances_of_near_points_far_from_the_origin():
+    rng = np.random.default_rng(4)
+    a = rng.normal(size=(40, 6)) + 1e7
+    b = np.concatenate([a[:10], a[10:20] + 1e-6, rng.normal(size=(20, 6)) + 1e7])
+    want = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    assert np.allclose(si._distances(a, b), want, rtol=1e-9, atol=0)
+
+
+def test_tiles_measure_a_pair_once(spark, monkeypatch):
+    """Blocks follow the rows, and so do the rows that move: no more than rows times blocks."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 2))
+    rows = spark.createDataFrame([(i, 8, v.tolist(), i % 3) for i, v in enumerate(x)], "id int, run int, x array<double>, cid int")
+    one = {r["id"]: r["sil"] for r in si.euclidean_silhouette(rows).collect()}
+    monkeypatch.setattr(si, "TILE_NUMBERS", 80)
+    many = {r["id"]: r["sil"] for r in si.euclidean_silhouette(rows).collect()}
+    gaps = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for i in range(0, 300, 37):
+        means = [gaps[i, c::3].sum() / (100 - (c == i % 3)) for c in range(3)]
+        a, b = means[i % 3], min(m for c, m in enumerate(means) if c != i % 3)
+        assert one[i] == pytest.approx((b - a) / max(a, b), rel=1e-9) == pytest.approx(many[i], rel=1e-9)
