@@ -40,6 +40,7 @@ SAMPLE_ROWS = 3000  # labelled documents the machine learns from, at most
 SAMPLE_BYTES = 20_000  # longer texts are left out of the sample
 ROUNDS = 5
 STEM = 5  # letters of a stem
+BLOCK_BYTES = 8 << 20  # of features of words, as a dense block, in the driver at once
 WITNESSES = 4  # words that speak for a document in training
 THRESHOLD = 0.7
 FIRST_SHARE = 0.4  # least shrunk share of toxic documents for a first witness
@@ -63,7 +64,7 @@ def _norms(longest: int) -> np.ndarray:
 
 
 def _class_of(code: int) -> int:
-    letter = chr(code).lower()[:1]
+    letter = chr(code).upper().lower()[:1]  # a final sigma is a sigma
     if not letter.isalpha():
         return 0
     base = ord(unicodedata.normalize("NFD", letter)[0])
@@ -250,16 +251,17 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> ToxicityModel:
 
     vocabulary = sorted(set().union(*(w for w, _ in bags)))
     number_of = {w: i for i, w in enumerate(vocabulary)}
-    to_landmarks = np.zeros((len(vocabulary), len(landmarks)), np.float32)
-    step = 4000  # words at a time
+    z = np.zeros((len(vocabulary), half.shape[1]), np.float32)
+    step = max(1, BLOCK_BYTES // (1024 * len(columns))) * 256  # words at a time
+    right, narrow = phi.T.astype(np.float32), half.astype(np.float32)
     for a in range(0, len(vocabulary), step):
         owner, number, weight = _features(vocabulary[a:a + step])
         place = np.minimum(np.searchsorted(columns, number), len(columns) - 1)
         hit = columns[place] == number
         block = np.zeros((min(step, len(vocabulary) - a), len(columns)), np.float32)
         np.add.at(block, (owner[hit], place[hit]), weight[hit])
-        to_landmarks[a:a + step] = block @ phi.T.astype(np.float32)
-    z = to_landmarks @ half.astype(np.float32)
+        z[a:a + step] = block @ right @ narrow
+    del block
 
     members = [np.array([number_of[w] for w in words]) for words, _ in bags]
     # first witnesses: words that hold a string mostly met in toxic documents
@@ -280,7 +282,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> ToxicityModel:
         x, t = z[rows].astype(float), np.array(target)
         mass = np.where(t > 0, 0.5 / (t > 0).sum(), 0.5 / (t < 0).sum())
         w, shift = _svm(x, t, mass)
-        score = z @ w + shift
+        # a part at a time, as the product takes z in double precision
+        score = np.concatenate([z[a:a + step] @ w for a in range(0, len(z), step)]) + shift
         # the turn whose worst words tell the documents apart best is kept, the later one of equals
         parted = _separation(np.array([score[m].max() for m in members]), y)
         if parted >= best:

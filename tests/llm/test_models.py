@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -96,6 +97,18 @@ def test_toxicity_of_other_scripts_and_short_words(insult, alphabet):
     assert upper[labels].sum() > 90
 
 
+def test_toxicity_fit_holds_a_bounded_part_of_its_vocabulary():
+    rng = np.random.default_rng(4)
+    words = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (30_000, 10))]
+    texts = [" ".join([*words[i * 60:i * 60 + 60], *words[:8], *["blorpish"] * (i % 4 == 0)]) for i in range(500)]
+    tracemalloc.start()
+    model = toxicity.fit(texts, [int(i % 4 == 0) for i in range(500)])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80e6
+    assert model.scores(pa.array(["a blorpish day", "a river"])).round().tolist() == [1, 0]
+
+
 def test_letter_classes_match_characters():
     text = "Aé—ж Ж😀中𠀋z"
     want = []
