@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.operators.ranking import global_rank
+from sparkloom.functions.pairs import directions, unordered
 from sparkloom.session import materialise
 
 MERGE_ROUNDS = 16  # rounds whose deltas are read side by side
@@ -76,9 +77,8 @@ def markov_boundary(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     links = edges.select("parent", "child").distinct()
     up = links.select(F.col("child").alias("node"), F.col("parent").alias("member"))
     down = links.select(F.col("parent").alias("node"), F.col("child").alias("member"))
-    if of is not None:
-        wanted = of.select("node").distinct()
-        up, down = (d.join(wanted, "node", "left_semi") for d in (up, down))
+    wanted = of.select("node").distinct()
+    up, down = (d.join(wanted, "node", "left_semi") for d in (up, down))
     spouses = (
         down.select("node", F.col("member").alias("child")).join(links, "child")
         .select("node", F.col("parent").alias("member"))
@@ -88,6 +88,13 @@ def markov_boundary(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
 
 
 def topological_level(edges: DataFrame) -> DataFrame:
+    if of is None:
+        # a member's boundary holds the node too, so a pair is found and told apart once, in one direction
+        links = edges.select("parent", "child").repartition("child").distinct()
+        near = links.select(unordered("parent", "child").alias("p")).select("p.*")
+        other = links.select("child", F.col("parent").alias("hi"))
+        spouses = links.withColumnRenamed("parent", "lo").join(other, "child").where("lo < hi").select("lo", "hi")
+        return near.union(spouses).distinct().select(directions("node", "member").alias("e")).select("e.*")
     """``(node, level)``: length of the longest path from a root.
 
     Peels the graph: a node is free once all its parents are. A round follows the links of

@@ -234,3 +234,25 @@ def test_global_rank(spark):
     got = sorted((r["k"], r["rank"]) for r in global_rank(df, ["k"]).collect())
     assert [r for _, r in got] == list(range(1, 1001))
     assert [k for k, _ in got] == sorted(k for k, _ in got)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_markov_boundary_groups_a_pair_once(spark):
+    links = [("a", "b"), ("b", "c"), ("a", "c"), ("d", "c"), (None, "c"), ("c", None), ("e", "e"), ("a", "b")]
+    edges = spark.createDataFrame(links, "parent string, child string")
+    got = dag.markov_boundary(edges)
+    near = [(a, b) for a, b in links] + [("a", "d"), ("b", "d"), ("a", "b")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted({p for a, b in near for p in ((a, b), (b, a))}, key=str)
+    plan = plan_of(got)
+    assert plan.index("Generate") < plan.index("Aggregate")  # directions are told apart after the rows are grouped
+
+
+def test_ancestors_are_grouped_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(dag, "PART_ROWS", 10)
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(11)], "parent string, child string")
+    got = dag.ancestors(chain)
+    assert "RepartitionByExpression [node" in plan_of(got) and ", 7" in plan_of(got).split("RepartitionByExpression")[1].split("\n")[0]
+    assert got.count() == 66 and got.distinct().count() == 66
