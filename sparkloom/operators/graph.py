@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors as vx
 from sparkloom.functions.distance import as_matrix
+from sparkloom.functions.pairs import directions, unordered
 from sparkloom.functions.uniform import draw_key, uniform
 from sparkloom.operators.ranking import global_rank
 from sparkloom.operators.skew import SaltedEdges, salted_join
@@ -31,9 +32,10 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
 def fuse_edges(layers: DataFrame, undirected: bool = True) -> DataFrame:
     """Sum the weights of all layers; ``undirected`` averages both directions."""
     if undirected:
-        half = F.col("w") / 2
-        turned = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        layers = layers.select(F.explode(turned).alias("e"), half.alias("w")).select("e.src", "e.dst", "w")
+        # both directions have one sum, so a pair is grouped once
+        pairs = layers.select(unordered("src", "dst").alias("p"), (F.col("w") / 2).alias("w")).groupBy("p.lo", "p.hi").agg(F.sum("w").alias("w"))
+        whole = F.when(F.col("lo").eqNullSafe(F.col("hi")), F.col("w") * 2).otherwise(F.col("w")).cast(pairs.schema["w"].dataType)
+        return pairs.select(directions("src", "dst").alias("e"), whole.alias("w")).select("e.src", "e.dst", "w")
     return layers.groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 

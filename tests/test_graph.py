@@ -255,3 +255,13 @@ def test_experiments(spark):
         assert r["mean"] == pytest.approx(np.mean(per_graph[r["metric"]]))
         assert r["std"] == pytest.approx(np.std(per_graph[r["metric"]]))
     assert {r["step"] for r in ex.curves(results, every=2).collect()} == {0, 2, 4}
+
+
+def test_fuse_groups_a_pair_once(spark):
+    layers = spark.createDataFrame(
+        [(1, 2, 3.0), (2, 1, 1.0), (3, 3, 5.0), (None, 3, 2.0), (3, None, 1.0), (None, None, 7.0), (1, 2, 2.0)], "src int, dst int, w double")
+    fused = gr.fuse_edges(layers)
+    got = {(r["src"], r["dst"]): r["w"] for r in fused.collect()}
+    assert got == {(1, 2): 3.0, (2, 1): 3.0, (3, 3): 5.0, (None, 3): 1.5, (3, None): 1.5, (None, None): 7.0}
+    plan = fused._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # directions are told apart after the rows are grouped
