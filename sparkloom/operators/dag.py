@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.ranking import global_rank
 from sparkloom.functions.pairs import directions, unordered
+from sparkloom.operators.ranking import global_rank
 from sparkloom.session import materialise
 
 MERGE_ROUNDS = 16  # rounds whose deltas are read side by side
+PART_ROWS = 1 << 19  # rows that one task groups or sorts
+
+
+def _parts(df: DataFrame, rows: float) -> int:
+    """Partitions of about PART_ROWS of ``rows``, and no fewer than the session's."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / PART_ROWS))
+
+
+def _distinct(df: DataFrame, rows: float) -> DataFrame:
+    """Distinct rows of about ``rows``. They are dealt first, as a task that groups what it reads holds as much as it reads."""
+    return df.repartition(_parts(df, rows), *df.columns).distinct()
 
 
 def edges_from_lists(spec: DataFrame, parents: str = "parents", children: str = "children") -> DataFrame:
@@ -45,11 +57,13 @@ def ancestors(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """
     links = edges.select(F.col("child").alias("at"), F.col("parent").alias("ancestor")).distinct()
     links = materialise(links, "links")
+    # parents of a node that has any, on average: a round grows about so much
+    width = links.agg(F.count("*") / F.greatest(F.approx_count_distinct("at"), F.lit(1))).first()[0]
     first = links.withColumnRenamed("at", "node")
     if of is not None:
         first = first.join(of.select("node").distinct(), "node", "left_semi")
     fresh = materialise(first, "pairs")
-    found = []
+    found, total = [], 0
     while True:
         loops, pairs = fresh.agg(F.count_if(F.col("node") == F.col("ancestor")), F.count("*")).first()
         if loops:
@@ -57,13 +71,14 @@ def ancestors(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
         if not pairs:
             break
         found.append(fresh)
+        total += pairs
         step = fresh.select("node", F.col("ancestor").alias("at")).join(links, "at")
-        step = step.select("node", "ancestor").distinct()
+        step = _distinct(step.select("node", "ancestor"), pairs * width)
         if of is not None:
             known = reduce(lambda a, b: a.unionByName(b), found)
             step = step.join(known, ["node", "ancestor"], "left_anti")
         fresh = materialise(step, "pairs")
-    return reduce(lambda a, b: a.unionByName(b), found).distinct() if found else fresh
+    return _distinct(reduce(lambda a, b: a.unionByName(b), found), total) if found else fresh
 
 
 def relevant(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -74,6 +89,13 @@ def relevant(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
 def markov_boundary(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """``(node, member)``: parents, children and the children's other parents."""
+    if of is None:
+        # a member's boundary holds the node too, so a pair is found and told apart once, in one direction
+        links = edges.select("parent", "child").repartition("child").distinct()
+        near = links.select(unordered("parent", "child").alias("p")).select("p.*")
+        other = links.select("child", F.col("parent").alias("hi"))
+        spouses = links.withColumnRenamed("parent", "lo").join(other, "child").where("lo < hi").select("lo", "hi")
+        return near.union(spouses).distinct().select(directions("node", "member").alias("e")).select("e.*")
     links = edges.select("parent", "child").distinct()
     up = links.select(F.col("child").alias("node"), F.col("parent").alias("member"))
     down = links.select(F.col("parent").alias("node"), F.col("child").alias("member"))
@@ -88,13 +110,6 @@ def markov_boundary(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
 
 
 def topological_level(edges: DataFrame) -> DataFrame:
-    if of is None:
-        # a member's boundary holds the node too, so a pair is found and told apart once, in one direction
-        links = edges.select("parent", "child").repartition("child").distinct()
-        near = links.select(unordered("parent", "child").alias("p")).select("p.*")
-        other = links.select("child", F.col("parent").alias("hi"))
-        spouses = links.withColumnRenamed("parent", "lo").join(other, "child").where("lo < hi").select("lo", "hi")
-        return near.union(spouses).distinct().select(directions("node", "member").alias("e")).select("e.*")
     """``(node, level)``: length of the longest path from a root.
 
     Peels the graph: a node is free once all its parents are. A round follows the links of
