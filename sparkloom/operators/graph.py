@@ -15,11 +15,13 @@ from sparkloom.functions import vectors as vx
 from sparkloom.functions.distance import as_matrix
 from sparkloom.functions.pairs import directions, unordered
 from sparkloom.functions.uniform import draw_key, uniform
+from sparkloom.operators.blocks import EdgeBlocks, combined, dot
 from sparkloom.operators.ranking import global_rank
 from sparkloom.operators.skew import SaltedEdges, salted_join
 from sparkloom.session import materialise
 
 POWER_TOLERANCE = 1e-10
+DENSE_SAMPLES = 16
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -170,17 +172,25 @@ def _step(by_src: SaltedEdges, signal: DataFrame) -> DataFrame:
     )
 
 
-def diffuse(edges: DataFrame | SaltedEdges, signal: DataFrame, steps: int, **salting) -> DataFrame:
+def diffuse(edges: DataFrame | SaltedEdges | EdgeBlocks, signal: DataFrame, steps: int, **salting) -> DataFrame:
     """``(sample, t, node, value)`` for t = 0 … steps − 1, value at t is ``S^t x``.
 
-    The edges are stored once; each step sums map-side before it shuffles.
+    The edges are stored once, as blocks. Signals of more than ``DENSE_SAMPLES`` samples, which may be
+    sparse, are joined with the edges instead; each step sums map-side before it shuffles.
     """
-    by_src = SaltedEdges.of(edges, ["src", "dst", "w"], "src", "dst", **salting)
     at = materialise(signal.select("sample", "node", "value"), "signal")
     frames = [at]
-    for _ in range(steps - 1):
-        at = materialise(_step(by_src, at), "signal")
-        frames.append(at)
+    if at.select("sample").distinct().limit(DENSE_SAMPLES + 1).count() <= DENSE_SAMPLES:
+        blocks = EdgeBlocks.of(edges, **salting)
+        vector = blocks.vector(at)
+        for _ in range(steps - 1):
+            vector = materialise(blocks.product(vector), "vector")
+            frames.append(blocks.rows(vector))
+    else:
+        by_src = SaltedEdges.of(edges.frame if isinstance(edges, EdgeBlocks) else edges, ["src", "dst", "w"], "src", "dst", **salting)
+        for _ in range(steps - 1):
+            at = materialise(_step(by_src, at), "signal")
+            frames.append(at)
     return _union([f.withColumn("t", F.lit(t).cast("bigint")) for t, f in enumerate(frames)])
 
 
@@ -216,39 +226,35 @@ def local_max(edges: DataFrame | SaltedEdges, signal: DataFrame, hops: int, **sa
 
 
 def spectral_radius(
-    edges: DataFrame | SaltedEdges, tol: float = POWER_TOLERANCE, seed: int = 42, method: str = "lanczos", **salting
+    edges: DataFrame | SaltedEdges | EdgeBlocks, tol: float = POWER_TOLERANCE, seed: int = 42, method: str = "lanczos", **salting
 ) -> float:
     """Largest absolute eigenvalue of a symmetric table, 0 for a table without edges; ``lanczos`` or ``power`` iteration."""
-    by_src = SaltedEdges.of(edges, ["src", "dst", "w"], "src", "dst", **salting)
-    return {"lanczos": _lanczos, "power": _power}[method](by_src, tol, seed)
+    blocks = EdgeBlocks.of(edges, **salting)
+    return {"lanczos": _lanczos, "power": _power}[method](blocks, tol, seed)
 
 
-def _power(by_src: SaltedEdges, tol: float, seed: int) -> float:
+def _power(blocks: EdgeBlocks, tol: float, seed: int) -> float:
     """A unit vector is multiplied until the length of the product changes by ``tol`` of itself or less.
 
     The length never falls from round to round, so this ends, and it is right for the
     ±λ pairs of bipartite graphs too.
     """
-    start = (uniform(seed, F.col("node"), "power") - 0.5).alias("value")
-    at = by_src.frame.select(F.col("src").alias("node")).distinct().select("node", start)
+    at = blocks.start(lambda node: uniform(seed, node, "power") - 0.5)
 
     def length(frame: DataFrame) -> float:
-        return frame.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0] or 0.0
+        return frame.agg(F.sqrt(F.sum(dot("value", "value")))).first()[0] or 0.0
 
     now = length(at)
     while now:
         before = now
-        at = materialise(
-            by_src.join(at).groupBy(F.col("dst").alias("node"))
-            .agg(F.sum(F.col("value") * F.col("w") / before).alias("value")), "power"
-        )
+        at = materialise(blocks.divided(before).product(at), "power")
         now = length(at)
         if abs(now - before) <= tol * now:
             break
     return now
 
 
-def _lanczos(by_src: SaltedEdges, tol: float, seed: int) -> float:
+def _lanczos(blocks: EdgeBlocks, tol: float, seed: int) -> float:
     """A step multiplies the last vector by the table once and keeps the last two.
 
     The driver holds the tridiagonal matrix, two numbers per step. It ends when the residual of the
@@ -256,27 +262,32 @@ def _lanczos(by_src: SaltedEdges, tol: float, seed: int) -> float:
     the error of its value by ``tol`` of itself. Lost orthogonality repeats values that have
     been found but moves none.
     """
-    start = (uniform(seed, F.col("node"), "power") - 0.5).alias("now")
-    at = by_src.frame.select(F.col("src").alias("node")).distinct().select("node", start, F.lit(0.0).alias("before"))
-    length = at.agg(F.sqrt(F.sum(F.col("now") * F.col("now")))).first()[0]
+    at = blocks.start(lambda node: uniform(seed, node, "power") - 0.5)
+    length = at.agg(F.sqrt(F.sum(dot("value", "value")))).first()[0]
     if not length:
         return 0.0
-    at = at.select("node", (F.col("now") / length).alias("now"), "before")
+    at = at.select("seg", combined(1 / length, "value", 0.0, "value").alias("now"), combined(0.0, "value", 0.0, "value").alias("before"))
     diagonal, beside = [], [0.0]
     while True:
-        moved = by_src.join(at.select("node", F.col("now").alias("value"))).select(
-            F.col("dst").alias("node"), (F.col("value") * F.col("w")).alias("product"), F.lit(0.0).alias("now"), F.lit(0.0).alias("before")
-        )
+        moved = blocks.partials(at.select(F.lit(0).alias("sample"), "seg", F.col("now").alias("value"), F.lit(b"").alias("state")))
         # the product and the vectors it is reduced by meet in one shuffle
-        step = moved.unionByName(at.select("node", (-F.col("before") * beside[-1]).alias("product"), "now", "before"))
-        step = materialise(step.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("product", "now", "before"))), "lanczos")
-        diagonal.append(step.agg(F.sum(F.col("product") * F.col("now"))).first()[0])
-        rest = F.col("product") - F.col("now") * diagonal[-1]
-        beside.append(step.agg(F.sqrt(F.sum(rest * rest))).first()[0])
+        step = moved.select("seg", F.col("value").alias("product")).unionByName(
+            at.select("seg", combined(-beside[-1], "before", 0.0, "now").alias("product"), "now"), allowMissingColumns=True)
+        step = materialise(step.groupBy("seg").applyInArrow(_reduced, "seg int, product binary, now binary"), "lanczos")
+        diagonal.append(step.agg(F.sum(dot("product", "now"))).first()[0])
+        rest = combined(1.0, "product", -diagonal[-1], "now")
+        beside.append(step.agg(F.sqrt(F.sum(dot(rest, rest)))).first()[0])
         value, error = _outermost(diagonal, beside[1:])
         if error <= tol * value or beside[-1] <= 1e-14 * value:
             return value
-        at = step.select("node", (rest / beside[-1]).alias("now"), F.col("now").alias("before"))
+        at = step.select("seg", combined(1 / beside[-1], "product", -diagonal[-1] / beside[-1], "now").alias("now"), F.col("now").alias("before"))
+
+
+def _reduced(parts: pa.Table) -> pa.Table:
+    """The sum of a segment's products, beside the vector that was multiplied."""
+    total = sum(np.frombuffer(c.as_buffer()) for c in parts["product"])
+    now = parts["now"].drop_null()
+    return pa.table({"seg": parts["seg"].slice(0, 1), "product": pa.array([total.tobytes()], pa.binary()), "now": now})
 
 
 def _outermost(diagonal: list[float], beside: list[float]) -> tuple[float, float]:
@@ -289,10 +300,12 @@ def _outermost(diagonal: list[float], beside: list[float]) -> tuple[float, float
     return abs(ritz[end]), min(residual, residual ** 2 / gap) if gap > 10 * residual else residual
 
 
-def scaled_edges(edges: DataFrame | SaltedEdges, tol: float = POWER_TOLERANCE, seed: int = 42, method: str = "lanczos") -> SaltedEdges:
+def scaled_edges(
+    edges: DataFrame | SaltedEdges | EdgeBlocks, tol: float = POWER_TOLERANCE, seed: int = 42, method: str = "lanczos"
+) -> EdgeBlocks:
     """Edges divided by their spectral radius, stored and ready for diffusion."""
-    by_src = SaltedEdges.of(edges, ["src", "dst", "w"], "src", "dst")
-    return by_src.with_weight(F.col("w") / spectral_radius(by_src, tol, seed, method))
+    blocks = EdgeBlocks.of(edges)
+    return blocks.divided(spectral_radius(blocks, tol, seed, method))
 
 
 def spectral_scale(edges: DataFrame, tol: float = POWER_TOLERANCE, seed: int = 42) -> DataFrame:
@@ -320,7 +333,7 @@ def laplacian(edges: DataFrame | SaltedEdges) -> DataFrame:
 
 def rescaled_laplacian(edges: DataFrame, tol: float = POWER_TOLERANCE, seed: int = 42) -> DataFrame:
     """``2 L / λmax − I``."""
-    table = SaltedEdges(laplacian(edges), "src", "dst")
+    table = EdgeBlocks(laplacian(edges))
     top = spectral_radius(table, tol, seed)
     one = F.when(F.col("src") == F.col("dst"), 1.0).otherwise(0.0)
     return table.frame.select("src", "dst", (F.col("w") * 2 / top - one).alias("w"))

@@ -79,12 +79,15 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def materialise_bucketed(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """Like :func:`materialise`, hashed into buckets: joins on ``keys`` need no shuffle of it."""
+def materialise_bucketed(df: DataFrame, keys: list[str], buckets: int, dealt: bool = False) -> DataFrame:
+    """Like :func:`materialise`, hashed into buckets: joins on ``keys`` need no shuffle of it.
+
+    Rows that are ``dealt`` by the keys already are written where they are.
+    """
     spark = df.sparkSession
     name = f"sparkloom_{uuid.uuid4().hex}"
     (
-        df.repartition(buckets, *keys)  # one file per bucket
+        (df if dealt else df.repartition(buckets, *keys))  # one file per bucket
         .write.bucketBy(buckets, *keys).sortBy(*keys)
         .option("path", new_path(spark, "buckets"))
         .saveAsTable(name)
