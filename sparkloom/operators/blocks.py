@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import copy
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,8 @@ SEGMENT_NODES = 4_000_000
 MAX_SPLITS = 1 << 20
 ABSENT, NULL, VALUE = 0, 1, 2  # state of a node in a vector
 VECTOR = "seg int, value binary, state binary"  # no state: every node has a value
-BLOCK = pa.schema([("block", pa.int64()), ("seg", pa.int32()), ("size", pa.int32()), *((c, pa.binary()) for c in ("src", "dst", "w", "known"))])
+BLOCK = pa.schema([("block", pa.int64()), ("seg", pa.int32()), ("size", pa.int32()), ("sources", pa.int32()), *((c, pa.binary()) for c in ("src", "dst", "w", "known"))])
+BLOCK_DDL = "block bigint, seg int, size int, sources int, src binary, dst binary, w binary, known binary"
 
 
 class EdgeBlocks:
@@ -53,20 +54,19 @@ class EdgeBlocks:
         linked = edges.where(F.col("src").isNotNull()).withColumn("pair", pair)
         counts = linked.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") > min_hot_rows).collect()
         self.splits = {r["pair"]: min(MAX_SPLITS, -(-r["n"] // min_hot_rows)) for r in counts}
-        split = F.pmod(F.xxhash64("dst", "src"), self._splits(F.col("pair")))  # equal edges stay together
+        # equal edges stay together, those of a node with itself in the first
+        split = F.when(F.col("src") == F.col("dst"), 0).otherwise(F.pmod(F.xxhash64("dst", "src"), self._splits(F.col("pair"))))
         dealt = linked.select((F.col("pair").cast("bigint") * MAX_SPLITS + split).alias("block"), F.col("src").cast(self.node_type).alias("src"),
                               F.col("dst").cast(self.node_type).alias("dst"), F.col("w").cast("double").alias("w"))
-        names = self.nodes.select("seg", "node")
-        ends = self._to_blocks(names, True).withColumn("source", F.lit(True)).unionByName(
-            self._to_blocks(names, False).withColumn("source", F.lit(False)))
         groups = self.groups
 
         def packed(some: pa.Table, names: pa.Table) -> pa.Table:
             return _packed(some, names, groups)
 
-        packed = dealt.groupBy("block").cogroup(ends.groupBy("block")).applyInArrow(
-            packed, "block bigint, seg int, size int, src binary, dst binary, w binary, known binary")
-        self.blocks = materialise_bucketed(packed, ["block"], self.parts, dealt=True)
+        self._store(dealt.groupBy("block").cogroup(self._to_both(self.nodes.select("seg", "node"))).applyInArrow(packed, BLOCK_DDL))
+
+    def _store(self, blocks: DataFrame) -> None:
+        self.blocks = materialise_bucketed(blocks, ["block"], self.parts, dealt=True)
 
     @classmethod
     def of(cls, edges: DataFrame | SaltedEdges | EdgeBlocks, min_hot_rows: int = BLOCK_EDGES, **salting) -> EdgeBlocks:
@@ -104,6 +104,11 @@ class EdgeBlocks:
         return dealt.withColumn("block", F.col("__pair").cast("bigint") * MAX_SPLITS + F.col("__split")).drop(
             "seg", "__other", "__pair", "__split")
 
+    def _to_both(self, rows: DataFrame):
+        """``rows`` of a segment for each block with an end in it, ``source`` says which, grouped by block."""
+        sent = self._to_blocks(rows, True).withColumn("source", F.lit(True))
+        return sent.unionByName(self._to_blocks(rows, False).withColumn("source", F.lit(False))).groupBy("block")
+
     def partials(self, vector: DataFrame) -> DataFrame:
         """Products of the blocks with ``vector`` (sample, seg, value, state); their sum by segment is the product."""
         kind, divisor = vector.schema["sample"].dataType.simpleString(), self.divisor
@@ -119,6 +124,35 @@ class EdgeBlocks:
         kind = vector.schema["sample"].dataType.simpleString()
         return self.partials(vector).groupBy("sample", "seg").applyInArrow(_summed, f"sample {kind}, {VECTOR}")
 
+    def degrees(self) -> DataFrame:
+        """The sum of the weights out of each node, as a vector."""
+        groups, divisor = self.groups, self.divisor
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _out_weights(pa.Table.from_batches([batch]), groups, divisor).to_batches()
+
+        return self.blocks.mapInArrow(parts, f"sample int, {VECTOR}").groupBy("sample", "seg").applyInArrow(_summed, f"sample int, {VECTOR}")
+
+    def laplacian(self) -> EdgeBlocks:
+        """The blocks of ``I − D^-1/2 S D^-1/2``; equal edges are added up, and the table's rows are read from its blocks."""
+        degrees = materialise(self.degrees().select("seg", "value", "state"), "degree")
+        groups, divisor = self.groups, self.divisor
+
+        def scaled(blocks: pa.Table, ends: pa.Table) -> pa.Table:
+            return _laplacian(blocks, ends, groups, divisor)
+
+        other = copy.copy(self)
+        other.divisor = 1.0
+        other._store(self.blocks.groupBy("block").cogroup(self._to_both(degrees)).applyInArrow(scaled, BLOCK_DDL))
+        kind = self.node_type.simpleString()
+        rows = other.blocks.groupBy("block").cogroup(self._to_both(self.nodes.select("seg", "node"))).applyInArrow(
+            _unpacked, f"src {kind}, dst {kind}, w double")
+        # a node without a name has a degree, so a diagonal, but is joined to nothing
+        unnamed = self.edges.where(F.col("src").isNull()).limit(1).select(F.lit(None).cast(kind).alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(1.0).alias("w"))
+        other.edges = rows.union(unnamed)
+        return other
+
     def vector(self, signal: DataFrame) -> DataFrame:
         """Rows (sample, node, value) as a vector; nodes without an edge have no place in it."""
         kind = signal.schema["sample"].dataType.simpleString()
@@ -181,7 +215,7 @@ def _packed(edges: pa.Table, ends: pa.Table, groups: int) -> pa.Table:
     weight, block = edges["w"], edges["block"][0].as_py()
     known = pc.is_valid(weight).to_numpy()[order].tobytes() if weight.null_count else b""
     weight = pc.fill_null(weight, 0.0).to_numpy()[order].tobytes()
-    cells = [block, block // MAX_SPLITS % groups, len(of[False]), src[order].tobytes(), dst[order].tobytes(), weight, known]
+    cells = [block, block // MAX_SPLITS % groups, len(of[False]), len(of[True]), src[order].tobytes(), dst[order].tobytes(), weight, known]
     return pa.table([[c] for c in cells], schema=BLOCK)
 
 
@@ -214,6 +248,67 @@ def _products(blocks: pa.Table, vectors: pa.Table, divisor: float) -> pa.Table:
     return _vector_rows(out, vectors.schema.field("sample").type)
 
 
+def _out_weights(blocks: pa.Table, groups: int, divisor: float) -> pa.Table:
+    out = []
+    for block in range(blocks.num_rows):
+        seg, size = blocks["block"][block].as_py() // MAX_SPLITS // groups, blocks["sources"][block].as_py()
+        src, weight, known = _numbers(blocks["src"][block], np.int32), _numbers(blocks["w"][block], float), _numbers(blocks["known"][block], bool)
+        state = np.zeros(size, np.uint8)
+        state[src] = NULL if len(known) else VALUE
+        state[src[known] if len(known) else src[:0]] = VALUE
+        out.append((pa.scalar(0, pa.int32()), seg, np.bincount(src, weight / divisor, size), state))  # unknown weights are stored as 0
+    return _vector_rows(out, pa.int32())
+
+
+def _laplacian(blocks: pa.Table, ends: pa.Table, groups: int, divisor: float) -> pa.Table:
+    """A block of the Laplacian, made from that of the table and the degrees at its ends."""
+    block = (blocks if blocks.num_rows else ends)["block"][0].as_py()
+    pair, split = divmod(block, MAX_SPLITS)
+    rows = {s: ends.filter(pc.equal(ends["source"], s)) for s in (True, False)}
+    value = {s: _numbers(t["value"][0], float) if t.num_rows else None for s, t in rows.items()}
+    state = {s: _numbers(t["state"][0], np.uint8) if t.num_rows else None for s, t in rows.items()}
+    src = dst = np.zeros(0, np.int32)
+    weight, known = np.zeros(0), np.zeros(0, bool)
+    if blocks.num_rows:
+        src, dst = (_numbers(blocks[c][0], np.int32) for c in ("src", "dst"))
+        if value[False] is None or (state[False][dst] != VALUE).any():
+            raise ValueError("the edge table lacks the other direction of an edge")
+        weight, known = _numbers(blocks["w"][0], float) / divisor, _numbers(blocks["known"][0], bool)
+        known = (known if len(known) else np.ones(len(src), bool)) & (state[True][src] == VALUE)
+        with np.errstate(invalid="ignore"):
+            root = np.sqrt(value[True][src] * value[False][dst])
+        if (root[known] == 0).any():
+            raise ZeroDivisionError("the degree of a node with an edge is 0")
+        weight = np.divide(-weight, root, out=np.zeros(len(src)), where=known)
+    if pair // groups == pair % groups and split == 0 and value[True] is not None:
+        place = np.flatnonzero(state[True]).astype(np.int32)
+        src, dst = np.concatenate([src, place]), np.concatenate([dst, place])
+        weight, known = np.concatenate([weight, np.ones(len(place))]), np.concatenate([known, np.ones(len(place), bool)])
+    if not len(src):
+        return BLOCK.empty_table()
+    sources, size = len(value[True]), blocks["size"][0].as_py() if blocks.num_rows else len(value[False])
+    edge = dst.astype(np.int64) * sources + src
+    order = np.argsort(edge, kind="stable")
+    edge = edge[order]
+    first = np.flatnonzero(np.concatenate([[True], edge[1:] != edge[:-1]]))
+    src, dst = (edge[first] % sources).astype(np.int32), (edge[first] // sources).astype(np.int32)
+    weight, known = np.add.reduceat(weight[order], first), np.logical_or.reduceat(known[order], first)
+    cells = [block, pair % groups, size, sources, src.tobytes(), dst.tobytes(), weight.tobytes(), b"" if known.all() else known.tobytes()]
+    return pa.table([[c] for c in cells], schema=BLOCK)
+
+
+def _unpacked(blocks: pa.Table, ends: pa.Table) -> pa.Table:
+    """The edges of a block by name."""
+    of = {s: _members(t["node"]) for s in (True, False) if (t := ends.filter(pc.equal(ends["source"], s))).num_rows}
+    tables = [pa.table({"src": pa.array([], t), "dst": pa.array([], t), "w": pa.array([], pa.float64())}) for t in [ends.schema.field("node").type.value_type]]
+    for k in range(blocks.num_rows):
+        src, dst = (pa.array(_numbers(blocks[c][k], np.int32)) for c in ("src", "dst"))
+        known = _numbers(blocks["known"][k], bool)
+        w = pa.array(_numbers(blocks["w"][k], float), mask=~known if len(known) else None)
+        tables.append(pa.table({"src": of[True].take(src), "dst": of[False].take(dst), "w": w}))
+    return pa.concat_tables(tables)
+
+
 def _vector_rows(rows: list, kind: pa.DataType) -> pa.Table:
     samples = pa.array([r[0].as_py() for r in rows], kind)
     columns = [pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[i].tobytes() for r in rows], pa.binary()) for i in (2, 3))]

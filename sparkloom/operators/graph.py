@@ -17,7 +17,7 @@ from sparkloom.functions.pairs import directions, unordered
 from sparkloom.functions.uniform import draw_key, uniform
 from sparkloom.operators.blocks import EdgeBlocks, combined, dot
 from sparkloom.operators.ranking import global_rank
-from sparkloom.operators.skew import SaltedEdges, salted_join
+from sparkloom.operators.skew import SaltedEdges
 from sparkloom.session import materialise
 
 POWER_TOLERANCE = 1e-10
@@ -313,27 +313,18 @@ def spectral_scale(edges: DataFrame, tol: float = POWER_TOLERANCE, seed: int = 4
     return scaled_edges(edges, tol, seed).frame.select("src", "dst", "w")
 
 
-def laplacian(edges: DataFrame | SaltedEdges) -> DataFrame:
+def laplacian(edges: DataFrame | SaltedEdges | EdgeBlocks) -> DataFrame:
     """Normalised Laplacian ``I − D^-1/2 S D^-1/2`` as an edge table with its diagonal.
 
     The table holds both directions of every edge; a one-way edge to a node without edges of
     its own has no degree to divide by and is an error.
     """
-    by_src = SaltedEdges.of(edges, ["src", "dst", "w"], "src", "dst")
-    degrees = materialise(degree(by_src.frame).select("node", "degree"), "degree")
-    known = F.coalesce(F.col("dd"), F.raise_error(F.lit("the edge table lacks the other direction of an edge")).cast("double"))
-    off = by_src.join(degrees.withColumnRenamed("degree", "ds"))
-    # both directions are there, so the nodes with many edges out have as many edges in
-    off = salted_join(off, degrees.withColumnRenamed("degree", "dd"), "dst", "src", by_src.hot, "left").select(
-        "src", "dst", (-F.col("w") / F.sqrt(F.col("ds") * known)).alias("w")
-    )
-    diagonal = degrees.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(1.0).alias("w"))
-    return off.union(diagonal).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return EdgeBlocks.of(edges).laplacian().frame
 
 
-def rescaled_laplacian(edges: DataFrame, tol: float = POWER_TOLERANCE, seed: int = 42) -> DataFrame:
+def rescaled_laplacian(edges: DataFrame | SaltedEdges | EdgeBlocks, tol: float = POWER_TOLERANCE, seed: int = 42) -> DataFrame:
     """``2 L / λmax − I``."""
-    table = EdgeBlocks(laplacian(edges))
+    table = EdgeBlocks.of(edges).laplacian()
     top = spectral_radius(table, tol, seed)
     one = F.when(F.col("src") == F.col("dst"), 1.0).otherwise(0.0)
     return table.frame.select("src", "dst", (F.col("w") * 2 / top - one).alias("w"))

@@ -30,6 +30,36 @@ def test_products_of_blocks_are_those_of_the_join(spark, rows, min_hot_rows):
         gr._step(SaltedEdges.of(edges.withColumn("w", F.col("w") / 4), ["src", "dst", "w"], "src", "dst"), signal))
 
 
+@pytest.mark.parametrize("min_hot_rows", [10**6, 3])
+def test_laplacian_of_blocks(spark, rows, min_hot_rows):
+    pairs = [(0, 1, 2.0), (1, 2, 1.0), (1, 2, 3.0), (2, 3, None), (0, 4, .5), (3, 4, 1.0), (5, 5, 2.0), (0, 5, 1.0), *((i, i + 1, 1.5) for i in range(6, 40))]
+    both = [e for i, j, w in pairs for e in {(i, j, w), (j, i, w)}]
+    degree, want = {}, {}
+    for i, _, w in both:
+        degree[i] = degree.get(i, 0) + (w or 0)
+    for i, j, w in both:
+        term = None if w is None else -w / (degree[i] * degree[j]) ** .5
+        want[i, j] = term if want.get((i, j)) is None else want[i, j] + (term or 0)
+    want |= {(i, i): 1.0 + want.get((i, i), 0) for i in degree}
+    edges = spark.createDataFrame(both, "src int, dst int, w double")
+    cut = EdgeBlocks(edges, min_hot_rows)
+    assert rows(gr.laplacian(cut)) == sorted(((i, j, w if w is None else round(w, 9)) for (i, j), w in want.items()), key=repr)
+
+
+def test_laplacian_of_unnamed_and_one_way_edges(spark, rows):
+    edges = spark.createDataFrame([(0, 1, 2.0), (1, 0, 2.0)], "src int, dst int, w double")
+    unnamed = edges.union(spark.createDataFrame([(None, 1, 1.0)], edges.schema))
+    assert (None, None, 1.0) in rows(gr.laplacian(unnamed))
+    with pytest.raises(Exception, match="lacks the other direction"):
+        gr.laplacian(edges.union(spark.createDataFrame([(1, 99, 1.0)], edges.schema))).count()
+
+
+def test_the_laplacian_deals_its_edges_once(spark):
+    edges = spark.createDataFrame([(i, (i + k) % 50, 1.0) for i in range(50) for k in (1, 7, 43, 49)], "src int, dst int, w double")
+    plan = gr.laplacian(edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan  # its rows are read from blocks
+
+
 def test_text_nodes_and_many_samples(spark, rows, monkeypatch):
     edges = spark.createDataFrame([("x", "y", 2.0), ("y", "x", 2.0), ("y", "z", 1.0), ("z", "y", 1.0)], "src string, dst string, w double")
     signal = spark.createDataFrame([(1, "x", 1.0), (2, "z", 3.0)], "sample int, node string, value double")
