@@ -74,13 +74,3 @@ def _repeated(rows: DataFrame, key: str, hot: list) -> DataFrame:
     """``rows`` with a salt; those of hot nodes once per salt."""
     salts = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SPREAD - 1)))
     return rows.withColumn("__salt", F.explode(F.coalesce(salts, F.array(F.lit(0)))))
-
-
-def salted_join(edges: DataFrame, rows: DataFrame, key: str, other: str, hot: list, how: str = "inner", node: str = "node") -> DataFrame:
-    """Join of ``edges`` with ``rows`` on ``key = node``, for one use; edges of the ``hot`` nodes are spread."""
-    rows = rows.withColumnRenamed(node, key)
-    if not hot:
-        return edges.join(rows, key, how)
-    salt = F.pmod(F.xxhash64(other), F.lit(SPREAD)).cast("int")
-    edges = edges.withColumn("__salt", F.when(F.col(key).isin(hot), salt).otherwise(0))
-    return edges.join(_repeated(rows, key, hot), [key, "__salt"], how).drop("__salt")
