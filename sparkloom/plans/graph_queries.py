@@ -105,8 +105,13 @@ def _signal(spark, root):
         F.lit(0).cast("bigint").alias("sample"), "node", F.col("x")[0].alias("value"))
 
 
-def _diffused(spark, root):
-    return gr.diffuse(_scaled(spark, root), _signal(spark, root), len(TAPS))
+def _diffused(spark, root, steps=len(TAPS), method="lanczos"):
+    return gr.diffuse(_scaled(spark, root, method), _signal(spark, root), steps)
+
+
+def diffuse(spark, root):
+    # an error of the radius counts once per step, so it is found by the same iteration as in the SQL
+    return _rounded(_diffused(spark, root, STEPS, "power").drop("sample"), "value")
 
 
 def shift(spark, root):
@@ -199,7 +204,7 @@ QUERIES = {
     "gr_fuse_edges": lambda s, d: _rounded(fuse(s, d)),
     "gr_spectral_scale": lambda s, d: _rounded(gr.spectral_scale(trade_edges(s, d), seed=SEED), digits=9),
     "gr_laplacian": lambda s, d: _rounded(gr.rescaled_laplacian(trade_edges(s, d), seed=SEED), digits=9),
-    "gr_diffuse": lambda s, d: _rounded(_diffused(s, d).drop("sample"), "value"),
+    "gr_diffuse": diffuse,
     "gr_shift_features": shift,
     "gr_filter": lambda s, d: _rounded(gr.filtered(_diffused(s, d), TAPS).drop("sample"), "value"),
     "gr_source_dataset": source_data_set,
@@ -267,7 +272,8 @@ def _steps(start: str, steps: int) -> str:
     return ", ".join(ctes) + f", diffused AS ({every})"
 
 
-_DIFFUSED = f"{_SCALED}, {_FEATURES}, {_steps('SELECT 0 AS sample, node, x0 AS value FROM features', len(TAPS))}"
+_SIGNAL = "SELECT 0 AS sample, node, x0 AS value FROM features"
+_DIFFUSED = f"{_SCALED}, {_FEATURES}, {_steps(_SIGNAL, len(TAPS))}"
 _TAP_CASE = "CASE t " + " ".join(f"WHEN {k} THEN {h}" for k, h in enumerate(TAPS)) + " END"
 
 
@@ -340,7 +346,7 @@ SQL = {
         SELECT src, dst, -w / sqrt(a.degree * b.degree) AS w FROM edges JOIN degrees a ON a.node = src JOIN degrees b ON b.node = dst
         UNION ALL SELECT node, node, 1.0 FROM degrees), {_power('lap', 'pw')}
         SELECT src, dst, round(w * 2 / radius - CASE WHEN src = dst THEN 1 ELSE 0 END, 9) AS w FROM lap, pw""",
-    "gr_diffuse": f"{_DIFFUSED} SELECT t, node, round(value, 6) AS value FROM diffused",
+    "gr_diffuse": f"{_SCALED}, {_FEATURES}, {_steps(_SIGNAL, STEPS)} SELECT t, node, round(value, 6) AS value FROM diffused",
     "gr_shift_features": f"{_DIFFUSED} SELECT node, " + ", ".join(
         f"round(coalesce(sum(value) FILTER (t = {k}), 0), 6) AS s{k}" for k in range(len(TAPS))) + " FROM diffused GROUP BY node",
     "gr_filter": f"{_DIFFUSED} SELECT node, round(sum(value * {_TAP_CASE}), 6) AS value FROM diffused GROUP BY node",

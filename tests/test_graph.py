@@ -265,3 +265,27 @@ def test_fuse_groups_a_pair_once(spark):
     assert got == {(1, 2): 3.0, (2, 1): 3.0, (3, 3): 5.0, (None, 3): 1.5, (3, None): 1.5, (None, None): 7.0}
     plan = fused._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")  # directions are told apart after the rows are grouped
+
+
+def test_the_registered_diffusion_reaches_all_times(spark, tmp_path, monkeypatch):
+    """The original's tMax is 25: S^t x for every t below it, not only for as many as a filter has taps."""
+    from sparkloom.plans import graph_queries
+
+    pairs = [(1, 1), (1, 2), (2, 1), (2, 2), (3, 2), (3, 2)]
+    spark.createDataFrame(pairs, "l_partkey bigint, l_suppkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 16 * k, 900.0) for k in (1, 2, 3)], "p_partkey bigint, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, 8 * k, 100.0) for k in (1, 2)], "s_suppkey bigint, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    nodes = [2, 4, 6, 3, 5]
+    s = np.zeros((5, 5))
+    for part, supplier in pairs:
+        i, j = nodes.index(2 * part), nodes.index(2 * supplier + 1)
+        s[i, j] += 1
+        s[j, i] += 1
+    s /= np.abs(np.linalg.eigvalsh(s)).max()
+    scaled = [(nodes[i], nodes[j], float(s[i, j])) for i in range(5) for j in range(5) if s[i, j]]
+    monkeypatch.setattr(graph_queries, "_scaled", lambda *_: spark.createDataFrame(scaled, "src bigint, dst bigint, w double"))
+    got = {(r["t"], r["node"]): r["value"] for r in graph_queries.QUERIES["gr_diffuse"](spark, str(tmp_path)).collect()}
+    x = np.array([.25, .5, .75, .25, .5])
+    for t in range(25):
+        assert [got.pop((t, n)) for n in nodes] == pytest.approx((np.linalg.matrix_power(s, t) @ x).tolist(), abs=2e-6)
+    assert not got
