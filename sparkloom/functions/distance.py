@@ -68,11 +68,19 @@ def closest_index(points: np.ndarray, model: np.ndarray) -> np.ndarray:
 
     Rows whose two best squares differ by less than the product's rounding are measured again.
     """
+    return closest_margin(points, model)[0]
+
+
+def closest_margin(points: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index of :func:`closest_index` and how much farther the second centroid is, at least.
+
+    While no centroid moves by half of a row's margin or more, the row's index stays the same.
+    """
     if len(points) and points.shape[1] != model.shape[1]:
         raise ValueError(f"vectors have {points.shape[1]} components and the model has {model.shape[1]}")
-    at = np.zeros(len(points), "int32")
+    at, margin = np.zeros(len(points), "int32"), np.zeros(len(points))
     if len(model) == 1:
-        return at
+        return at, np.full(len(points), np.inf)
     sizes = np.einsum("ij,ij->i", model, model)
     step = max(1, BLOCK_CELLS // len(model))
     for start in range(0, len(points), step):
@@ -86,10 +94,14 @@ def closest_index(points: np.ndarray, model: np.ndarray) -> np.ndarray:
             own[gap < best] = j
             second = np.minimum(second, np.maximum(gap, best))
             best = np.minimum(best, gap)
-        unsure = np.flatnonzero(second - best <= 16 * (x.shape[1] + 8) * np.finfo(float).eps * (norms + sizes.max()))
+        error = 16 * (x.shape[1] + 8) * np.finfo(float).eps * (norms + sizes.max())
+        lead = second - best - error
+        unsure = np.flatnonzero(lead <= 0)
         if len(unsure):
             own[unsure] = closest(x[unsure], model)[1]
-    return at
+        most = np.sqrt(np.maximum(best + norms + error, 0)) + np.sqrt(np.maximum(second + norms + error, 0))
+        np.divide(lead, most, out=margin[start : start + step], where=lead > 0)
+    return at, margin
 
 
 def cluster_sums(points: np.ndarray, cid: np.ndarray, clusters: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,14 +139,3 @@ def nearest(x: Column, centroids: Matrix) -> Column:
         return _struct_array(["dist", "cid"], closest(as_matrix(x), model) if len(x) else ([], []))
 
     return run(x)
-
-
-def spread(x: Column, total: Column, near: Column, seeds: Matrix) -> Column:
-    """Struct ``(total, near)``: sum and minimum of the distances to all seeds, on top of the given ones."""
-    model = _model(seeds)
-
-    @F.arrow_udf("total double, near double")
-    def run(x: pa.Array, total: pa.Array, near: pa.Array) -> pa.Array:
-        return _struct_array(["total", "near"], totals(as_matrix(x), model, total.to_numpy(), near.to_numpy()) if len(x) else ([], []))
-
-    return run(x, total, near)

@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors as vx
-from sparkloom.functions.distance import BLOCK_CELLS, as_matrix
-from sparkloom.operators.kmeans import Centroids, assign_runs
+from sparkloom.functions.distance import BLOCK_CELLS, as_matrix, closest_index, cluster_sums
+from sparkloom.operators.kmeans import Centroids, _packed, _vectors, assign_runs, run_sums
 from sparkloom.session import materialise
 
 TILE_ROWS = 1 << 14
@@ -44,30 +44,33 @@ def cluster_statistics(assigned: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _mean_gaps(models: dict[int, np.ndarray]):
-    """UDF (x, run, cid) → mean squared distance to the own and the nearest other cluster.
+def _gaps(points: np.ndarray, cids: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean squared distance of every row to its own and the nearest other cluster, NaN if there is none, and its cluster's size.
 
-    ``models`` holds one row ``cid, n, q, s…`` per centroid.
+    ``model`` holds one row ``cid, n, q, s…`` per centroid.
     """
+    ids, n, q, s = model[:, 0], model[:, 1], model[:, 2], model[:, 3:]
+    norms = (points**2).sum(axis=1)
+    total = np.maximum(n * norms[:, None] - 2 * points @ s.T + q, 0)
+    mine, line = np.searchsorted(ids, cids), np.arange(len(points))
+    own, other = total[line, mine] / np.maximum(n[mine] - 1, 1), np.full(len(points), np.nan)
+    if len(ids) > 1:
+        mean = total / n
+        mean[line, mine] = np.inf
+        other = mean.min(axis=1)
+    return own, other, n[mine]
+
+
+def _mean_gaps(models: dict[int, np.ndarray]):
+    """UDF (x, run, cid) → :func:`_gaps` of the run's model."""
     @F.arrow_udf("own double, other double, size double")
     def gaps(x: pa.Array, run: pa.Array, cid: pa.Array) -> pa.Array:
         points, runs, cids = as_matrix(x), run.to_numpy(), cid.to_numpy()
-        norms = (points**2).sum(axis=1)
-        own, other, size = (np.full(len(points), np.nan) for _ in range(3))
+        found = np.full((3, len(points)), np.nan)
         for r in np.unique(runs):
             at = np.flatnonzero(runs == r)
-            ids, n, q, s = models[r][:, 0], models[r][:, 1], models[r][:, 2], models[r][:, 3:]
-            total = np.maximum(n * norms[at, None] - 2 * points[at] @ s.T + q, 0)
-            mine = np.searchsorted(ids, cids[at])
-            line = np.arange(len(at))
-            size[at] = n[mine]
-            own[at] = total[line, mine] / np.maximum(n[mine] - 1, 1)
-            if len(ids) > 1:
-                mean = total / n
-                mean[line, mine] = np.inf
-                other[at] = mean.min(axis=1)
-        return pa.StructArray.from_arrays(
-            [pa.array(c, from_pandas=True) for c in (own, other, size)], ["own", "other", "size"])
+            found[:, at] = _gaps(points[at], cids[at], models[r])
+        return pa.StructArray.from_arrays([pa.array(c, from_pandas=True) for c in found], ["own", "other", "size"])
 
     return gaps
 
@@ -180,8 +183,38 @@ def silhouette(points: DataFrame, models: dict[int, Centroids], metric: str = "s
     raise ValueError("metric must be squared or euclidean")
 
 
-def mean_silhouette(points: DataFrame, models: dict[int, Centroids], metric: str = "squared") -> DataFrame:
-    """``(k, sil)`` for models keyed by their k."""
+def _mean_squared(blocks: DataFrame, models: dict[int, Centroids]) -> DataFrame:
+    """``(k, sil)`` by the ``squared`` distance over packed vectors: a scan for the clusters' sums, one for the scores, none of which leave a task."""
+    known = {run: np.asarray(c, dtype=float) for run, c in models.items()}
+
+    def statistics(x, model):
+        n, s = cluster_sums(np.column_stack([(x**2).sum(axis=1), x]), closest_index(x, model), len(model))
+        return {0: (n, s)}
+
+    rows = sorted((tuple(r) for r in run_sums(blocks, known, statistics).groupBy("run", "cid").agg(
+        F.sum("n").alias("n"), vx.sum_vector(F.col("s"), 1 + len(next(iter(models.values()))[0])).alias("s")).collect()), key=lambda r: r[:2])  # one per centroid
+    stats = {run: np.array([[cid, n, *s] for r, cid, n, s in rows if r == run], dtype=float) for run in known}
+
+    def scores(batches):
+        found = {run: [0, 0.0] for run in known}
+        for x in _vectors(batches):
+            for run, model in known.items():
+                own, other, size = _gaps(x, closest_index(x, model), stats[run])
+                top = np.fmax(own, other)
+                good = (top > 0) & (size > 1) & ~np.isnan(other)
+                found[run][0] += len(x)
+                found[run][1] += ((other[good] - own[good]) / top[good]).sum()
+        yield pa.RecordBatch.from_pydict({"run": pa.array(list(found), pa.int32()), "n": pa.array([n for n, _ in found.values()], pa.int64()),
+                                          "total": pa.array([t for _, t in found.values()], pa.float64())})
+
+    parts = blocks.mapInArrow(scores, "run int, n bigint, total double").where(F.col("n") > 0)
+    return parts.groupBy(F.col("run").alias("k")).agg((F.sum("total") / F.sum("n")).alias("sil"))
+
+
+def mean_silhouette(points: DataFrame, models: dict[int, Centroids], metric: str = "squared", blocks: DataFrame | None = None) -> DataFrame:
+    """``(k, sil)`` for models keyed by their k. ``blocks`` are the points as packed vectors, if they are stored so."""
+    if metric == "squared":
+        return materialise(_mean_squared(_packed(points) if blocks is None else blocks, models), "scores")
     scored = silhouette(points, models, metric)
     means = scored.groupBy(F.col("run").alias("k")).agg(F.avg("sil").alias("sil"))
     return materialise(means, "scores")

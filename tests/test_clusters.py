@@ -274,3 +274,56 @@ def test_tiles_measure_a_pair_once(spark, monkeypatch):
         means = [gaps[i, c::3].sum() / (100 - (c == i % 3)) for c in range(3)]
         a, b = means[i % 3], min(m for c, m in enumerate(means) if c != i % 3)
         assert one[i] == pytest.approx((b - a) / max(a, b), rel=1e-9) == pytest.approx(many[i], rel=1e-9)
+
+
+def _plain_lloyd(x, c, tol=km.TOLERANCE):
+    """States of rounds over all rows until none moves."""
+    states = [c]
+    while len(states) < 2 or np.abs(states[-1] - states[-2]).max() > tol * max(1.0, np.abs(states[-1]).max()):
+        near = ((x[:, None] - states[-1]) ** 2).sum(axis=2).argmin(axis=1)
+        states.append(np.array([x[near == k].mean(axis=0) if (near == k).any() else states[-1][k] for k in range(len(c))]))
+    return states
+
+
+def test_late_rounds_read_few_rows(spark, monkeypatch):
+    """Points without clusters move for many rounds; most need no scan, and the states are those of plain rounds."""
+    x = np.random.default_rng(8).normal(size=(4000, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, x array<double>").repartition(4)
+    models = {k: np.vstack([x[: k - 1], [[1e3, 0.0, 0.0]]]) for k in (3, 6)}  # the last stays empty
+    want = {k: _plain_lloyd(x, c) for k, c in models.items()}
+    scans, run_means = [], km._run_means
+    monkeypatch.setattr(km, "_run_means", lambda *a: scans.append(1) or run_means(*a))
+    monkeypatch.setattr(km, "NARROW_NUMBERS", 2400)  # a fifth of the rows
+    got = km.lloyd_runs(df, {k: c.tolist() for k, c in models.items()})
+    assert len(scans) < max(map(len, want.values())) / 2
+    for k, states in want.items():
+        assert np.allclose(got[k], states[-1], rtol=0, atol=1e-9)
+    with pytest.raises(RuntimeError, match="still move"):
+        km.lloyd_runs(df, {6: models[6].tolist()}, rounds=len(want[6]) - 2)
+    assert np.allclose(km.lloyd_runs(df, {6: models[6].tolist()}, rounds=len(want[6]) - 1)[6], want[6][-1])
+
+
+def test_margins_are_safe():
+    """A row keeps its centroid while none moves by half of its margin."""
+    rng = np.random.default_rng(9)
+    for offset in (0.0, 1e6):
+        x, c = rng.normal(size=(3000, 5)) + offset, rng.normal(size=(7, 5)) + offset
+        at, margin = distance.closest_margin(x, c)
+        gaps = np.sort(np.sqrt(((x[:, None] - c) ** 2).sum(axis=2)), axis=1)
+        assert (margin <= gaps[:, 1] - gaps[:, 0]).all() and (margin > 0).mean() > 0.5
+        step = rng.normal(size=c.shape)
+        step *= 0.05 / np.sqrt((step**2).sum(axis=1, keepdims=True))
+        kept = margin > 0.1
+        assert kept.any() and (distance.closest_index(x, c + step)[kept] == at[kept]).all()
+
+
+def test_mean_scores_do_not_repeat_vectors(points, data, monkeypatch):
+    """Models are compared in the same two scans; no row per point and model is made."""
+    models = {3: [data[0][1], data[1][1], data[2][1]], 1: [[0.0, 0.0, 0.0]], 4: [data[0][1], data[1][1], data[2][1], [50.0, 50.0, 50.0]]}
+    monkeypatch.setattr(si, "assign_runs", None)
+    got = {r["k"]: r["sil"] for r in si.mean_silhouette(points, models).collect()}
+    x = np.array([p for _, p in data])
+    for k, c in models.items():
+        labels = ((x[:, None] - np.array(c)) ** 2).sum(axis=2).argmin(axis=1)
+        assert got.pop(k) == pytest.approx(_silhouettes(data, labels, "squared").mean(), abs=1e-12)
+    assert not got
