@@ -105,13 +105,8 @@ def _signal(spark, root):
         F.lit(0).cast("bigint").alias("sample"), "node", F.col("x")[0].alias("value"))
 
 
-def _diffused(spark, root, steps=len(TAPS), method="lanczos"):
-    return gr.diffuse(_scaled(spark, root, method), _signal(spark, root), steps)
-
-
-def diffuse(spark, root):
-    # an error of the radius counts once per step, so it is found by the same iteration as in the SQL
-    return _rounded(_diffused(spark, root, STEPS, "power").drop("sample"), "value")
+def _diffused(spark, root, steps=len(TAPS)):
+    return gr.diffuse(_scaled(spark, root), _signal(spark, root), steps)
 
 
 def shift(spark, root):
@@ -204,7 +199,7 @@ QUERIES = {
     "gr_fuse_edges": lambda s, d: _rounded(fuse(s, d)),
     "gr_spectral_scale": lambda s, d: _rounded(gr.spectral_scale(trade_edges(s, d), seed=SEED), digits=9),
     "gr_laplacian": lambda s, d: _rounded(gr.rescaled_laplacian(trade_edges(s, d), seed=SEED), digits=9),
-    "gr_diffuse": diffuse,
+    "gr_diffuse": lambda s, d: _rounded(_diffused(s, d, STEPS).drop("sample"), "value"),
     "gr_shift_features": shift,
     "gr_filter": lambda s, d: _rounded(gr.filtered(_diffused(s, d), TAPS).drop("sample"), "value"),
     "gr_source_dataset": source_data_set,
